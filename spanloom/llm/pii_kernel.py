@@ -1,0 +1,443 @@
+"""Detection of personal information in a batch of texts, by offset-preserving transducers.
+
+All texts of a batch are joined to one string. Each transducer rewrites it and keeps, for every
+character of its output, the range of source characters it stands for:
+
+1. glyphs: look-alike letters, full-width forms, invisible characters (``glyphs.fold``), accents;
+2. entities: ``&#64;`` and the like;
+3. digits spelled as words, in runs long enough for a number;
+4. ``at`` and ``dot`` disguises of mail addresses.
+
+The detectors run on the last output, and what they find is mapped back through the ranges, so the
+placeholders replace exactly the disguised source text and nothing beside it.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
+
+import numpy as np
+import pyarrow as pa
+
+from .arrow_text import to_code_points
+from .glyphs import fold
+
+KINDS = ("email", "phone", "id_number", "address", "name")
+SEPARATOR = ""
+
+# Given names in use in several countries; words that are also common nouns are left out.
+GIVEN = (
+    "aaliyah aaron abdul abigail adam adele adriana agnes ahmed aisha alan albert alejandro alessandro alice alina amara "
+    "amelia amir amina ana anders andrea andreas andrew angela anika anna anne anton antonio arjun astrid barbara bea "
+    "beatrice benjamin bernd bianca boris bridget callum camila carla carlos carmen caroline catherine cecilia chen chloe "
+    "christina christopher clara claudia daniel daniela david deborah devin diana diego dieter dimitri dmitri dolores donald "
+    "edith eduardo elena eleanor elias elizabeth elsa emily emma enrique erik esther eva fatima felix fernando fiona "
+    "francesca francois frida gabriel george gerald giovanni giulia greta guillermo gustav hannah hans harold harriet hassan "
+    "heidi helena helen henrik hiroshi hugo ibrahim igor ilse ines ingrid irene isabel isabella ivan jamal james jana jane "
+    "javier jean jennifer jessica johan johanna john jonah jonas jorge jose joseph juan julia juliette jurgen kaito karen karl "
+    "katarina katherine keiko kenji kevin khalid klaus kwame lars laura leila lena leon leonardo liam linda linnea louise lucas "
+    "lucia luis lukas magda magnus mahmoud manuel marco margaret maria mariam marie marta martha martin mary mateo mateusz "
+    "matthew maya mehmet mei michael michelle miguel mikhail milan mohamed monika nadia naomi natalia nathan nia nicolas nikolai "
+    "nina noah noor olga oliver olivia omar oscar pablo patricia patrick paul paula pedro percy peter petra philip pierre priya "
+    "rachel rafael raj rania raul ravi rebecca ricardo richard robert roberto rosa ruth samir samuel sandra sara sarah sean "
+    "sergei simone sofia soren stefan stella stephen susan svetlana sven takeshi tamara tariq teresa thomas tobias tomas "
+    "tomasz ursula valentina vera veronica victor vikram vincent viktor vladimir wanda wei werner william wolfgang xavier "
+    "yara yasmin yuki yusuf zara zeynep zoe"
+).split()
+
+# Words that follow a given name without being a family name, and words of places, firms and terms.
+NOT_FAMILY = frozenset(
+    "a about after again all also always am an and are as asked at be because been before but by called calls came can could did does "
+    "doing for from gave get gets got had has have he her here him his how i if in into is it its just knows last left likes lives lost "
+    "made make may me met might moved must my never not now of off on once only or our out over paid runs said saw says sent she should so "
+    "sold some spoke still than that the their them then there they thinks this to told took tells used wants was we went were what when "
+    "where which while who will with wont works would wrote you your yours too very "
+    "street st road rd avenue ave boulevard blvd lane drive court square bank holdings partners curve rule valley hole act plan effect "
+    "law model index university institute inc corp ltd llc group foods motors energy rail stores logistics grid award prize disease "
+    "decade age woods".split()
+)
+CUES = r"(?:signed|is|contact|ask|mention|by|gru(?:ss|ß)|boss|regards|sincerely|named|called|name|from|mit|atte|mr|mrs|ms|dr|prof|sra?|herr|frau|mme)"
+
+_NUM = {"oh": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_WORDNUM = "|".join(_NUM)
+SPELLED = re.compile(rf"(?:{_WORDNUM})(?:[ ,.-]{{1,2}}(?:{_WORDNUM}|\d{{1,4}})(?![a-z])){{5,}}")
+SPELLED_PART = re.compile(rf"{_WORDNUM}|\d+")
+ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|commat|period|nbsp|amp|lt|gt|hyphen);")
+_AT = r"(?: ?[\[({<] ?at ?[\])}>] ?| at | @ |@)"
+_DOT = r"(?: ?[\[({<] ?dot ?[\])}>] ?| dot |\.)"
+DISGUISED = re.compile(rf"[a-z0-9][a-z0-9._%+-]*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,24}}(?![a-z0-9-])")
+AT_PART, DOT_PART = re.compile(_AT), re.compile(r" ?[\[({<] ?dot ?[\])}>] ?| dot ")
+MAIL_LOCAL = re.compile(r"[a-z0-9][a-z0-9._%+-]{0,63}$")
+MAIL_DOMAIN = re.compile(r"@(?:[a-z0-9-]+\.)+[a-z]{2,24}(?![a-z0-9-])")
+
+DIGIT_RUN = re.compile(r"\d[\d ().+-]{5,}\d")
+PHONE = re.compile(r"(?<![a-z0-9.,$/-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?:,? ?(?:ext|x)\.? ?\d{1,5})?(?![\w%]|[.-]\d)")
+EXTENSION = re.compile(r",? ?(?:ext|x)\.? ?\d{1,5}$")
+NANP = re.compile(r"(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-]?)[2-9]\d\d[ .-]?\d{4}")
+ABROAD = re.compile(r"(?:\+|00)[1-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?)(?:[ .-]?\d{2,8}){1,4}")
+NATIONAL = re.compile(r"\(0\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|0\d{2,4}[ .-]?\d{3}[ .-]?\d{3,4}|0\d{4}[ -]\d{6}|0\d{9,10}")
+QUANTITY = re.compile(r" ?(?:shares|units|jobs|barrels|tonnes|dollars|euros|people|views|votes|bps)\b")
+
+SSN_OR_LICENCE = re.compile(r"\d{3}-(?:\d{2}|\d{4})-\d{4}(?![\w-])")
+NINO = re.compile(r"\d{2} ?\d{2} ?\d{2} ?[a-d](?![a-z0-9])")
+NINO_HEAD = re.compile(r"(?:^|[^a-z0-9])([a-z]{2} ?)$")
+# What an identity number is called.
+ID_CUES = (
+    "ssn", "social security", "tax id", "tax number", "tax no", "taxpayer", "itin", "national insurance", "ni number", "ni no", "nino", "passport", "passnummer",
+    "pasaporte", "driver's license", "drivers license", "driver license", "driver's licence", "drivers licence", "driver licence", "driving licence", "driving license",
+    "license number", "licence number", "license no", "licence no", "insurance number", "insurance no", "steuer-id", "steuerid", "dni", "nif",
+)
+ID_VALUE = re.compile(r"(?:[ :#]{1,2}(?:number|nummer|no\.?|nr\.?|id|is|was))*[ :#.]{1,3}(?P<v>[a-z]{0,2}[ -]?\d+(?:[ -]?\d+)*(?: ?[a-d](?![a-z]))?)(?![a-z0-9])")
+
+_SUFFIX = r"(?:street|str|st|avenue|ave|boulevard|blvd|road|rd|lane|ln|drive|dr|court|ct|place|pl|square|sq|terrace|way|crescent|close|parkway|pkwy|highway|hwy)"
+_TAIL = r"(?:,? ?(?:apt|apartment|unit|suite|ste|flat|no|#)\.? ?[0-9]{1,5}[a-z]?)?"
+_CITY = r"(?:, ?[a-z][a-z'-]+(?: [a-z][a-z'-]+){0,2}?(?: \d{5})?(?=[.,;:!?)/]|$| and | or |\n|" + SEPARATOR + r"| signed))?"
+NUMBERED = re.compile(rf"\d{{1,5}}[a-z]?,? (?:(?:n|s|e|w|ne|nw|se|sw|north|south|east|west)\.? )?(?P<name>(?:[a-z][a-z'-]+ ){{1,3}}?)(?P<suffix>{_SUFFIX})(?![a-z])\.?{_TAIL}{_CITY}")
+STRASSE = re.compile(r"(?:sse|\xdfe|\.) ?\d{1,4}[a-z]?(?![\w])(?:, ?(?:\d{5} )?[a-z][a-z'-]+(?: [a-z][a-z'-]+)?(?=[.,;:!?)/]|$| and | or |\n))?")
+STRASSE_HEAD = re.compile(r"(?:^|[^a-z])([a-z]{3,}(?: stra| str|stra|str))$")
+CALLE = re.compile(r"(?:de la |de |del |du )?[a-z][a-z'-]+(?: [a-z][a-z'-]+)?,? \d{1,4}(?![\w])" + _CITY)
+# Words before the name of a street.
+STREET_WORDS = ("calle ", "avenida ", "plaza ", "carrer ", "via ", "viale ", "rue ")
+BOX = re.compile(r"(?<![a-z])p\.? ?o\.? ?box \d{1,6}(?![\w])" + _CITY)
+FINANCE_STREETS = frozenset({"wall", "main", "broad", "high", "fleet", "bond", "threadneedle", "lombard", "street"})
+GO_ON = frozenset("and or in near by is was since until at where but so because with while before after to from for if as when who which then that now please today avoid".split())
+NOT_IN_STREET = frozenset("the a an of to in on for and or is are was were by at per from this that than when with months month weeks years year days percent basis points times more out their his her no not now its one two".split())
+
+
+@lru_cache(maxsize=1)
+def _plain() -> np.ndarray:
+    """One-to-one table: lower case without accents, where both keep the length."""
+    t = np.arange(0x110000, dtype=np.uint32)
+    for cp in range(0x41, 0x2000):
+        ch = chr(cp)
+        base = {"ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d"}.get(ch) or unicodedata.normalize("NFD", ch)[0]
+        low = base.lower()
+        if len(low) == 1:
+            t[cp] = ord(low)
+    t[0x2019] = t[0x2018] = 0x27
+    t[0x09] = 0x20
+    return t
+
+
+@lru_cache(maxsize=1)
+def _triggers():
+    """One automaton over everything rare that a detector starts from: (what, length)."""
+    import ahocorasick
+
+    words: dict[str, list[str]] = {}
+    put = lambda what, *ws: [words.setdefault(w, []).append(what) for w in ws]
+    put("given", *GIVEN)
+    put("spelled", *(f"{a}{sep}{b}" for a in _NUM for b in _NUM for sep in " -"))
+    put("disguise", " dot ", "(dot", "[dot", "{dot", "( dot", "[ dot", "(at)", "[at]", "{at}", "( at )", "[ at ]", " @ ", "<at>", "<dot>")
+    put("mail", "@")
+    put("id", *ID_CUES)
+    put("strasse", "stra", "str.")
+    put("calle", *STREET_WORDS)
+    put("box", "box ")
+    put("cue", "signed", "name is", "contact", "landlord is", "gruss", "gruß", "boss", "regards", "sincerely", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ")
+    auto = ahocorasick.Automaton()
+    for w, whats in words.items():
+        auto.add_word(w, (tuple(whats), len(w)))
+    auto.make_automaton()
+    return auto
+
+
+def triggers(low: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans of all triggers in ``low`` by what they start."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for last, (whats, n) in _triggers().iter(low):
+        for what in whats:
+            out.setdefault(what, []).append((last + 1 - n, last + 1))
+    return out
+
+
+class Tape:
+    """A text with, for each character, the source range it stands for."""
+
+    def __init__(self, text: str, begin: np.ndarray, end: np.ndarray):
+        self.text, self.begin, self.end = text, begin, end
+
+    def edit(self, edits: list[tuple[int, int, str]]) -> "Tape":
+        """Replace ranges (ascending, disjoint); every new character stands for its whole range."""
+        if not edits:
+            return self
+        text, begin, end, at = [], [], [], 0
+        for a, b, new in edits:
+            text += [self.text[at:a], new]
+            begin += [self.begin[at:a], np.full(len(new), self.begin[a])]
+            end += [self.end[at:a], np.full(len(new), self.end[b - 1])]
+            at = b
+        text.append(self.text[at:])
+        return Tape("".join(text), np.concatenate([*begin, self.begin[at:]]), np.concatenate([*end, self.end[at:]]))
+
+
+def _spelled(low: str, at: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    out, done = [], 0
+    for a, _ in at:
+        if a < done or (a and low[a - 1].isalpha()):
+            continue
+        m = SPELLED.match(low, a)
+        if not m:
+            continue
+        parts = SPELLED_PART.findall(m[0])
+        digits = "".join(_NUM.get(p, p) for p in parts)
+        if sum(p in _NUM for p in parts) >= 3 and len(digits) >= 7:
+            if len(digits) == 10:
+                digits = f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"
+            out.append((m.start(), m.end(), digits))
+        done = m.end()
+    return out
+
+
+def _disguises(low: str, at: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    out, done = [], 0
+    for first, last in at:
+        if first < done:
+            continue
+        for m in DISGUISED.finditer(low, max(done, first - 100), min(len(low), last + 200)):
+            if m.start() <= first < m.end():
+                s = m[0]
+                sign = next((x for x in AT_PART.finditer(s)), None)
+                if sign is None or (sign[0] == " at " and not DOT_PART.search(s, sign.end())):
+                    break
+                out.append((m.start() + sign.start(), m.start() + sign.end(), "@"))
+                out += [(m.start() + x.start(), m.start() + x.end(), ".") for x in DOT_PART.finditer(s, sign.end())]
+                done = m.end()
+                break
+    return out
+
+
+def _mails(low: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for a, _ in at:
+        if low[a - 1 : a].isalnum() or low[a - 1 : a] in ("_", "+", "-", "%", "."):
+            head = MAIL_LOCAL.search(low, max(0, a - 65), a)
+            tail = MAIL_DOMAIN.match(low, a)
+            if head and tail:
+                yield head.start(), tail.end()
+
+
+def _phones(low: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for run in DIGIT_RUN.finditer(low):
+        for m in PHONE.finditer(low, max(done, run.start() - 6), min(len(low), run.end() + 12)):
+            core = EXTENSION.sub("", m[0])
+            ok = NANP.fullmatch(core) or ABROAD.fullmatch(core) or NATIONAL.fullmatch(core)
+            if ok and not QUANTITY.match(low, m.end()) and sum(c.isdigit() for c in core) <= 15:
+                done = m.end()
+                yield m.span()
+
+
+def _ids(low: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for m in SSN_OR_LICENCE.finditer(low):
+        a, before = m.start(), low[max(0, m.start() - 2) : m.start()]
+        if m.end() - a == 11:
+            if not (before[-1:].isalnum() or before[-1:] in ("-", "_")):
+                yield m.span()
+        elif before[-1:].isalpha() and not before[:-1].isalnum():
+            yield a - 1, m.end()
+    for m in NINO.finditer(low):
+        if head := NINO_HEAD.search(low, max(0, m.start() - 4), m.start()):
+            yield head.start(1), m.end()
+    for a, b in at:
+        if a and low[a - 1].isalpha():
+            continue
+        m = ID_VALUE.match(low, b)
+        if m and sum(c.isdigit() for c in m["v"]) >= 6:
+            yield m.span("v")
+
+
+_NEXT_WORD = re.compile(r" ([a-z]+)")
+
+
+def _trim_city(a: int, street_end: int, end: int, text: str) -> tuple[int, int]:
+    """Leave a following clause out that was taken for a place: one in lower case after a street in title case."""
+    rest = text[street_end:end]
+    at = rest.rfind(", ")
+    if at >= 0 and rest[at + 2 : at + 3].islower() and any(c.isupper() for c in text[a:street_end]):
+        return a, street_end + at
+    return a, end
+
+
+def _addresses(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+    for m in NUMBERED.finditer(low):
+        before = low[m.start() - 1 : m.start()]
+        if before.isalnum() or (before and before in "_.$,/-"):
+            continue
+        words = m["name"].split()
+        if any(w in NOT_IN_STREET for w in words):
+            continue
+        bare = m.end() <= m.end("suffix") + 1
+        nxt = _NEXT_WORD.match(low, m.end())
+        if nxt and nxt[1] not in GO_ON:
+            shout = text[m.start("suffix") : m.end("suffix")].isupper()
+            if text[nxt.start(1)].islower() or shout:
+                continue
+        if bare and words[-1] in FINANCE_STREETS and m["suffix"] in ("street", "st") and low[m.end() : m.end() + 1] not in (",", "."):
+            continue
+        yield _trim_city(m.start(), m.end("suffix"), m.end(), text)
+    for a, b in at.get("strasse", ()):
+        head = STRASSE_HEAD.search(low, max(0, a - 40), min(b, a + 4) if low[a : a + 4] == "stra" else a + 3)
+        tail = STRASSE.match(low, a + 4 if low[a : a + 4] == "stra" else a + 3)
+        if head and tail:
+            yield _trim_city(head.start(1), tail.start() + 3, tail.end(), text)
+    for a, b in at.get("calle", ()):
+        if not (a and low[a - 1].isalpha()) and (m := CALLE.match(low, b)):
+            yield _trim_city(a, b, m.end(), text)
+    for a, b in at.get("box", ()):
+        if m := BOX.search(low, max(0, a - 8)) if low[b : b + 1].isdigit() else None:
+            if m.start() <= a < m.end():
+                yield _trim_city(m.start(), b, m.end(), text)
+
+
+_FAMILY = re.compile(r" (?:[a-z]\.? )?([a-z][a-z']+(?:-[a-z][a-z']+)*)")
+_BEFORE = re.compile(rf"(?:^|[\n{SEPARATOR}]|(?<![a-z]){CUES}[,:.]?) *$")
+_REVERSED = re.compile(r"([a-z][a-z']+(?:-[a-z][a-z']+)*), $")
+_GLUE = frozenset("@_+-./&#$")
+CUED = re.compile(r"[,:.]? ?(?:(?:mr|mrs|ms|dr|prof)\. )?([a-z][a-z'-]+) (?:[a-z]\. )?([a-z][a-z']+(?:-[a-z][a-z']+)*)(?![\w@-])")
+
+
+def _case(s: str) -> str:
+    if s.isupper():
+        return "upper"
+    return "title" if s[0].isupper() and not s[1:].isupper() else "lower"
+
+
+def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+    for a, b in at.get("given", ()):
+        prev, nxt = low[a - 1] if a else "", low[b : b + 1]
+        if prev.isalnum() or prev in _GLUE or nxt.isalnum() or nxt in ("@", "_", "+"):
+            continue
+        given = _case(text[a:b])
+        if nxt == " " and (m := _FAMILY.match(low, b)):
+            fam = m[1]
+            end = m.end()
+            after = low[end : end + 1]
+            shape = _case(text[m.start(1) : m.end(1)])
+            if len(fam) > 2 and fam not in NOT_FAMILY and fam not in _given() and after not in ("@", "_", "+"):
+                same = shape == given or (given == "title" and shape == "upper")
+                if same and given != "lower":
+                    yield a, end
+                    continue
+                if same and (_BEFORE.search(low, max(0, a - 24), a) or after in ("", "(", ",", ".", "/", "\n", SEPARATOR) or low.startswith(" (", end)):
+                    yield a, end
+                    continue
+        if m := _REVERSED.search(low, max(0, a - 60), a):
+            fam = m[1]
+            if len(fam) > 2 and fam not in NOT_FAMILY and _case(text[m.start(1) : m.end(1)]) == given and (_BEFORE.search(low, max(0, m.start() - 24), m.start()) or low.startswith((" (", " /"), b)):
+                yield m.start(), b
+    for a, b in at.get("cue", ()):
+        if (a and low[a - 1].isalnum()) or not (m := CUED.match(low, b)):
+            continue
+        g, f = m[1], m[2]
+        if len(g) > 1 and len(f) > 2 and g not in NOT_FAMILY and f not in NOT_FAMILY and text[m.start(1)].isupper() and text[m.start(2)].isupper():
+            if not text[m.start(1) : m.end(2)].isupper() and m[0].find("\n") < 0:
+                yield m.start(1), m.end(2)
+
+
+@lru_cache(maxsize=1)
+def _given() -> frozenset:
+    return frozenset(GIVEN)
+
+
+def transduce(cps: np.ndarray, off: np.ndarray) -> tuple[Tape, str, dict[str, list[tuple[int, int]]]]:
+    """The normalised tape over all texts of a batch, its lower-case, accent-free form and its triggers."""
+    cps = np.where(cps == ord(SEPARATOR), 0x20, cps).astype(np.uint32)
+    n = len(off) - 1
+    # a separator after each text; its source range is empty
+    sep_at = off[1:] + np.arange(n)
+    joined = np.full(cps.size + n, ord(SEPARATOR), np.uint32)
+    is_text = np.ones(joined.size, bool)
+    is_text[sep_at] = False
+    joined[is_text] = cps
+    source = np.empty(joined.size, np.int64)
+    source[is_text] = np.arange(cps.size)
+    source[sep_at] = off[1:]
+    folded, _, idx = fold(joined, np.array([0, joined.size]), True)
+    begin = source[idx]
+    end = begin + is_text[idx]
+    tape = Tape(folded.astype("<u4").tobytes().decode("utf-32-le"), begin, end)
+    lower = _lower(tape.text)
+    edits = [(m.start(), m.end(), unescape(m[0])[:1] or " ") for m in ENTITY.finditer(lower)] if "&" in lower else []
+    if edits:
+        tape = tape.edit(edits)
+        lower = _lower(tape.text)
+    at = triggers(lower)
+    for what, step in (("spelled", _spelled), ("disguise", _disguises)):
+        if what in at and (edits := step(lower, at[what])):
+            tape = tape.edit(edits)
+            lower = _lower(tape.text)
+            at = triggers(lower)
+    return tape, lower, at
+
+
+def _lower(text: str) -> str:
+    """Lower case without accents, of the same length."""
+    if text.isascii():
+        return text.lower().replace("\t", " ")
+    cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    out = cps + ((cps >= 0x41) & (cps <= 0x5A)).astype(np.uint32) * np.uint32(32)
+    out[out == 9] = 0x20
+    high = np.flatnonzero(cps >= 0x80)
+    out[high] = _plain()[cps[high]]
+    return out.tobytes().decode("utf-32-le")
+
+
+def find(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, kind (index into ``KINDS``), begin and end (code points within the row) of all findings.
+
+    Findings don't overlap: a mail address wins over a number, a number over an address, an address
+    over a name. They are sorted by row and position.
+    """
+    tape, low, at = transduce(cps, off)
+    taken: list[tuple[int, int, int]] = []
+    detectors = (_mails(low, at.get("mail", [])), _phones(low), _ids(low, at.get("id", [])), _addresses(low, tape.text, at), _names_in(low, tape.text, at))
+    for kind, spans in enumerate(detectors):
+        taken += [(a, kind, b) for a, b in spans if b > a]
+    # better kinds first; of one kind the longer span
+    taken.sort(key=lambda x: (_PRIORITY[x[1]], x[0], -x[2]))
+    kept: list[tuple[int, int, int]] = []
+    if taken:
+        import bisect
+
+        starts: list[int] = []
+        ends: list[int] = []
+        for a, kind, b in taken:
+            i = bisect.bisect_right(starts, a)
+            if (i and ends[i - 1] > a) or (i < len(starts) and starts[i] < b):
+                continue
+            starts.insert(i, a)
+            ends.insert(i, b)
+            kept.append((a, kind, b))
+    kept.sort()
+    a = np.array([k[0] for k in kept], np.int64)
+    b = np.array([k[2] for k in kept], np.int64)
+    kind = np.array([k[1] for k in kept], np.int64)
+    if not kept:
+        return a, kind, a, a
+    begin, end = tape.begin[a], tape.end[b - 1]
+    row = np.searchsorted(off, begin, "right") - 1
+    return row, kind, begin - off[row], end - off[row]
+
+
+_PRIORITY = {0: 0, 2: 1, 1: 2, 3: 3, 4: 4}
+
+PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
+
+
+def scan(texts: pa.Array):
+    """Findings of an Arrow string array; nulls have none."""
+    return find(*to_code_points(texts))
+
+
+def mask(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts with typed placeholders, and the number of findings per row."""
+    row, kind, begin, end = scan(texts)
+    out = texts.to_pylist()
+    for r, k, a, b in zip(row[::-1].tolist(), kind[::-1].tolist(), begin[::-1].tolist(), end[::-1].tolist()):
+        t = out[r]
+        out[r] = t[:a] + PLACEHOLDER[KINDS[k]] + t[b:]
+    return pa.array(out, pa.string()), np.bincount(row, minlength=len(out)) if len(row) else np.zeros(len(out), np.int64)
