@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .core_queries import CORE
+from .q_text import TEXT
 from .registry import Registry
 
-_PARTS = [CORE]
+_PARTS = [CORE, TEXT]
 
 
 def catalog() -> Registry:
