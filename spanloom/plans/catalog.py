@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .core_queries import CORE
+from .q_match import MATCH
 from .q_text import TEXT
 from .registry import Registry
 
-_PARTS = [CORE, TEXT]
+_PARTS = [CORE, TEXT, MATCH]
 
 
 def catalog() -> Registry:
