@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .core_queries import CORE
 from .q_match import MATCH
+from .q_panel import PANEL
 from .q_text import TEXT
 from .registry import Registry
 
-_PARTS = [CORE, TEXT, MATCH]
+_PARTS = [CORE, TEXT, MATCH, PANEL]
 
 
 def catalog() -> Registry:
