@@ -108,8 +108,8 @@ def sha(text: str | Column) -> Column:
 
 
 def text_pos(key: str | Column) -> Column:
-    """A row position that doesn't depend on storage: 32 bits of the key's MD5."""
-    return F.conv(F.substring(F.md5(_c(key)), 1, 8), 16, 10).cast("bigint")
+    """A row position that doesn't depend on storage: 28 bits of the key's MD5."""
+    return F.conv(F.substring(F.md5(_c(key)), 1, 7), 16, 10).cast("bigint")
 
 
 # Topics in matching order and the lower-case substrings that indicate them.

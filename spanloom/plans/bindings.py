@@ -90,7 +90,7 @@ _SIGN = " ".join(f"WHEN '{e}' THEN {v}" for e, v in VALENCE.items())
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "c": ((), """SELECT id, created_utc, trim(coalesce(link_id, '')) AS link_id, trim(coalesce(parent_id, '')) AS parent_id, coalesce(author, '') AS author, score, coalesce(body, '') AS body,
-        ('0x' || substr(md5(id), 1, 8))::BIGINT AS pos
+        ('0x' || substr(md5(id), 1, 7))::BIGINT AS pos
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY retrieved_on DESC) AS rn FROM comments WHERE id IS NOT NULL) WHERE rn = 1"""),
     "p": ((), """SELECT id, created_utc, coalesce(title, '') AS title, coalesce(selftext, '') AS selftext, CASE WHEN coalesce(is_self, 0) <> 0 THEN 1 ELSE 0 END AS is_self, num_comments, score
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY retrieved_on DESC) AS rn FROM posts WHERE id IS NOT NULL) WHERE rn = 1"""),

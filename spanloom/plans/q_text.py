@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
-from ..schema import EMOTIONS, PAIR_FIELDS
+from ..schema import EMOTIONS
 from . import bindings as B
 from .bindings import containment_sql, iou_sql, norm_sql, span_in_sql, sql, tokens_sql, week_sql
 from .registry import Registry
@@ -79,9 +79,6 @@ _render = lambda: T.render_item(F.col("post_title"), F.col("post_selftext"), F.c
 q("fn11_render_item", f"SELECT id, md5({RENDER_SQL}) AS digest, length({RENDER_SQL}) AS n FROM item", "item")(lambda s, d: B.items(s, d).select("id", F.md5(_render()).alias("digest"), F.length(_render()).alias("n")))
 q("udf02_user_turn", f"SELECT id, 'user' AS role, {RENDER_SQL} AS content FROM item", "item")(lambda s, d: B.items(s, d).select("id", F.lit("user").alias("role"), _render().alias("content")))
 
-_RAW = "'noise ' || to_json({'n': user_id, 'k': event_type}) || ' tail'"
-
-
 @q("fn13_parse_object", "SELECT event_id, json_extract_string(regexp_extract('x ' || props || ' y', '(?s)\\{.*\\}'), '$.k') AS k FROM events")
 def fn13(s, d):
     e = table(s, d, "events")
@@ -158,4 +155,3 @@ q("api03_comment", "SELECT id, body, post_title, parent_body FROM item WHERE id
 q("misc24_render_pairs", "SELECT comment_id, i, '**A**: **' || pairs[i].emotion || '** ' || pairs[i].emotion_span || ' <- [' || pairs[i].cause_category || '/' || coalesce(pairs[i].cause_source, '-') || ']' AS line FROM (SELECT *, unnest(range(1, len(pairs) + 1)) AS i FROM lab WHERE annotator = 'A')", "lab")(
     lambda s, d: B.labels(s, d).where("annotator = 'A'").select("comment_id", F.posexplode("pairs")).select("comment_id", (F.col("pos") + 1).alias("i"), F.concat(F.lit("**A**: **"), "col.emotion", F.lit("** "), "col.emotion_span", F.lit(" <- ["), "col.cause_category", F.lit("/"), F.coalesce("col.cause_source", F.lit("-")), F.lit("]")).alias("line"))
 )
-assert len(PAIR_FIELDS) == 8
