@@ -85,6 +85,9 @@ QUANTITY = re.compile(r" ?(?:shares|units|jobs|barrels|tonnes|dollars|euros|peop
 SSN_OR_LICENCE = re.compile(r"\d{3}-(?:\d{2}|\d{4})-\d{4}(?![\w-])")
 NINO = re.compile(r"\d{2} ?\d{2} ?\d{2} ?[a-d](?![a-z0-9])")
 NINO_HEAD = re.compile(r"(?:^|[^a-z0-9])([a-z]{2} ?)$")
+# Endings of mail domains longer than two letters, and words that aren't mailboxes.
+ENDINGS = frozenset("com org net edu gov mil int info biz name dev app xyz online site shop cloud example test invalid localhost".split())
+NO_MAILBOX = NOT_FAMILY | frozenset("look looking found find see me us them arrive arrived meet stay live sits hosted available site page website".split())
 # What an identity number is called.
 ID_CUES = (
     "ssn", "social security", "tax id", "tax number", "tax no", "taxpayer", "itin", "national insurance", "ni number", "ni no", "nino", "passport", "passnummer",
@@ -97,7 +100,7 @@ _SUFFIX = r"(?:street|str|st|avenue|ave|boulevard|blvd|road|rd|lane|ln|drive|dr|
 _TAIL = r"(?:,? ?(?:apt|apartment|unit|suite|ste|flat|no|#)\.? ?[0-9]{1,5}[a-z]?)?"
 _CITY = r"(?:, ?[a-z][a-z'-]+(?: [a-z][a-z'-]+){0,2}?(?: \d{5})?(?=[.,;:!?)/]|$| and | or |\n|" + SEPARATOR + r"| signed))?"
 NUMBERED = re.compile(rf"\d{{1,5}}[a-z]?,? (?:(?:n|s|e|w|ne|nw|se|sw|north|south|east|west)\.? )?(?P<name>(?:[a-z][a-z'-]+ ){{1,3}}?)(?P<suffix>{_SUFFIX})(?![a-z])\.?{_TAIL}{_CITY}")
-STRASSE = re.compile(r"(?:sse|\xdfe|\.) ?\d{1,4}[a-z]?(?![\w])(?:, ?(?:\d{5} )?[a-z][a-z'-]+(?: [a-z][a-z'-]+)?(?=[.,;:!?)/]|$| and | or |\n))?")
+STRASSE = re.compile(r"(?:sse|\xdfe|\.) ?\d{1,4}[a-z]?(?![\w])(?:, ?(?:\d{5} )?[a-z][a-z'-]+(?: [a-z][a-z'-]+)?(?=[.,;:!?)/]|$| and | or |\n|" + SEPARATOR + r"))?")
 STRASSE_HEAD = re.compile(r"(?:^|[^a-z])([a-z]{3,}(?: stra| str|stra|str))$")
 CALLE = re.compile(r"(?:de la |de |del |du )?[a-z][a-z'-]+(?: [a-z][a-z'-]+)?,? \d{1,4}(?![\w])" + _CITY)
 # Words before the name of a street.
@@ -138,7 +141,7 @@ def _triggers():
     put("strasse", "stra", "str.")
     put("calle", *STREET_WORDS)
     put("box", "box ")
-    put("cue", "signed", "name is", "contact", "landlord is", "gruss", "gruß", "boss", "regards", "sincerely", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ")
+    put("cue", "signed", "signed for by", "name is", "contact", "landlord is", "gruss", "gruß", "boss", "regards", "sincerely", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ")
     auto = ahocorasick.Automaton()
     for w, whats in words.items():
         auto.add_word(w, (tuple(whats), len(w)))
@@ -202,8 +205,13 @@ def _disguises(low: str, at: list[tuple[int, int]]) -> list[tuple[int, int, str]
             if m.start() <= first < m.end():
                 s = m[0]
                 sign = next((x for x in AT_PART.finditer(s)), None)
-                if sign is None or (sign[0] == " at " and not DOT_PART.search(s, sign.end())):
+                if sign is None:
                     break
+                if sign[0] == " at ":
+                    # plain words: only with a spelled dot, a known ending, and no ordinary word before
+                    end = s[max(s.rfind("."), s.rfind(" "), s.rfind(")"), s.rfind("]")) + 1 :]
+                    if not DOT_PART.search(s, sign.end()) or (len(end) > 2 and end not in ENDINGS) or s[: sign.start()] in NO_MAILBOX:
+                        break
                 out.append((m.start() + sign.start(), m.start() + sign.end(), "@"))
                 out += [(m.start() + x.start(), m.start() + x.end(), ".") for x in DOT_PART.finditer(s, sign.end())]
                 done = m.end()
@@ -223,7 +231,9 @@ def _mails(low: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 def _phones(low: str) -> Iterator[tuple[int, int]]:
     done = 0
     for run in DIGIT_RUN.finditer(low):
-        for m in PHONE.finditer(low, max(done, run.start() - 6), min(len(low), run.end() + 12)):
+        for m in PHONE.finditer(low, max(done, run.start() - 6), min(len(low), run.end() + 40)):
+            if m.start() >= run.end():
+                break
             core = EXTENSION.sub("", m[0])
             ok = NANP.fullmatch(core) or ABROAD.fullmatch(core) or NATIONAL.fullmatch(core)
             if ok and not QUANTITY.match(low, m.end()) and sum(c.isdigit() for c in core) <= 15:
