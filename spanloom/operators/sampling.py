@@ -51,9 +51,14 @@ def priority_strata(strata: Sequence[tuple[str, DataFrame, int]], order: Column)
     return picked
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A seeded order of keys that any engine can repeat."""
+    return F.md5(F.concat(F.col(key), F.lit(f":{seed}")))
+
+
 def quota_sample(df: DataFrame, by: Sequence[str], quota: Column, key: str, seed: int) -> DataFrame:
     """The first ``quota`` rows of each group in seeded hash order."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(*by).orderBy(seeded(key, seed), key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota).drop("_r")
 
 
@@ -62,8 +67,8 @@ def stratified_dev(df: DataFrame, stratum: str, key: str, dev: int, seed: int) -
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"))
     q = n.crossJoin(F.broadcast(total)).select(F.col(stratum).alias("_s"), F.bround(F.lit(float(dev)) * F.col("_n") / F.col("_t")).cast("int").alias("_q"))
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    j = df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(q), F.col(stratum).eqNullSafe(F.col("_s")))
+    w = Window.partitionBy(stratum).orderBy(seeded(key, seed), key)
+    j = df.withColumn("_r", F.row_number().over(w)).join(q, F.col(stratum).eqNullSafe(F.col("_s")))
     return j.withColumn("split", F.when(F.col("_r") <= F.col("_q"), "dev").otherwise("train")).drop("_r", "_s", "_q")
 
 
@@ -87,7 +92,7 @@ def first_fit(rows: DataFrame, caps: DataFrame, needs: dict[str, int]) -> DataFr
     while True:
         at = state.withColumn("o", F.get("opts", F.col("k"))).select("*", "o.stratum", "o.bucket", "o.year")
         held = at.withColumn("r1", rank("stratum", "bucket", "year")).where(F.col("r1") <= top)
-        held = held.join(F.broadcast(caps), ["stratum", "bucket", "year"]).where(F.col("r1") <= F.col("cap"))
+        held = held.join(caps, ["stratum", "bucket", "year"]).where(F.col("r1") <= F.col("cap"))
         held = held.withColumn("r2", rank("stratum", "bucket")).where((F.col("r2") <= top) & (F.col("r2") <= F.col("bucket_cap")))
         held = held.withColumn("r3", rank("stratum")).where((F.col("r3") <= top) & (F.col("r3") <= need[F.col("stratum")]))
         held = scratch.table(held.select(F.col("id").alias("h_id"), F.col("stratum").alias("h_stratum"), F.col("bucket").alias("h_bucket"), F.col("year").alias("h_year")), "held")

@@ -100,7 +100,9 @@ q("top03_gold_quotas", f"SELECT stratum, least(count(*), 20) AS n FROM ({_EMOTIV
 q("top04_dev_split", f"WITH st AS ({_EMOTIVE_STRATA}), n AS (SELECT stratum, count(*) AS n FROM st GROUP BY 1) SELECT stratum, round_even(200.0::DOUBLE * n / (SELECT sum(n) FROM n), 0)::BIGINT AS n_dev FROM n WHERE round_even(200.0::DOUBLE * n / (SELECT sum(n) FROM n), 0) > 0", "c")(
     lambda s, d: S.stratified_dev(_strata(s, d), "stratum", "id", 200, SEED).where("split = 'dev'").groupBy("stratum").agg(F.count(F.lit(1)).alias("n_dev"))
 )
-SAMPLING.add("snk06_split_manifest")(lambda s, d: S.stratified_dev(_strata(s, d), "stratum", "id", 200, SEED).select("id", "stratum", "split"))
+_SPLIT = f"WITH st AS ({_EMOTIVE_STRATA}), n AS (SELECT stratum, round_even(200.0::DOUBLE * count(*) / (SELECT count(*) FROM st), 0) AS q FROM st GROUP BY 1), rk AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(id || ':{SEED}'), id) AS r FROM st)"
+q("snk06_split_manifest", f"{_SPLIT} SELECT id, stratum, CASE WHEN r <= q THEN 'dev' ELSE 'train' END AS split FROM rk JOIN n USING (stratum)", "c")(lambda s, d: S.stratified_dev(_strata(s, d), "stratum", "id", 200, SEED).select("id", "stratum", "split"))
+q("top03_gold_sample", f"{_SPLIT} SELECT id, stratum FROM rk WHERE r <= 20", "c")(lambda s, d: S.quota_sample(_strata(s, d), ["stratum"], F.lit(20), "id", SEED).select("id", "stratum"))
 q("agg54_split_stats", f"SELECT stratum, count(*) AS n FROM ({_EMOTIVE_STRATA}) GROUP BY 1", "c")(lambda s, d: S.stratified_dev(_strata(s, d), "stratum", "id", 200, SEED).groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
 q("src22_stride", "SELECT id FROM c WHERE pos % 20 = 0", "c")(lambda s, d: B.comments(s, d).where(F.col("pos") % 20 == 0).select("id"))
 q("agg53_progress", "SELECT r.annotator, count(l.comment_id) AS n FROM (VALUES ('A'), ('B'), ('C01'), ('NOBODY')) r(annotator) LEFT JOIN lab l ON l.annotator = r.annotator GROUP BY 1", "lab")(

@@ -14,7 +14,7 @@ from ..streaming import debate as D
 from ..streaming import ingest as I
 from . import bindings as B
 from .bindings import sql
-from .q_match import _IAA, gold
+from .q_match import _IAA, TALLY, gold, match_ctes
 from .registry import Registry
 from .scratch import Scratch
 from .tables import table
@@ -234,15 +234,23 @@ def agg24(s, d, reps: int = 2000):
     return ci.select("delta", F.get("ci", F.lit(0)).alias("ci_low"), F.get("ci", F.lit(1)).alias("ci_high"), F.greatest(2 * F.least("lo", "hi"), F.lit(1.0 / reps)).alias("p"))
 
 
-@STREAM.add("misc09_reproduction")
+_REPRO = TALLY + ", " + match_ctes("ab", thr=0.6, tag="o").strip() + ", scr AS (SELECT round(200.0 * sum(n_span) / sum(n_a + n_b), 6) AS now, round(200.0 * (SELECT count(*) FROM mto) / sum(n_a + n_b), 6) AS before FROM tal)"
+
+
+@q("misc09_reproduction", f"{_REPRO} SELECT now, before, round(abs(now - before), 6) AS delta, abs(now - before) >= 0.6 AS flag FROM scr", "ab")
 def misc09(s, d):
     """Deltas of scores under two token rules, flagged where they are large."""
     new = M.micro_f1(M.tallies(M.with_matches(B.coded(s, d)))).select(F.col("pair_f1").alias("now"))
     old = M.micro_f1(M.tallies(M.with_matches(B.coded(s, d), thr=0.6))).select(F.col("pair_f1").alias("before"))
-    return new.crossJoin(old).select("now", "before", F.abs(F.col("now") - F.col("before")).alias("delta"), (F.abs(F.col("now") - F.col("before")) >= 0.6).alias("flag"))
+    return new.crossJoin(old).select("now", "before", F.round(F.abs(F.col("now") - F.col("before")), 6).alias("delta"), (F.abs(F.col("now") - F.col("before")) >= 0.6).alias("flag"))
+
 
+_SWEEP = "WITH th AS (SELECT comment_id || '|' || thr AS k, thr, pa, list_filter(pb, lambda p: p.intensity >= thr) AS pb FROM ab, (VALUES (0.0::DOUBLE), (0.5), (0.7), (0.8), (0.9), (0.95)) t(thr)), " + match_ctes("th", "k", tag="w").strip() + """,
+    ty AS (SELECT th.k, count(*) FILTER (pa[i].emotion = pb[j].emotion) AS n FROM mtw JOIN th USING (k) GROUP BY 1)
+    SELECT thr, round(200.0 * sum(coalesce(ty.n, 0)) / sum(len(pa) + len(pb)), 6) AS typed_f1 FROM th LEFT JOIN ty USING (k) GROUP BY 1 ORDER BY typed_f1 DESC, thr LIMIT 1"""
 
-@STREAM.add("udf09_threshold_sweep")
+
+@q("udf09_threshold_sweep", _SWEEP, "ab")
 def udf09(s, d):
     """The best of six thresholds on intensity by typed F1; the first of equals."""
     ab = B.coded(s, d).withColumn("thr", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 0.7, 0.8, 0.9, 0.95)])))
@@ -288,3 +296,52 @@ def str03(s, d):
     I.run_to_end(stream.writeStream.foreachBatch(sink), f"{scratch.base}/checkpoint")
     return s.read.schema("id string, output string, error string, batch bigint").parquet(out).select("id", "output", "error")
 
+
+@q("str02_resume_offsets", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events")
+def str02(s, d):
+    """Two runs over one checkpoint: the second continues where the first stopped, nothing appears twice."""
+    scratch = Scratch(s, "resume")
+    ev = table(s, d, "events").select("event_id", "user_id")
+    for half in (0, 1):
+        ev.where(F.col("event_id") % 2 == half).write.mode("overwrite").parquet(f"{scratch.base}/in/part={half}")
+        stream = s.readStream.schema("event_id bigint, user_id bigint").parquet(f"{scratch.base}/in/*")
+        I.run_to_end(stream.writeStream.format("parquet").option("path", f"{scratch.base}/out"), f"{scratch.base}/checkpoint")
+    return s.read.schema("event_id bigint, user_id bigint").parquet(f"{scratch.base}/out").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"))
+
+
+@STREAM.add("snk03_commit_log")
+def snk03(s, d):
+    """The committed batches of a finished stream: one commit file per batch, written atomically."""
+    scratch = Scratch(s, "commits")
+    table(s, d, "events").select("event_id").repartition(3).write.parquet(f"{scratch.base}/in")
+    stream = s.readStream.schema("event_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{scratch.base}/in")
+    I.run_to_end(stream.writeStream.format("parquet").option("path", f"{scratch.base}/out"), f"{scratch.base}/checkpoint")
+    log = s.read.format("binaryFile").load(f"{scratch.base}/checkpoint/commits")
+    return log.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("int").alias("batch"), "length")
+
+
+@STREAM.add("misc01_stream_checkpoints")
+def misc01(s, d):
+    """What two streams keep apart in their own checkpoint folders."""
+    both = [snk03(s, d).withColumn("stream", F.lit(n)) for n in ("posts", "comments")]
+    return both[0].unionByName(both[1]).groupBy("stream").agg(F.count(F.lit(1)).alias("n_batches"))
+
+
+@STREAM.add("snk04_one_writer_per_task")
+def snk04(s, d):
+    """Lines appended by several jobs: every task writes files of its own, so no lock is shared."""
+    path = f"{Scratch(s, 'append').base}/log"
+    for k in range(2):
+        J.write_jsonl(turns(s, d).where(F.col("turn") % 2 == k), path, "append")
+    return J.read_lines(s, path).groupBy().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+@STREAM.add("snk05_markdown_report")
+def snk05(s, d):
+    """The agreement report as Markdown lines, rendered from one row of figures."""
+    from .q_match import agg22
+
+    r = agg22(s, d)
+    line = lambda label, col: F.concat(F.lit(f"- {label}: "), F.col(col).cast("string"))
+    lines = F.array(F.lit("# Agreement of two annotators"), line("comments", "n"), line("matched pairs", "matched"), line("span F1", "span_f1"), line("relaxed span F1", "span_f1_relaxed"), line("comments that differ", "n_differ"))
+    return r.select(F.posexplode(lines).alias("line_no", "line"))
