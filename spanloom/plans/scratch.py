@@ -31,6 +31,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_ALL: list["Scratch"] = []
+
+
+def clear() -> int:
+    """Remove the tables of all operators run so far; call it once their results are written.
+
+    Results are lazy and read these tables, so a result that is still needed must be written first.
+    What is not cleared goes when the process ends.
+    """
+    n = len(_ALL)
+    while _ALL:
+        s = _ALL.pop()
+        s._remove(s.base)
+    return n
+
+
 class Scratch:
     """A private folder of intermediate tables of one operator run."""
 
@@ -38,7 +54,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{checkpoint_root(spark).rstrip('/')}/spanloom/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(self._remove, self.base)
+        _ALL.append(self)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Run ``df`` once, keep its rows as a table, return a reader of that table."""
@@ -68,3 +84,6 @@ class Scratch:
             hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
         except Exception:
             pass
+
+
+atexit.register(clear)
