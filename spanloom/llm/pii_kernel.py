@@ -201,21 +201,24 @@ def _disguises(low: str, at: list[tuple[int, int]]) -> list[tuple[int, int, str]
     for first, last in at:
         if first < done:
             continue
-        for m in DISGUISED.finditer(low, max(done, first - 100), min(len(low), last + 200)):
-            if m.start() <= first < m.end():
-                s = m[0]
-                sign = next((x for x in AT_PART.finditer(s)), None)
-                if sign is None:
-                    break
-                if sign[0] == " at ":
-                    # plain words: only with a spelled dot, a known ending, and no ordinary word before
-                    end = s[max(s.rfind("."), s.rfind(" "), s.rfind(")"), s.rfind("]")) + 1 :]
-                    if not DOT_PART.search(s, sign.end()) or (len(end) > 2 and end not in ENDINGS) or s[: sign.start()] in NO_MAILBOX:
-                        break
-                out.append((m.start() + sign.start(), m.start() + sign.end(), "@"))
-                out += [(m.start() + x.start(), m.start() + x.end(), ".") for x in DOT_PART.finditer(s, sign.end())]
-                done = m.end()
-                break
+        at_pos, stop = max(done, first - 100), min(len(low), last + 200)
+        while (m := DISGUISED.search(low, at_pos, stop)) and m.start() <= first:
+            s = m[0]
+            sign = AT_PART.search(s)
+            if m.end() <= first:
+                at_pos = m.start() + sign.end()
+                continue
+            if sign[0] == " at ":
+                # plain words: only with a spelled dot, a known ending, and no ordinary word before;
+                # else the address may begin behind them
+                end = s[max(s.rfind("."), s.rfind(" "), s.rfind(")"), s.rfind("]")) + 1 :]
+                if not DOT_PART.search(s, sign.end()) or (len(end) > 2 and end not in ENDINGS) or s[: sign.start()] in NO_MAILBOX:
+                    at_pos = m.start() + sign.end()
+                    continue
+            out.append((m.start() + sign.start(), m.start() + sign.end(), "@"))
+            out += [(m.start() + x.start(), m.start() + x.end(), ".") for x in DOT_PART.finditer(s, sign.end())]
+            done = m.end()
+            break
     return out
 
 
@@ -322,6 +325,11 @@ def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iter
         if prev.isalnum() or prev in _GLUE or nxt.isalnum() or nxt in ("@", "_", "+"):
             continue
         given = _case(text[a:b])
+        if m := _REVERSED.search(low, max(0, a - 60), a):
+            fam = m[1]
+            if len(fam) > 2 and fam not in NOT_FAMILY and _case(text[m.start(1) : m.end(1)]) == given and (_BEFORE.search(low, max(0, m.start() - 24), m.start()) or low.startswith((" (", " /"), b)):
+                yield m.start(), b
+                continue
         if nxt == " " and (m := _FAMILY.match(low, b)):
             fam = m[1]
             end = m.end()
@@ -335,10 +343,6 @@ def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iter
                 if same and (_BEFORE.search(low, max(0, a - 24), a) or after in ("", "(", ",", ".", "/", "\n", SEPARATOR) or low.startswith(" (", end)):
                     yield a, end
                     continue
-        if m := _REVERSED.search(low, max(0, a - 60), a):
-            fam = m[1]
-            if len(fam) > 2 and fam not in NOT_FAMILY and _case(text[m.start(1) : m.end(1)]) == given and (_BEFORE.search(low, max(0, m.start() - 24), m.start()) or low.startswith((" (", " /"), b)):
-                yield m.start(), b
     for a, b in at.get("cue", ()):
         if (a and low[a - 1].isalnum()) or not (m := CUED.match(low, b)):
             continue

@@ -9,6 +9,8 @@ FOUND = [
     ("ann (at) mail (dot) example (dot) org", "[EMAIL]"),
     ("PS ann.lee at mail dot example dot org thanks", "PS [EMAIL] thanks"),
     ("ann [at] mail.example", "[EMAIL]"),
+    ("reach me at ann.lee(at)mail(dot)example(dot)org if", "reach me at [EMAIL] if"),
+    ("regards Oakwell, Ruth Office vacancies", "regards [NAME] Office vacancies"),
     ("mail: аnn＠example.com", "mail: [EMAIL]"),  # Cyrillic a, full-width at
     ("ann&#64;example.com", "[EMAIL]"),
     ("a​nn@exam­ple.com.", "[EMAIL]."),
