@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
-from ..schema import EMOTIONS
+from ..schema import EMOTIONS, PAIR_FIELDS
 from . import bindings as B
 from .bindings import containment_sql, iou_sql, norm_sql, span_in_sql, sql, tokens_sql, week_sql
 from .registry import Registry
@@ -145,6 +145,10 @@ q("flt04_caps", "SELECT id, length(substr(post_title, 1, 300)) AS t, length(subs
 )
 q("flt05_context_caps", "SELECT id, length(nullif(substr(selftext, 1, 40), '')) AS n FROM p", "p")(lambda s, d: B.posts(s, d).select("id", F.length(F.nullif(F.left("selftext", F.lit(40)), F.lit(""))).alias("n")))
 q("flt07_clean_pairs", "SELECT comment_id, annotator, to_json(pairs)::VARCHAR AS js FROM lab WHERE annotator = 'A' AND len(pairs) = 0", "lab")(lambda s, d: B.labels(s, d).where((F.col("annotator") == "A") & (F.size("pairs") == 0)).select("comment_id", "annotator", F.to_json(R.clean_pairs("pairs")).alias("js")))
+_EIGHT = "{" + ", ".join(f"'{f}': p.{f}" for f in PAIR_FIELDS) + "}"
+q("flt07_clean_pairs_all", f"SELECT comment_id, annotator, to_json(list_transform(pairs, lambda p: {_EIGHT}))::VARCHAR AS js FROM lab", "lab")(
+    lambda s, d: B.labels(s, d).select("comment_id", "annotator", F.to_json(R.clean_pairs("pairs"), {"ignoreNullFields": "false"}).alias("js"))
+)
 q("flt08_drop_cause", "SELECT cause, count(*) AS n FROM pr0 WHERE coalesce(cause, '') <> 'interpersonal' GROUP BY 1", "pr0")(lambda s, d: B.market_pairs(s, d).groupBy("cause").agg(F.count(F.lit(1)).alias("n")))
 q("flt10_sarcasm_treatments", "SELECT treatment, emotion, count(*) AS n, round(sum(CASE WHEN treatment = 'flip' AND sarcasm THEN -valence ELSE valence END), 4) AS total FROM pr, (VALUES ('baseline'), ('drop'), ('flip')) t(treatment) WHERE NOT (treatment = 'drop' AND sarcasm) GROUP BY 1, 2", "pr")(
     lambda s, d: R.sarcasm_treatments(B.market_pairs(s, d)).groupBy("treatment", "emotion").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("valence"), 4).alias("total"))
