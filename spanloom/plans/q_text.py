@@ -145,6 +145,10 @@ q("flt04_caps", "SELECT id, length(substr(post_title, 1, 300)) AS t, length(subs
 )
 q("flt05_context_caps", "SELECT id, length(nullif(substr(selftext, 1, 40), '')) AS n FROM p", "p")(lambda s, d: B.posts(s, d).select("id", F.length(F.nullif(F.left("selftext", F.lit(40)), F.lit(""))).alias("n")))
 q("flt07_clean_pairs", "SELECT comment_id, annotator, to_json(pairs)::VARCHAR AS js FROM lab WHERE annotator = 'A' AND len(pairs) = 0", "lab")(lambda s, d: B.labels(s, d).where((F.col("annotator") == "A") & (F.size("pairs") == 0)).select("comment_id", "annotator", F.to_json(R.clean_pairs("pairs")).alias("js")))
+q("flt05_context_caps_full", """SELECT c.id, length(nullif(substr(p.selftext, 1, 40000), '')) AS n_selftext, length(nullif(substr(b.body, 1, 10000), '')) AS n_parent
+    FROM c LEFT JOIN p ON p.id = regexp_replace(c.link_id, '^[^_]*_', '') LEFT JOIN c b ON starts_with(c.parent_id, 't1_') AND b.id = regexp_replace(c.parent_id, '^[^_]*_', '')""", "c", "p")(
+    lambda s, d: B.items(s, d).select("id", F.length("post_selftext").alias("n_selftext"), F.length("parent_body").alias("n_parent"))
+)
 _EIGHT = "{" + ", ".join(f"'{f}': p.{f}" for f in PAIR_FIELDS) + "}"
 q("flt07_clean_pairs_all", f"SELECT comment_id, annotator, to_json(list_transform(pairs, lambda p: {_EIGHT}))::VARCHAR AS js FROM lab", "lab")(
     lambda s, d: B.labels(s, d).select("comment_id", "annotator", F.to_json(R.clean_pairs("pairs"), {"ignoreNullFields": "false"}).alias("js"))

@@ -38,3 +38,13 @@ def test_every_pair_is_projected_to_the_scheme(spark, labelled):
     assert {k: len(v) for k, v in got.items()} == {("x", "A"): 2, ("x", "C07"): 1, ("y", "B"): 0}
     assert all(tuple(p) == PAIR_FIELDS for ps in got.values() for p in ps)
     assert got["x", "A"][1]["cause_span"] is None and got["x", "A"][1]["emotion_span"] == "t"
+
+
+def test_context_is_capped_at_its_own_lengths(spark, tmp_path):
+    from helpers import comments, posts
+
+    posts(spark, [("p1", "x" * 40_005, 1), ("p2", "y" * 41, 1), ("p3", "", 1)]).write.parquet(f"{tmp_path}/posts.parquet")
+    rows = [("a", "t3_p1", "t3_p1", "u", 1, "z" * 10_007, 1), ("b", "t3_p1", "t1_a"), ("c", "t3_p2", "t1_b"), ("d", "t3_p3", "t1_gone")]
+    comments(spark, rows).write.parquet(f"{tmp_path}/comments.parquet")
+    got = {r["id"]: (r["n_selftext"], r["n_parent"]) for r in run(spark, "flt05_context_caps_full", str(tmp_path))}
+    assert got == {"a": (40_000, None), "b": (40_000, 10_000), "c": (41, 4), "d": (None, None)}
