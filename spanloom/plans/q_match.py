@@ -10,6 +10,7 @@ from ..operators import voting as V
 from . import bindings as B
 from .bindings import containment_sql, iou_sql, sql, tokens_sql
 from .registry import Registry
+from .scratch import Scratch
 
 MATCH = Registry()
 
@@ -292,13 +293,30 @@ def set09(s, d):
     return V.clusters(B.labels(s, d).select("comment_id", "annotator", "pairs")).select("comment_id", "cluster", "annotator", F.col("pair.emotion").alias("emotion"))
 
 
+CLUSTER = ["comment_id", "cluster"]
+
+
+def _members(s, d):
+    """The members of every cluster over all annotators and pairs."""
+    return Scratch(s, "clusters").table(V.clusters(B.labels(s, d).select("comment_id", "annotator", "pairs")), "members")
+
+
+# votes per matched cluster over all pairs
+MATCH.add("agg10_cluster_vote")(lambda s, d: V.vote_fields(_members(s, d), CLUSTER))
+MATCH.add("agg11_cluster_null_cause")(lambda s, d: V.null_cause_majority(_members(s, d), CLUSTER))
+MATCH.add("agg12_cluster_medoid")(lambda s, d: V.medoids(_members(s, d), CLUSTER))
+MATCH.add("agg13_cluster_intensity")(lambda s, d: _members(s, d).groupBy(*CLUSTER).agg(F.round(F.avg("pair.intensity"), 6).alias("intensity")))
+MATCH.add("misc10_cluster_judge_splits")(lambda s, d: V.judge_splits(_members(s, d), CLUSTER))
+
+
 @MATCH.add("misc11_consensus")
 def misc11(s, d):
     """Voted consensus pairs per comment, singletons not included, with the fields left to a judge."""
-    v = V.vote_fields(V.clusters(B.labels(s, d).select("comment_id", "annotator", "pairs")), ["comment_id", "cluster"])
+    members = _members(s, d)
+    v = V.vote_fields(members, CLUSTER).join(V.medoids(members, CLUSTER), CLUSTER)
     unclear = F.col("null_causes") * 2 > F.col("support")
     disputes = F.array_compact(F.array(F.when(F.col("emotion_tie"), "emotion"), F.when(F.col("cause_category_tie") & ~unclear, "cause_category")))
-    return v.select("comment_id", "cluster", "support", "emotion", F.when(unclear, "unclear").otherwise(F.col("cause_category")).alias("cause_category"), "target_asset", "sarcasm", "intensity", (F.col("support") > 1).alias("included"), F.array_join(disputes, ",").alias("disputes"))
+    return v.select("comment_id", "cluster", "support", "emotion", F.when(unclear, "unclear").otherwise(F.col("cause_category")).alias("cause_category"), "target_asset", "sarcasm", "intensity", "emotion_span", F.when(~unclear, F.col("cause_span")).alias("cause_span"), (F.col("support") > 1).alias("included"), F.array_join(disputes, ",").alias("disputes"))
 
 
 q("set04_export_disagreements", f"{_CL2} SELECT DISTINCT comment_id FROM cl WHERE support = 1", "ab")(

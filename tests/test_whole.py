@@ -1,6 +1,8 @@
 """Queries over all rows of their job, on small tables of their own and against plain implementations."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 
@@ -48,3 +50,93 @@ def test_context_is_capped_at_its_own_lengths(spark, tmp_path):
     comments(spark, rows).write.parquet(f"{tmp_path}/comments.parquet")
     got = {r["id"]: (r["n_selftext"], r["n_parent"]) for r in run(spark, "flt05_context_caps_full", str(tmp_path))}
     assert got == {"a": (40_000, None), "b": (40_000, 10_000), "c": (41, 4), "d": (None, None)}
+
+
+def iou(a, b):
+    a, b = set((a or "").split()), set((b or "").split())
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def plain_clusters(votes):
+    """Clusters of one comment as lists of pairs; votes are (annotator, pairs)."""
+    votes = sorted(votes)
+    part = {(a, i): {(a, i)} for a, ps in votes for i in range(len(ps))}
+    span = {(a, i): p[3] for a, ps in votes for i, p in enumerate(ps)}
+    for n, (a, pa) in enumerate(votes):
+        for b, pb in votes[n + 1 :]:
+            left, right = set(range(len(pa))), set(range(len(pb)))
+            for s, i, j in sorted(((iou(span[a, i], span[b, j]), i, j) for i in left for j in right), reverse=True):
+                if s >= 0.5 and i in left and j in right:
+                    left.remove(i)
+                    right.remove(j)
+                    both = part[a, i] | part[b, j]
+                    for k in both:
+                        part[k] = both
+    of = {(a, i): p for a, ps in votes for i, p in enumerate(ps)}
+    for comp in {id(c): c for c in part.values()}.values():
+        kept = []
+        for who in sorted({a for a, _ in comp}):
+            own = sorted(k for k in comp if k[0] == who)
+            kept.append(max(own, key=lambda k: round(sum(iou(span[k], span[o]) for o in sorted(comp) if o[0] != who), 9)))
+        yield [of[k] for k in kept]
+        yield from ([of[k]] for k in comp if k not in kept)
+
+
+def plain_medoid(spans):
+    real = [x for x in spans if x]
+    at = max(range(len(real)), key=lambda i: round(sum(iou(real[i], o) for j, o in enumerate(real) if j != i), 9), default=None)
+    return None if at is None else real[at]
+
+
+def plain_record(ps):
+    n, out = len(ps), {"support": len(ps)}
+    nulls = sum(p[4] is None for p in ps)
+    out["unclear"] = nulls * 2 > n
+    out["intensity"] = round(sum(p[8] for p in ps) / n, 6)
+    out["spans"] = (plain_medoid([p[3] for p in ps]), plain_medoid([p[4] for p in ps]))
+    out["splits"] = set()
+    for f, at in (("emotion", 2), ("cause_category", 6)):
+        (top, c), *_ = Counter(p[at] for p in ps).most_common(1)
+        out[f], out[f"{f}_tie"] = top, c * 2 <= n
+        won = nulls if f == "cause_category" and out["unclear"] else c
+        if n / 2 < won < n:
+            out["splits"].add((f, ",".join(sorted({p[at] for p in ps if p[at]}))))
+    return out
+
+
+def crowd(seed, n_items=60, people=("A", "B", "C01", "C02", "C03")):
+    rng = random.Random(seed)
+    one = lambda: pair(rng.choice(["a b c d", "a b c", "b c d", "e f", "e f g", "h", "h i"]), rng.choice("uvw"), rng.choice([None, "p q", "q r", "p"]), rng.choice("kl"), rng.choice([0.25, 0.5, 1.0]), asset=rng.choice(["gold", "none"]))
+    return [(f"c{i:02}", a, [one() for _ in range(rng.randint(0, 3))]) for i in range(n_items) for a in people if rng.random() < 0.8]
+
+
+def test_votes_are_taken_per_matched_cluster(spark, labelled):
+    rows = crowd(3)
+    rows += [("two", "A", [pair("x y", "u"), pair("z", "v")]), ("two", "B", [pair("z", "v"), pair("x y", "u")])]
+    d = labelled(rows)
+    key = lambda r: (r["comment_id"], r["cluster"])
+    got = {key(r): r.asDict() for r in run(spark, "agg10_cluster_vote", d)}
+    for name in ("agg11_cluster_null_cause", "agg12_cluster_medoid", "agg13_cluster_intensity"):
+        found = {key(r): r.asDict() for r in run(spark, name, d)}
+        assert set(found) == set(got)
+        for k, r in found.items():
+            got[k] |= r
+    for r in got.values():
+        r["splits"] = set()
+    for r in run(spark, "misc10_cluster_judge_splits", d):
+        got[key(r)]["splits"].add((r["field"], r["cands"]))
+    have, want = {}, {}
+    for (c, _), r in got.items():
+        assert r["unclear"] == (r["null_causes"] * 2 > r["support"])
+        have.setdefault(c, []).append(str((r["support"], r["unclear"], round(r["intensity"], 5), r["emotion_span"], r["cause_span"], r["emotion"], r["emotion_tie"], r["cause_category"], r["cause_category_tie"], sorted(r["splits"]))))
+    for c in {r[0] for r in rows}:
+        for ps in plain_clusters([(a, ps) for x, a, ps in rows if x == c]):
+            r = plain_record(ps)
+            want.setdefault(c, []).append(str((r["support"], r["unclear"], round(r["intensity"], 5), *r["spans"], r["emotion"], r["emotion_tie"], r["cause_category"], r["cause_category_tie"], sorted(r["splits"]))))
+    assert {c: sorted(v) for c, v in have.items()} == {c: sorted(v) for c, v in want.items()}
+    assert sum(r["support"] for r in got.values()) == sum(len(ps) for *_, ps in rows)
+    assert sorted(r["support"] for (c, _), r in got.items() if c == "two") == [2, 2] and any(r["splits"] for r in got.values())
+    cons = {key(r): r for r in run(spark, "misc11_consensus", d)}
+    assert set(cons) == set(got)
+    for k, r in cons.items():
+        assert (r["emotion_span"], r["cause_span"]) == (got[k]["emotion_span"], None if got[k]["unclear"] else got[k]["cause_span"])
