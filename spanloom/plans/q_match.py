@@ -322,6 +322,20 @@ def misc11(s, d):
 q("set04_export_disagreements", f"{_CL2} SELECT DISTINCT comment_id FROM cl WHERE support = 1", "ab")(
     lambda s, d: _two_model_clusters(s, d).join(B.coded(s, d).select("comment_id"), "comment_id", "left_semi").groupBy("comment_id", "cluster").agg(F.count(F.lit(1)).alias("support")).where("support = 1").select("comment_id").distinct()
 )
+
+
+def _disputed(s, d, members):
+    """Comments with a pair that one annotator alone has, or a cluster without a majority for a judged field."""
+    v = V.vote_fields(members, CLUSTER)
+    unclear = F.col("null_causes") * 2 > F.col("support")
+    return v.where((F.col("support") == 1) | F.col("emotion_tie") | (F.col("cause_category_tie") & ~unclear)).select("comment_id").distinct()
+
+
+MATCH.add("set04_export_disputed")(lambda s, d: _disputed(s, d, _members(s, d)))
+_TIED = "SELECT comment_id FROM mx WHERE x.emotion IS DISTINCT FROM y.emotion OR (x.cause_category IS DISTINCT FROM y.cause_category AND NOT (x.cause_span IS NULL AND y.cause_span IS NULL))"
+q("set04_export_disputed_two_models", f"{_CL2.replace(AB, ABX, 1)} SELECT comment_id FROM cl WHERE support = 1 UNION {_TIED}", "ab")(
+    lambda s, d: _disputed(s, d, _two_model_clusters(s, d).join(B.coded(s, d).select("comment_id"), "comment_id", "left_semi"))
+)
 q("misc10_judge_splits", f"WITH {_VOTE}, per AS (SELECT comment_id, p.emotion AS v, count(*) AS c FROM vp GROUP BY 1, 2), t AS (SELECT comment_id, sum(c) AS n, max(c) AS top, array_to_string(list_sort(list(v) FILTER (v IS NOT NULL)), ',') AS cands FROM per GROUP BY 1) SELECT comment_id, cands FROM t WHERE top * 2 > n AND top < n", "lab")(
     lambda s, d: _seats(s, d).groupBy("comment_id", F.col("pair.emotion").alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy("comment_id").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.array_join(F.array_sort(F.collect_list("v")), ",").alias("cands")).where("top * 2 > n and top < n").select("comment_id", "cands")
 )

@@ -140,3 +140,13 @@ def test_votes_are_taken_per_matched_cluster(spark, labelled):
     assert set(cons) == set(got)
     for k, r in cons.items():
         assert (r["emotion_span"], r["cause_span"]) == (got[k]["emotion_span"], None if got[k]["unclear"] else got[k]["cause_span"])
+
+
+def test_ties_are_exported_besides_singletons(spark, labelled):
+    one = lambda *a, **k: [pair(*a, **k)]
+    rows = [("agreed", "A", one("x y")), ("agreed", "B", one("x y")), ("emotion", "A", one("x y", "u")), ("emotion", "B", one("x y", "v")), ("cause", "A", one("x y", category="k")), ("cause", "B", one("x y", category="l"))]
+    rows += [("unclear", "A", one("x y", cause=None, category="k")), ("unclear", "B", one("x y", cause=None, category="l")), ("alone", "A", one("x y")), ("alone", "B", []), ("third", "A", one("x y")), ("third", "B", one("x y")), ("third", "C01", one("z"))]
+    d = labelled(rows)
+    ids = lambda n: sorted(r["comment_id"] for r in run(spark, n, d))
+    assert ids("set04_export_disputed_two_models") == ["alone", "cause", "emotion"]
+    assert ids("set04_export_disputed") == ["alone", "cause", "emotion", "third"]
