@@ -86,12 +86,14 @@ def kappa(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 
 def fleiss(counts: DataFrame, cols: list[str]) -> DataFrame:
-    """Fleiss' kappa of items with category counts in ``cols``; items with one rating or none are left out."""
+    """Fleiss' kappa of items with category counts in ``cols``; items with one rating or none are left out.
+
+    Items may have different numbers of ratings; a category's share is that of all ratings."""
     n_i = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     rows = counts.withColumn("_n", n_i).where("_n > 1")
     sq = sum((F.col(c) * F.col(c) for c in cols[1:]), F.col(cols[0]) * F.col(cols[0]))
-    tot = rows.agg(F.count(F.lit(1)).alias("items"), F.min("_n").alias("r"), F.avg((sq - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))).alias("p_bar"), *[F.sum(c).alias(f"s_{c}") for c in cols])
-    share = [F.try_divide(F.col(f"s_{c}"), F.col("items") * F.col("r")) for c in cols]
+    tot = rows.agg(F.count(F.lit(1)).alias("items"), F.sum("_n").alias("r"), F.avg((sq - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))).alias("p_bar"), *[F.sum(c).alias(f"s_{c}") for c in cols])
+    share = [F.try_divide(F.col(f"s_{c}"), F.col("r")) for c in cols]
     pe = sum((s * s for s in share[1:]), share[0] * share[0])
     return tot.withColumn("pe", pe).select("items", F.round(F.when(F.col("pe") >= 1, 1.0).otherwise(F.try_divide(F.col("p_bar") - F.col("pe"), 1 - F.col("pe"))), 6).alias("kappa"))
 

@@ -225,6 +225,24 @@ def agg28(s, d):
     return M.with_matches(j).groupBy("ma", "mb").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(2.0 * F.size("m") / (F.size("pa") + F.size("pb"))), 6).alias("match_rate"))
 
 
+_ALL_PAIRS = "m4 AS (SELECT a.comment_id || '|' || a.annotator || '|' || b.annotator AS k, a.annotator AS ma, b.annotator AS mb, a.comment_id, a.pairs AS pa, b.pairs AS pb FROM lab a JOIN lab b ON a.comment_id = b.comment_id AND a.annotator < b.annotator WHERE len(a.pairs) + len(b.pairs) > 0)"
+
+
+@q("agg28_cross_model_all", f"""WITH {_ALL_PAIRS}, {match_ctes('m4', 'k', tag='n').strip()}, x4 AS (SELECT k, m4.pa[i] AS x, m4.pb[j] AS y FROM mtn JOIN m4 USING (k)),
+    c4 AS (SELECT k, count(*) AS n, count(*) FILTER (x.emotion IS NOT DISTINCT FROM y.emotion) AS e, count(*) FILTER (x.cause_category IS NOT DISTINCT FROM y.cause_category) AS c FROM x4 GROUP BY 1)
+    SELECT ma, mb, count(*) AS n, round(avg(2.0 * coalesce(c4.n, 0) / (len(pa) + len(pb))), 6) AS match_rate, coalesce(sum(c4.n), 0)::BIGINT AS n_matched, round(sum(e)::DOUBLE / sum(c4.n), 6) AS emotion_agreement, round(sum(c)::DOUBLE / sum(c4.n), 6) AS cause_agreement
+    FROM m4 LEFT JOIN c4 USING (k) GROUP BY 1, 2""", "lab")
+def agg28_all(s, d):
+    """Match rate of every two annotators, and how far matched pairs agree on emotion and cause."""
+    lab = B.labels(s, d)
+    b = lab.select(F.col("comment_id").alias("b_id"), F.col("annotator").alias("mb"), F.col("pairs").alias("pb"))
+    j = lab.select("comment_id", F.col("annotator").alias("ma"), F.col("pairs").alias("pa")).join(b, (F.col("comment_id") == F.col("b_id")) & (F.col("ma") < F.col("mb"))).where(F.size("pa") + F.size("pb") > 0)
+    same = lambda f: F.size(F.filter("m", lambda t: F.get("pa", t["i"])[f].eqNullSafe(F.get("pb", t["j"])[f])))
+    rows = M.with_matches(j).select("ma", "mb", F.size("m").alias("k"), (2.0 * F.size("m") / (F.size("pa") + F.size("pb"))).alias("rate"), same("emotion").alias("e"), same("cause_category").alias("c"))
+    share = lambda f: F.round(F.try_divide(F.sum(f), F.sum("k")), 6)
+    return rows.groupBy("ma", "mb").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rate"), 6).alias("match_rate"), F.sum("k").alias("n_matched"), share("e").alias("emotion_agreement"), share("c").alias("cause_agreement"))
+
+
 _SARC = "fl AS (SELECT comment_id, count(*) FILTER (list_bool_or(list_transform(pairs, lambda p: coalesce(p.sarcasm, FALSE)))) AS yes, count(*) FILTER (NOT coalesce(list_bool_or(list_transform(pairs, lambda p: coalesce(p.sarcasm, FALSE))), FALSE)) AS no FROM lab WHERE annotator IN ('A', 'B') GROUP BY 1)"
 q("agg17_fleiss_sarcasm", f"WITH {_SARC}, r AS (SELECT *, yes + no AS n FROM fl WHERE yes + no > 1), t AS (SELECT count(*) AS items, min(n) AS n, avg((yes * yes + no * no - n)::DOUBLE / (n * (n - 1))) AS pb, sum(yes) AS sy, sum(no) AS sn FROM r) SELECT items, round((pb - (sy * sy + sn * sn)::DOUBLE / (items * n * items * n)) / (1 - (sy * sy + sn * sn)::DOUBLE / (items * n * items * n)), 6) AS kappa FROM t", "lab")(
     lambda s, d: M.fleiss(
@@ -232,6 +250,11 @@ q("agg17_fleiss_sarcasm", f"WITH {_SARC}, r AS (SELECT *, yes + no AS n FROM fl
     )
 )
 
+_SARC_ALL = "fl AS (SELECT comment_id, count(*) FILTER (s) AS yes, count(*) FILTER (NOT s) AS no FROM (SELECT comment_id, coalesce(list_bool_or(list_transform(pairs, lambda p: coalesce(p.sarcasm, FALSE))), FALSE) AS s FROM lab) GROUP BY 1)"
+q("agg17_fleiss_sarcasm_all", f"WITH {_SARC_ALL}, r AS (SELECT *, yes + no AS n FROM fl WHERE yes + no > 1), t AS (SELECT count(*) AS items, avg((yes * yes + no * no - n)::DOUBLE / (n * (n - 1))) AS pb, sum(yes)::DOUBLE / sum(n) AS sy, sum(no)::DOUBLE / sum(n) AS sn FROM r) SELECT items, round(CASE WHEN sy * sy + sn * sn >= 1 THEN 1.0 ELSE (pb - sy * sy - sn * sn) / (1 - sy * sy - sn * sn) END, 6) AS kappa FROM t", "lab")(
+    lambda s, d: M.fleiss(B.labels(s, d).withColumn("y", F.exists("pairs", lambda p: F.coalesce(p["sarcasm"], F.lit(False)))).groupBy("comment_id").agg(F.count_if("y").alias("yes"), F.count_if(~F.col("y")).alias("no")), ["yes", "no"])
+)
+
 # votes
 _VOTE = "vp AS (SELECT comment_id, annotator, row_number() OVER (PARTITION BY comment_id ORDER BY annotator) - 1 AS seat, pairs[1] AS p FROM lab WHERE len(pairs) > 0)"
 
@@ -306,6 +329,7 @@ MATCH.add("agg10_cluster_vote")(lambda s, d: V.vote_fields(_members(s, d), CLUST
 MATCH.add("agg11_cluster_null_cause")(lambda s, d: V.null_cause_majority(_members(s, d), CLUSTER))
 MATCH.add("agg12_cluster_medoid")(lambda s, d: V.medoids(_members(s, d), CLUSTER))
 MATCH.add("agg13_cluster_intensity")(lambda s, d: _members(s, d).groupBy(*CLUSTER).agg(F.round(F.avg("pair.intensity"), 6).alias("intensity")))
+MATCH.add("agg15_support_histogram_all")(lambda s, d: _members(s, d).groupBy(*CLUSTER).agg(F.count(F.lit(1)).cast("int").alias("support")).groupBy("support").agg(F.count(F.lit(1)).alias("n")))
 MATCH.add("misc10_cluster_judge_splits")(lambda s, d: V.judge_splits(_members(s, d), CLUSTER))
 
 

@@ -42,17 +42,19 @@ q("str11_live_tail", f"WITH {_CORPUS} SELECT count(*) AS n FROM co", "lab", "c")
 q("set01_pooled_files", f"WITH {_CORPUS} SELECT emotion, count(*) * 2 AS n FROM co GROUP BY 1", "lab", "c")(lambda s, d: J.load_pairs(s, [_corpus(s, d), _corpus(s, d)]).groupBy("emotion").agg(F.count(F.lit(1)).alias("n")))
 
 
-@q("src08_label_scan", "SELECT annotator AS model, comment_id, len(pairs)::INT AS n FROM lab WHERE annotator IN ('A', 'B')", "lab")
-def src08(s, d):
+def _scanned(s, d, lab):
     """Label files per model, read in path order; the later record of an id wins."""
     base = Scratch(s, "models").base
-    lab = B.labels(s, d).where("annotator in ('A', 'B')")
     J.write_jsonl(lab.select(F.col("annotator").alias("model"), "comment_id", F.slice("pairs", 1, 0).alias("pairs"), F.lit(0).alias("rev")), f"{base}/a")
     J.write_jsonl(lab.select(F.col("annotator").alias("model"), "comment_id", "pairs", F.lit(1).alias("rev")), f"{base}/b")
     rows = J.parse_tolerant(J.read_lines(s, [f"{base}/a", f"{base}/b"]), f"model string, comment_id string, pairs {B.table(s, d, 'labels').schema['pairs'].dataType.simpleString()}, rev int")
     return J.latest(rows.where("not _bad"), ["model", "comment_id"], ["rev", "file", "at"]).select("model", "comment_id", F.size("pairs").alias("n"))
 
 
+q("src08_label_scan", "SELECT annotator AS model, comment_id, len(pairs)::INT AS n FROM lab WHERE annotator IN ('A', 'B')", "lab")(lambda s, d: _scanned(s, d, B.labels(s, d).where("annotator in ('A', 'B')")))
+q("src08_label_scan_all", "SELECT annotator AS model, comment_id, len(pairs)::INT AS n FROM lab", "lab")(lambda s, d: _scanned(s, d, B.labels(s, d)))
+
+
 q("src09_sample_scan", "SELECT id, body FROM c", "c")(lambda s, d: J.latest(B.comments(s, d).select("id", "body", "pos"), ["id"], ["pos"]).select("id", "body"))
 q("src10_latest_record", "SELECT comment_id, annotator, max(updated_at) AS at FROM (SELECT comment_id, nullif(upper(trim(annotator)), '') AS annotator, updated_at FROM labels) WHERE comment_id IS NOT NULL AND annotator IS NOT NULL GROUP BY 1, 2")(
     lambda s, d: J.latest(table(s, d, "labels").select("comment_id", F.nullif(F.upper(F.trim("annotator")), F.lit("")).alias("annotator"), F.col("updated_at").alias("at")).where("comment_id is not null and annotator is not null"), ["comment_id", "annotator"], ["at"])

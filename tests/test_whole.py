@@ -150,3 +150,37 @@ def test_ties_are_exported_besides_singletons(spark, labelled):
     ids = lambda n: sorted(r["comment_id"] for r in run(spark, n, d))
     assert ids("set04_export_disputed_two_models") == ["alone", "cause", "emotion"]
     assert ids("set04_export_disputed") == ["alone", "cause", "emotion", "third"]
+
+
+def test_all_annotators_are_compared(spark, labelled):
+    rows = crowd(5) + [("s", a, [pair("x y", sarcasm=a < "C")]) for a in ("A", "B", "C01", "C02", "C03")]
+    d = labelled(rows)
+    by = {}
+    for c, a, ps in rows:
+        by.setdefault(c, []).append((a, ps))
+    support = Counter(len(ps) for votes in by.values() for ps in plain_clusters(votes))
+    assert {r["support"]: r["n"] for r in run(spark, "agg15_support_histogram_all", d)} == support and max(support) > 2
+    assert {(r["model"], r["comment_id"]): r["n"] for r in run(spark, "src08_label_scan_all", d)} == {(a, c): len(ps) for c, a, ps in rows}
+    n = {c: (sum(any(p[1] for p in ps) for _, ps in v), len(v)) for c, v in by.items() if len(v) > 1}
+    share = sum(y for y, _ in n.values()) / sum(m for _, m in n.values())
+    seen = sum((y * y + (m - y) ** 2 - m) / (m * (m - 1)) for y, m in n.values()) / len(n)
+    chance = share**2 + (1 - share) ** 2
+    (r,) = run(spark, "agg17_fleiss_sarcasm_all", d)
+    assert r["items"] == len(n) and r["kappa"] == pytest.approx((seen - chance) / (1 - chance), abs=1e-6)
+    want = {}
+    for votes in by.values():
+        votes = sorted(votes)
+        for i, (a, pa) in enumerate(votes):
+            for b, pb in votes[i + 1 :]:
+                if pa or pb:
+                    # two annotators' clusters of two are their matches
+                    m = [c for c in plain_clusters([(a, pa), (b, pb)]) if len(c) == 2]
+                    w = want.setdefault((a, b), [[], [], []])
+                    w[0].append(2 * len(m) / (len(pa) + len(pb)))
+                    w[1] += [x[2] == y[2] for x, y in m]
+                    w[2] += [x[6] == y[6] for x, y in m]
+    got = {(r["ma"], r["mb"]): (r["n"], r["n_matched"], r["match_rate"], r["emotion_agreement"], r["cause_agreement"]) for r in run(spark, "agg28_cross_model_all", d)}
+    assert set(got) == set(want) and len(want) == 10
+    for k, (rate, emo, cause) in want.items():
+        mean = lambda xs: sum(xs) / len(xs)
+        assert got[k] == pytest.approx((len(rate), len(emo), mean(rate), mean(emo), mean(cause)), abs=2e-6)
