@@ -27,8 +27,8 @@ from ..plans.scratch import Scratch
 
 #: The driver holds one ability per annotator.
 MAX_ANNOTATORS = 2_000_000
-#: The most active annotators that are compared with each other for copying.
-MAX_COMPARED = 2_000
+#: Joint votes expanded at a time, and sums of annotator pairs that a task holds before it passes them on.
+JOINT_VOTES, HELD_PAIRS = 500_000, 500_000
 MAX_LABELS = 1_000
 PASSES = 14
 INNER = 6
@@ -158,70 +158,116 @@ def _passes(items: DataFrame, ability: np.ndarray, prior: np.ndarray, circle: np
     return ability + step, (mass + 1) / (mass + 1).sum()
 
 
-def _circles(items: DataFrame, ability: np.ndarray, prior: np.ndarray, circle: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Circles of annotators who share their errors; each annotator's circle is its smallest member.
+def _later(item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of every two votes on one item, a slice at a time; votes of an item lie together."""
+    end = np.searchsorted(item, item, side="right")
+    more = end - np.arange(len(item)) - 1
+    total = np.concatenate([[0], np.cumsum(more)])
+    at = 0
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + JOINT_VOTES, side="right")) - 1)
+        left = np.repeat(np.arange(at, to), more[at:to])
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(total[at:to] - total[at], more[at:to])
+        at = to
 
-    ``active`` are the compared annotators, ``MAX_COMPARED`` at most, so the table of joint errors
-    that each task sums up is bounded.
-    """
-    k, m, c = len(prior), len(ability), len(active)
-    slot = np.full(m, -1)
-    slot[active] = np.arange(c)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joint, same, both, equal = (np.zeros((c, c)) for _ in range(4))
-        right, n = np.zeros(c), np.zeros(c)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                v = _Batch(batch.slice(at, 1000), circle, k)
-                v.solve(ability, prior)
-                use = slot[v.j] >= 0
-                seat = slot[v.j[use]]
-                right += np.bincount(seat, v.pc[use], c)
-                n += np.bincount(seat, minlength=c)
-                wrong, there = np.zeros((v.n, c)), np.zeros((v.n, c))
-                wrong[v.item[use], seat] = 1 - v.pc[use]
-                there[v.item[use], seat] = 1
-                joint += wrong.T @ wrong
-                both += there.T @ there
-                for lab in range(k):
-                    these = use & (v.l == lab)
-                    part, voted = np.zeros((v.n, c)), np.zeros((v.n, c))
-                    part[v.item[these], slot[v.j[these]]] = 1 - v.pc[these]
-                    voted[v.item[these], slot[v.j[these]]] = 1
-                    same += part.T @ part
-                    equal += voted.T @ voted
-        x, y = np.nonzero(np.triu(both, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), *[pa.array(a[x, y]) for a in (joint, same, both, equal)]], ["x", "y", "joint", "same", "both", "equal"])
-        # an annotator's own sums travel as a pair with itself
-        own = np.arange(c)
-        none = np.zeros(c)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(own, pa.int32()), pa.array(right), pa.array(n), pa.array(none), pa.array(none)], ["x", "y", "joint", "same", "both", "equal"])
+class _PairSums:
+    """Sums per annotator pair; what is held stays bounded, as full tables are passed on."""
 
-    cols = ["joint", "same", "both", "equal"]
-    sums = items.mapInArrow(run, "x int, y int, joint double, same double, both double, equal double").groupBy("x", "y").agg(*[F.sum(x).alias(x) for x in cols]).orderBy("x", "y").toPandas()
-    own = sums[sums.x == sums.y]
-    rate = np.full(c, 0.5)
-    rate[own.x] = (own.joint / own.same.clip(lower=1)).round(6)
-    p = sums[sums.x < sums.y]
-    px, py = rate[p.x], rate[p.y]
-    chance = px * py + (1 - px) * (1 - py) / (k - 1)
-    seen = p.equal / p.both
-    z = (seen - chance) / np.sqrt(np.maximum(chance * (1 - chance), 1e-9) / p.both)
-    excess = ((seen - chance) >= EXCESS_SHARE * (1 - chance)) & (z >= EXCESS_Z)
-    errors = (p.joint >= COPY_LEAST) & (p.same >= COPY_SHARE * p.joint)
-    found = p[excess | errors]
-    out = np.arange(m)
+    def __init__(self, m: int):
+        self.m, self.parts, self.held = m, [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, *values: np.ndarray) -> None:
+        key, inverse = np.unique(x.astype(np.int64) * self.m + y, return_inverse=True)
+        self.parts.append((key, *[np.bincount(inverse, v, len(key)) for v in values]))
+        self.held += len(key)
+
+    def take(self, full: int) -> Iterator[pa.RecordBatch]:
+        """The table, if at least ``full`` pairs are left in it."""
+        if self.held <= full or not self.parts:
+            return
+        cols = [np.concatenate(c) for c in zip(*self.parts)]
+        self.parts, self.held = [], 0
+        self.add(cols[0] // self.m, cols[0] % self.m, *cols[1:])
+        if self.held > full // 2:
+            key, *sums = self.parts.pop()
+            self.held = 0
+            yield pa.RecordBatch.from_arrays([pa.array(key // self.m, pa.int32()), pa.array(key % self.m, pa.int32()), *[pa.array(v) for v in sums]], ["x", "y", "joint", "same", "both", "equal"])
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> dict[int, int]:
+    """Each annotator of the pairs with the smallest one that it is connected to."""
+    out: dict[int, int] = {}
 
     def top(i: int) -> int:
-        while out[i] != i:
-            i = out[i]
+        while (up := out.setdefault(i, i)) != i:
+            out[i] = out[up]
+            i = up
         return i
 
-    for x, y in zip(found.x, found.y):
-        a, b = sorted((top(active[x]), top(active[y])))
+    for i, j in zip(x.tolist(), y.tolist()):
+        a, b = sorted((top(i), top(j)))
         out[b] = a
-    return np.array([top(i) for i in range(m)])
+    return {i: top(i) for i in list(out)}
+
+
+def _circles(items: DataFrame, ability: np.ndarray, prior: np.ndarray, circle: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Circles of annotators who share their errors; each annotator's circle is its smallest member.
+
+    All annotators with joint items are compared: sums exist only for pairs that occur, are added up
+    per task before the shuffle and tested where they lie, and of the pairs found only a forest per
+    task comes to the driver.
+    """
+    k, m = len(prior), len(ability)
+    cols = ["joint", "same", "both", "equal"]
+    schema = "x int, y int, joint double, same double, both double, equal double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _PairSums(m)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _Batch(batch, circle, k)
+            v.solve(ability, prior)
+            wrong, one, none = 1 - v.pc, np.ones(len(v.j)), np.zeros(len(v.j))
+            # an annotator's own sums travel as a pair with itself
+            sums.add(v.j, v.j, v.pc, one, none, none)
+            for a, b in _later(v.item):
+                joint, equal = wrong[a] * wrong[b], v.l[a] == v.l[b]
+                sums.add(np.minimum(v.j[a], v.j[b]), np.maximum(v.j[a], v.j[b]), joint, joint * equal, np.ones(len(a)), equal)
+                yield from sums.take(HELD_PAIRS)
+        yield from sums.take(0)
+
+    table = scratch.table(items.mapInArrow(run, schema).groupBy("x", "y").agg(*[F.sum(x).alias(x) for x in cols]), "pairs")
+    own = table.where("x = y").select("x", "joint", "same").toPandas()
+    rate = np.full(m, 0.5)
+    rate[own.x] = (own.joint / own.same.clip(lower=1)).round(6)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            x, y, joint, same, both, equal = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", *cols))
+            px, py = rate[x], rate[y]
+            chance = px * py + (1 - px) * (1 - py) / (k - 1)
+            seen = equal / both
+            z = (seen - chance) / np.sqrt(np.maximum(chance * (1 - chance), 1e-9) / both)
+            excess = ((seen - chance) >= EXCESS_SHARE * (1 - chance)) & (z >= EXCESS_Z)
+            errors = (joint >= COPY_LEAST) & (same >= COPY_SHARE * joint)
+            found = excess | errors
+            xs.append(x[found])
+            ys.append(y[found])
+            if sum(map(len, xs)) > HELD_PAIRS:
+                up = _forest(np.concatenate(xs), np.concatenate(ys))
+                xs, ys = [np.array(list(up.values()))], [np.array(list(up))]
+        up = _forest(np.concatenate(xs), np.concatenate(ys))
+        yield pa.RecordBatch.from_arrays([pa.array(list(up.values()), pa.int32()), pa.array(list(up), pa.int32())], ["x", "y"])
+
+    found = table.where("x < y").mapInArrow(test, "x int, y int").toPandas()
+    scratch.drop(table)
+    out = np.arange(m)
+    up = _forest(found.x.to_numpy(), found.y.to_numpy())
+    out[list(up)] = list(up.values())
+    return out
 
 
 def estimate(votes: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +287,7 @@ def estimate(votes: DataFrame, known: DataFrame | None = None) -> tuple[DataFram
     if people.count() > MAX_ANNOTATORS:
         raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
     table = people.orderBy("annotator").toArrow()
-    names, busy = table.column("annotator").to_pylist(), table.column("n").to_numpy()
+    names = table.column("annotator").to_pylist()
     labels = [r[0] for r in votes.select("label").union(known.select("known")).distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
     if len(labels) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
@@ -253,11 +299,10 @@ def estimate(votes: DataFrame, known: DataFrame | None = None) -> tuple[DataFram
     items = coded.join(fixed, "item", "left").select("item", F.col("v.j").alias("js"), F.col("v.l").alias("ls"), F.coalesce("known", F.lit(-1)).alias("known"))
     items = scratch.table(items, "items")
     ability, prior, circle = np.ones(m), np.full(k, 1 / k), np.arange(m)
-    active = np.sort(np.argsort(-busy, kind="stable")[:MAX_COMPARED])
     for t in range(PASSES if m else 0):
         ability, prior = _passes(items, ability, prior, circle)
         if t in CIRCLE_PASSES:
-            circle = _circles(items, ability, prior, circle, active)
+            circle = _circles(items, ability, prior, circle, scratch)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.llm import consensus as C
 from spanloom.llm import mixing as X
 from spanloom.llm.capping import cap_contributors
 from spanloom.llm.consensus import agreement, estimate, resolved, vote_of
@@ -166,6 +167,38 @@ def test_consensus_beats_majority_and_finds_copiers(spark):
     assert all(abs(sum(x["p"] for x in r["posterior"]) - 1) < 1e-6 for r in items.limit(20).collect())
 
 
+def test_copiers_among_many_annotators_are_found(spark):
+    truth, votes = _crowd(2, 200)
+    # more annotators of greater activity than were ever compared, on items of their own
+    rng = random.Random(2)
+    busy = [(f"z{(w * 61 + t * 37) % 4000}", f"busy{w:04}", rng.choice("abcdefg")) for w in range(2100) for t in range(130)]
+    people = {r["annotator"]: r["circle"] for r in estimate(spark.createDataFrame(votes + busy, "item string, annotator string, label string"))[1].collect()}
+    assert len(people) > 2100 and {people[f"copy{k}"] for k in range(3)} == {"copy0"} and people["good0"] == "good0"
+
+
+@pytest.mark.parametrize("held", [0, 50, 10**6])
+def test_sums_of_annotator_pairs(monkeypatch, held):
+    rng = np.random.default_rng(held)
+    monkeypatch.setattr(C, "JOINT_VOTES", 20)
+    size = rng.integers(0, 9, 60)
+    item = np.repeat(np.arange(60), size)
+    who = np.concatenate([np.sort(rng.choice(12, n, replace=False)) for n in size]).astype(int)
+    want, sums, got = {}, C._PairSums(12), {}
+    for a in range(len(item)):
+        for b in range(a + 1, len(item)):
+            if item[a] == item[b]:
+                want[who[a], who[b]] = want.get((who[a], who[b]), 0) + 1
+    out = []
+    for a, b in C._later(item):
+        one = np.ones(len(a))
+        sums.add(who[a], who[b], one, one, one, one)
+        out += sums.take(held)
+    for batch in [*out, *sums.take(0)]:
+        for r in batch.to_pylist():
+            got[r["x"], r["y"]] = got.get((r["x"], r["y"]), 0) + r["both"]
+    assert got == want
+
+
 def test_known_labels_decide(spark):
     df = spark.createDataFrame([("i", "a", "x"), ("i", "b", "x"), ("j", "a", "y")], "item string, annotator string, label string")
     known = spark.createDataFrame([("i", "z")], "item string, known string")
