@@ -319,6 +319,12 @@ def _case(s: str) -> str:
     return "title" if s[0].isupper() and not s[1:].isupper() else "lower"
 
 
+def _family_follows(low: str, text: str, at: int) -> bool:
+    """Whether a family name comes after the two listed names that end at ``at``."""
+    m = _FAMILY.match(low, at)
+    return bool(m) and len(m[1]) > 2 and m[1] not in NOT_FAMILY and text[m.start(1)].isupper()
+
+
 def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
     for a, b in at.get("given", ()):
         prev, nxt = low[a - 1] if a else "", low[b : b + 1]
@@ -335,7 +341,9 @@ def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iter
             end = m.end()
             after = low[end : end + 1]
             shape = _case(text[m.start(1) : m.end(1)])
-            if len(fam) > 2 and fam not in NOT_FAMILY and fam not in _given() and after not in ("@", "_", "+"):
+            if fam in _given() and not (given == shape == "title" and not _family_follows(low, text, end)):
+                continue
+            if len(fam) > 2 and fam not in NOT_FAMILY and after not in ("@", "_", "+"):
                 same = shape == given or (given == "title" and shape == "upper")
                 if same and given != "lower":
                     yield a, end

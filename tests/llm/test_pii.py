@@ -76,3 +76,11 @@ def test_operators(spark):
     assert findings(df.limit(0), "id", ["body"]).count() == 0 and masked(df.limit(0), ["body"]).count() == 0
     with pytest.raises(ValueError):
         masked(df.withColumnRenamed("kind", "body_found"), ["body"])
+
+
+@pytest.mark.parametrize("raw,want", [
+    ("I asked Paul Thomas about rates", "I asked [NAME] about rates"), ("then Ruth Martin, who left, wrote", "then [NAME], who left, wrote"), ("I asked Paul Thomas", "I asked [NAME]"),
+    ("I asked Paul Thomas Oakwell about rates", "I asked Paul [NAME] about rates"), ("I asked paul thomas about rates", "I asked paul thomas about rates"),
+])
+def test_two_listed_names_are_given_and_family(raw, want):
+    assert mask(pa.array([raw]))[0].to_pylist() == [want]
