@@ -70,6 +70,11 @@ def addressing_replies(comments: DataFrame) -> DataFrame:
     return c.join(parents, F.substring("parent_id", 4, 1_000_000) == F.col("par_id"), "left_semi")
 
 
+def leaked(kept: DataFrame, excluded: DataFrame, key: str = "comment_id") -> DataFrame:
+    """``n_leaked``: the distinct ids that are kept although they are excluded."""
+    return kept.select(key).intersect(excluded.select(key)).agg(F.count(F.lit(1)).alias("n_leaked"))
+
+
 def checksum_status(manifest: DataFrame, local: DataFrame, fields: tuple[str, ...] = ("comment", "parent", "post")) -> DataFrame:
     """Each manifest row's status against local texts: unavailable, mismatch or ok. Two nulls are equal."""
     mine = local.select(F.col("comment_id").alias("l_id"), *[T.sha(f"{f}_text").alias(f"l_{f}") for f in fields])

@@ -111,14 +111,22 @@ q("agg53_progress", "SELECT r.annotator, count(l.comment_id) AS n FROM (VALUES (
 
 # joins of labels with items
 q("joi04_label_sample", "SELECT comment_id, count(*) AS n_models FROM lab JOIN c ON c.id = comment_id GROUP BY 1", "lab", "c")(lambda s, d: B.labels(s, d).join(B.comments(s, d).select(F.col("id").alias("cid")), F.col("comment_id") == F.col("cid")).groupBy("comment_id").agg(F.count(F.lit(1)).alias("n_models")))
-q("joi05_kept_not_excluded", "SELECT comment_id FROM lab WHERE annotator = 'A' AND comment_id IN (SELECT id FROM c) AND comment_id NOT IN (SELECT comment_id FROM lab WHERE annotator = 'C01')", "lab", "c")(
-    lambda s, d: B.labels(s, d).where("annotator = 'A'").join(B.comments(s, d).select(F.col("id").alias("comment_id")), "comment_id", "left_semi").join(B.labels(s, d).where("annotator = 'C01'").select("comment_id"), "comment_id", "left_anti").select("comment_id")
-)
+
+
+def _excluded(s, d):
+    return B.labels(s, d).where("annotator = 'C01'").select("comment_id")
+
+
+def _kept(s, d):
+    return B.labels(s, d).where("annotator = 'A'").join(B.comments(s, d).select(F.col("id").alias("comment_id")), "comment_id", "left_semi").join(_excluded(s, d), "comment_id", "left_anti").select("comment_id")
+
+
+q("joi05_kept_not_excluded", "SELECT comment_id FROM lab WHERE annotator = 'A' AND comment_id IN (SELECT id FROM c) AND comment_id NOT IN (SELECT comment_id FROM lab WHERE annotator = 'C01')", "lab", "c")(_kept)
 q("joi06_two_annotators", "SELECT comment_id FROM ab", "ab")(lambda s, d: B.coded(s, d).select("comment_id"))
 q("joi09_restrict", "SELECT comment_id, annotator FROM lab WHERE comment_id IN (SELECT comment_id FROM lab WHERE annotator = 'C02')", "lab")(lambda s, d: B.labels(s, d).join(B.labels(s, d).where("annotator = 'C02'").select("comment_id"), "comment_id", "left_semi").select("comment_id", "annotator"))
 q("joi19_extra_ids", "SELECT comment_id FROM lab WHERE annotator = 'B' AND comment_id NOT IN (SELECT comment_id FROM lab WHERE annotator = 'A')", "lab")(lambda s, d: B.labels(s, d).where("annotator = 'B'").join(B.labels(s, d).where("annotator = 'A'").select("comment_id"), "comment_id", "left_anti").select("comment_id"))
 q("set03_common_ids", "SELECT comment_id FROM lab WHERE annotator IN ('A', 'B', 'C01') GROUP BY 1 HAVING count(DISTINCT annotator) = 3", "lab")(lambda s, d: B.labels(s, d).where("annotator in ('A', 'B', 'C01')").groupBy("comment_id").agg(F.countDistinct("annotator").alias("k")).where("k = 3").select("comment_id"))
-q("set05_leak_check", "SELECT count(*) AS n_leaked FROM (SELECT comment_id FROM lab WHERE annotator = 'A' INTERSECT SELECT comment_id FROM lab WHERE annotator = 'NOBODY')", "lab")(lambda s, d: B.labels(s, d).where("annotator = 'A'").select("comment_id").intersect(B.labels(s, d).where("annotator = 'NOBODY'").select("comment_id")).agg(F.count(F.lit(1)).alias("n_leaked")))
+q("set05_leak_check", "SELECT count(*) AS n_leaked FROM (SELECT comment_id FROM lab WHERE annotator = 'A' INTERSECT SELECT comment_id FROM lab WHERE annotator = 'NOBODY')", "lab")(lambda s, d: R.leaked(_kept(s, d), _excluded(s, d)))
 q("src12_most_active", "SELECT annotator, count(*) AS n FROM lab GROUP BY 1 ORDER BY n DESC, annotator LIMIT 1", "lab")(lambda s, d: B.labels(s, d).groupBy("annotator").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "annotator").limit(1))
 q("src13_neutral_by_pairs", "SELECT comment_id, annotator, len(pairs) = 0 AS neutral FROM lab", "lab")(lambda s, d: B.labels(s, d).select("comment_id", "annotator", (F.size("pairs") == 0).alias("neutral")))
 q("src14_explicit_neutral", "SELECT comment_id, annotator, coalesce(neutral, len(pairs) = 0) AS neutral FROM lab", "lab")(lambda s, d: B.labels(s, d).select("comment_id", "annotator", F.coalesce("neutral", F.size("pairs") == 0).alias("neutral")))

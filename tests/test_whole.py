@@ -184,3 +184,23 @@ def test_all_annotators_are_compared(spark, labelled):
     for k, (rate, emo, cause) in want.items():
         mean = lambda xs: sum(xs) / len(xs)
         assert got[k] == pytest.approx((len(rate), len(emo), mean(rate), mean(emo), mean(cause)), abs=2e-6)
+
+
+def test_a_planted_leak_is_counted(spark):
+    from spanloom.operators.relational import leaked
+
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "comment_id string")
+    assert leaked(ids("a", "b", "b", "c"), ids("b", "d")).first()["n_leaked"] == 1
+    assert leaked(ids("a"), ids("d")).first()["n_leaked"] == 0
+
+
+def test_leak_check_reads_the_kept_and_the_excluded_ids(spark, monkeypatch, tmp_path, labelled):
+    from helpers import comments
+
+    from spanloom.plans import q_sampling as S
+
+    d = labelled([("a", "A", []), ("b", "A", []), ("b", "C01", [])])
+    comments(spark, [("a", "t3_p", "t3_p"), ("b", "t3_p", "t3_p")]).write.parquet(f"{tmp_path}/comments.parquet")
+    assert [r["n_leaked"] for r in run(spark, "set05_leak_check", d)] == [0]
+    monkeypatch.setattr(S, "_kept", lambda s, d: s.createDataFrame([("a",), ("b",)], "comment_id string"))
+    assert [r["n_leaked"] for r in run(spark, "set05_leak_check", d)] == [1]
