@@ -208,8 +208,9 @@ def verdict(content: str | Column) -> Column:
 
 def custom_block(content: str | Column) -> Column:
     """The last proposed pair list of a debate turn with blanks collapsed; null without one."""
-    found = F.regexp_extract_all(F.coalesce(_c(content), F.lit("")), F.lit(r"(?ms)^(- emotion:.*?)(?=\n\s*VERDICT:|\z)"), F.lit(1))
-    return F.trim(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\s+", " "))
+    # what stands between verdict lines, from its first pair on
+    parts = F.transform(F.split(F.coalesce(_c(content), F.lit("")), r"\n[ \t]*VERDICT:"), lambda x: F.regexp_extract(x, r"(?s)(?:^|\n)(- emotion:.*)", 1))
+    return F.trim(F.regexp_replace(F.try_element_at(F.filter(parts, lambda x: x != ""), F.lit(-1)), r"\s+", " "))
 
 
 def render_item(title: Column, selftext: Column, parent: Column, body: Column) -> Column:

@@ -66,15 +66,23 @@ def test_fleiss_drops_single_ratings(spark):
     assert M.fleiss(df, ["yes", "no"]).first()["kappa"] == 1.0
 
 
-def test_clusters():
-    s = lambda *ws: frozenset(ws)
-    chain = [("m1", [s("a", "b")]), ("m2", [s("a", "b", "c")]), ("m3", [s("b", "c", "d"), s("z")])]
-    got = sorted(sorted(g) for g in V.cluster_members(chain, 0.5))
-    assert got == [[("m1", 0), ("m2", 0), ("m3", 0)], [("m3", 1)]]
-    # two pairs of m1 in one component: the better connected stays
-    spill = [("m1", [s("a", "b", "c"), s("b", "c", "d", "e")]), ("m2", [s("a", "b", "c")]), ("m3", [s("b", "c", "d", "e")]), ("m4", [s("a", "b", "c", "d", "e")])]
-    sizes = sorted(len(g) for g in V.cluster_members(spill, 0.5))
-    assert sum(sizes) == 5 and all(len({m for m, _ in g}) == len(g) for g in V.cluster_members(spill, 0.5))
+def test_clusters(spark):
+    pair = "struct<emotion:string,emotion_span:string,extra:int>"
+
+    def groups(votes):
+        df = spark.createDataFrame([("c", m, [("e", t, i) for i, t in enumerate(spans)]) for m, spans in votes] + [("none", "m1", [])], f"comment_id string, annotator string, pairs array<{pair}>")
+        out = {}
+        for r in V.clusters(df).orderBy("cluster", "seat").collect():
+            out.setdefault(r["cluster"], []).append((r["annotator"], r["pair"]["extra"]))
+            assert r["seat"] == len(out[r["cluster"]]) - 1
+        return sorted(out.values())
+
+    assert groups([("m1", ["a b"]), ("m2", ["a b c"]), ("m3", ["b c d", "z"])]) == [[("m1", 0), ("m2", 0), ("m3", 0)], [("m3", 1)]]
+    # two pairs of m1 in one component: the better connected stays, the other stands alone
+    found = groups([("m1", ["a b c", "b c d e"]), ("m2", ["a b c"]), ("m3", ["b c d e"]), ("m4", ["a b c d e"])])
+    assert sum(map(len, found)) == 5 and all(len({m for m, _ in g}) == len(g) for g in found)
+    # of equally connected ones the first stays; a null span matches nothing
+    assert groups([("m1", ["a b", None]), ("m2", [None])]) == [[("m1", 0)], [("m1", 1)], [("m2", 0)]]
 
 
 def test_votes_prefer_first_seen_on_ties(spark):
