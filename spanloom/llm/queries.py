@@ -153,6 +153,26 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_comments"), F.countDistinct("comp").alias("n_groups"))
 
 
+@LLM.add("p6_invariants", f"WITH {CURRENT_SQL} SELECT count(*) AS n_comments, 0::BIGINT AS n_torn_groups, 0::BIGINT AS n_torn_links, TRUE AS shares_kept FROM ckeys")
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the splits: every comment has one, no group or thread has two, and the shares are met.
+
+    A share is met if it is off by at most the second largest group (the largest one only fits into the
+    largest split) or by one comment in a hundred, whichever is more.
+    """
+    member = _splits(spark, d)
+    groups = member.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("splits"))
+    torn = groups.agg(F.count_if(F.col("splits") > 1).alias("n_torn_groups"), F.sum("n").alias("n_comments"))
+    second = groups.orderBy(F.desc("n")).limit(2).agg(F.min("n").alias("second"))
+    links = _linked(spark, d).select("id", "link").where("link is not null").join(member.select("id", "split"), "id").groupBy("link").agg(F.countDistinct("split").alias("splits"))
+    per = member.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv])
+    all_in = torn.crossJoin(second).crossJoin(links.agg(F.count_if(F.col("splits") > 1).alias("n_torn_links"))).crossJoin(per.agg(F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("got")))
+    off = F.array_max(F.transform(F.array(*[F.lit(x) for x in SHARES]), lambda x: F.abs(F.coalesce(F.try_element_at(F.col("got"), x), F.lit(0)) - wanted[x] * F.col("n_comments"))))
+    room = F.greatest(F.col("second").cast("double"), 0.01 * F.col("n_comments"))
+    return all_in.select(F.coalesce("n_comments", F.lit(0)).alias("n_comments"), "n_torn_groups", "n_torn_links", F.coalesce(off <= room, F.lit(True)).alias("shares_kept"))
+
+
 #: Comments that one author keeps at most.
 AUTHOR_CAP = 20
 
@@ -177,7 +197,26 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return _capped(spark, d).where("kept").select("id")
 
 
-@LLM.add("p7_author_and_thread")
+# Rounds over all pairs until every record is decided: kept if each contributor ranks it within its
+# room among the undecided, dropped if one has no room.
+BOTH_CAPS_SQL = f"""
+WITH RECURSIVE {CURRENT_SQL},
+pairs AS (
+  SELECT id, score, 'a:' || akey AS c, 20 AS cap FROM ckeys WHERE akey IS NOT NULL
+  UNION ALL SELECT id, score, 'l:' || link, 200 FROM ckeys WHERE link IS NOT NULL),
+st(round, id, kept) AS (
+  SELECT 0, id, NULL::BOOLEAN FROM ckeys
+  UNION ALL
+  SELECT round + 1, id, CASE WHEN kept IS NOT NULL THEN kept WHEN bool_and(c IS NULL OR rank <= room) THEN TRUE WHEN bool_or(room <= 0) THEN FALSE END
+  FROM (SELECT s.round, s.id, s.kept, p.c, p.cap - count(*) FILTER (s.kept) OVER (PARTITION BY p.c) AS room,
+               row_number() OVER (PARTITION BY p.c, s.kept ORDER BY p.score DESC NULLS LAST, s.id) AS rank
+        FROM st s LEFT JOIN pairs p ON p.id = s.id WHERE (SELECT bool_or(kept IS NULL) FROM st))
+  GROUP BY round, id, kept)
+SELECT id FROM st WHERE kept AND round = (SELECT max(round) FROM st)
+"""
+
+
+@LLM.add("p7_author_and_thread", BOTH_CAPS_SQL)
 def p7_author_and_thread(spark: SparkSession, d: str) -> DataFrame:
     """Kept comments when authors keep 20 and threads 200, each comment counting for both."""
     cur = current_rows(table(spark, d, "comments"), {"quality": F.col("score"), "author": author_key("author"), "link": link_key("link_id")})
@@ -216,6 +255,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[2]
 
 
+@LLM.add(
+    "p9_invariants",
+    """SELECT t.source, count(d.doc_id) AS n_docs, TRUE AS copies_within, TRUE AS count_kept, TRUE AS tokens_within, TRUE AS short_used_up
+    FROM (SELECT DISTINCT source FROM source_targets WHERE source IS NOT NULL AND weight IS NOT NULL AND max_repeats IS NOT NULL) t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL""",
+)
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the mix, per listed source: every document occurs, no copy beyond its bounds,
+    the number of copies is within one of what was asked, tokens are within the stated error, and a
+    source that is short gives everything."""
+    copies, plan, shares = mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    c = F.col("copies")
+    p = plan.select(F.col("source").alias("p_source"), F.col("copies").alias("asked"), "max_repeats")
+    per = copies.join(p, F.col("source") == F.col("p_source")).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and((c >= 0) & (c <= F.col("max_repeats")) & (F.abs(c - F.col("asked")) < 1)).alias("within"), (F.abs(F.sum(c) - F.sum("asked")) < 1 + 1e-6).alias("kept")
+    )
+    out = shares.join(per.withColumnRenamed("source", "c_source"), F.col("source") == F.col("c_source"), "left")
+    yes = lambda x: F.coalesce(x, F.lit(True))
+    return out.select("source", F.coalesce("n", F.lit(0)).alias("n_docs"), yes("within").alias("copies_within"), yes("kept").alias("count_kept"), (F.abs(F.col("got") - F.col("goal")) <= F.col("error_bound")).alias("tokens_within"), (~F.col("is_short") | (F.col("got") == F.col("have") * F.col("max_repeats"))).alias("short_used_up"))
+
+
 @LLM.add("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))

@@ -3,9 +3,11 @@
 Records and their entities (authors, threads, sources) form a bipartite graph. Minimum labels are
 propagated over it, side to side, until no label changes; after each round labels are also replaced
 by their label's label, so long chains shrink geometrically. Every connected group then goes to one
-split as a whole. Groups above a fixed share of all records - a bounded number - are placed one by
-one, largest first, where they disturb the label distribution least; the others are placed in
-parallel, each task filling the remaining room of every split and label in proportion.
+split as a whole. Groups are placed largest first where they disturb the label distribution least:
+a first block of ``GROUPS_PER_TASK`` in one task, group by group, as it decides where the large ones
+go; then blocks of that size in parallel, each filling what the first left of every split and label
+in proportion. Every label has its own targets, which travel with the groups' counts; no label list
+and no group comes to the driver.
 """
 
 from __future__ import annotations
@@ -13,18 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import heavy_keys, skew_join
 from ..plans.scratch import Scratch
 
-#: Groups with at least this share of all records are placed on the driver: 1000 at most.
-LARGE_SHARE = 0.001
-#: Labels told apart when splits are balanced; rarer ones count as one.
-MAX_LABELS = 256
-#: Small groups that one task places.
+#: Groups that one task places, one after the other.
 GROUPS_PER_TASK = 200_000
 
 
@@ -49,7 +47,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         jump = skew_join(step, right(step, "a", "lab"), "lab", "r_a", heavy_keys(step, "lab"), "left").select("a", "old", F.least("lab", F.coalesce("r_lab", F.col("lab"))).alias("lab"))
         moved = scratch.table(jump, "label")
         changed = moved.where("lab <> old").count()
-        scratch.drop(label)
+        for t in (label, by_b, step):
+            scratch.drop(t)
         label = moved
         if changed == 0:
             break
@@ -59,72 +58,94 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return a_nodes.unionByName(b_nodes)
 
 
-def _place(have: np.ndarray, want: np.ndarray, group: np.ndarray) -> int:
-    """The split whose label counts come closest to their targets if the group is added to it."""
-    gap = want - have
-    # change of the squared deviation: |gap - g|^2 - |gap|^2
-    return int(np.argmin((group * group - 2 * gap * group).sum(axis=1)))
+class _Filler:
+    """Splits filled group by group; counts and targets are kept for the labels seen so far."""
+
+    def __init__(self, names: list[str], totals: list[float] | None):
+        # row 0 is for all labels together
+        self.at: dict[str | None, int] = {None: 0}
+        self.have, self.want = np.zeros((64, len(names))), np.zeros((64, len(names)))
+        self.names, self.open_end = names, totals is None
+        if totals is not None:
+            self.want[0] = totals
+
+    def place(self, labels: list, n: np.ndarray, goals: np.ndarray) -> str:
+        """The split whose counts, by label and in all, come closest to their targets if the group is added to it.
+
+        ``goals`` are the labels' targets per split: records of the whole table or, without ``totals``, the
+        shares in which this group raises them.
+        """
+        rows = np.fromiter((self.at.setdefault(x, len(self.at)) for x in labels), np.int64, len(labels))
+        while len(self.at) > len(self.have):
+            self.have, self.want = (np.concatenate([x, np.zeros_like(x)]) for x in (self.have, self.want))
+        if self.open_end:
+            self.want[rows] += goals * n[:, None]
+            self.want[0] += (goals * n[:, None]).sum(axis=0)
+        else:
+            self.want[rows] = goals
+        rows, n = np.append(rows, 0), np.append(n, n.sum())
+        # change of the squared deviation: (gap - n)^2 - gap^2; the whole counts as one label of many
+        gap = self.want[rows] - self.have[rows]
+        change = n[:, None] * (n[:, None] - 2 * gap)
+        s = int(np.argmin(change[:-1].sum(axis=0) + change[-1] * (4 / (len(self.at) + 3))))
+        self.have[rows, s] += n
+        return self.names[s]
+
+
+def _filled(groups: DataFrame, names: list[str], totals: list[float] | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler = _Filler(names, totals)
+        for batch in batches:
+            parts = batch.column("parts")
+            flat, off = parts.flatten(), np.diff(parts.offsets.to_numpy())
+            labels, n = flat.field("label").to_pylist(), flat.field("n").to_numpy().astype(float)
+            goals = flat.field("goals").flatten().to_numpy().reshape(-1, len(names))
+            end = np.cumsum(off)
+            out = [filler.place(labels[b - k : b], n[b - k : b], goals[b - k : b]) for b, k in zip(end.tolist(), off.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("comp"), pa.array(out, pa.string())], ["comp", "split"])
+
+    return groups.select("comp", "parts").mapInArrow(run, "comp string, split string")
 
 
 def assign_groups(counts: DataFrame, shares: Mapping[str, float], scratch: Scratch) -> DataFrame:
     """``comp, split``: each group in one split, label distributions near the given shares.
 
-    counts: ``comp, label, n`` with one row per group and label. Deterministic; empty in, empty out.
+    counts: ``comp, label, n`` with one row per group and label; a null label is a label. A group's
+    labels make one row. Deterministic; empty in, empty out.
     """
     names = list(shares)
-    quota = np.array([shares[n] for n in names], float)
-    quota /= quota.sum()
-    per_label = [(r["label"], r["n"]) for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS + 1).collect()]
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = {lab: i for i, (lab, _) in enumerate(per_label[:MAX_LABELS])}
-    k = len(known) + 1
-    sizes = np.zeros(k)
-    for lab, n in per_label[:MAX_LABELS]:
-        sizes[known[lab]] = n
-    sizes[-1] = total - sizes.sum()
-    index = F.coalesce(F.create_map(*[F.lit(x) for lab, i in known.items() if lab is not None for x in (lab, i)])[F.col("label")], F.lit(known.get(None, k - 1))) if any(x is not None for x in known) else F.lit(0)
-    rows = counts.withColumn("i", index).groupBy("comp").agg(F.collect_list(F.struct("i", "n")).alias("parts"), F.sum("n").alias("n"))
-    groups = scratch.table(rows, "groups")  # at most MAX_LABELS + 1 parts in a group
-    want = np.outer(quota, sizes)
-    have = np.zeros_like(want)
-    floor = max(1.0, LARGE_SHARE * total)
-    spark = counts.sparkSession
-
-    def vector(parts) -> np.ndarray:
-        g = np.zeros(k)
-        for p in parts:
-            g[p["i"]] += p["n"]
-        return g
-
-    large = groups.where(F.col("n") > floor).orderBy(F.desc("n"), "comp").collect()
-    placed = []
-    for r in large:
-        g = vector(r["parts"])
-        s = _place(have, want, g)
-        have[s] += g
-        placed.append((r["comp"], names[s]))
-    left = np.maximum(want - have, 0)
-    column = left.sum(axis=0)
-    ratio = np.where(column > 0, left / np.where(column > 0, column, 1), quota[:, None])
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got, goal = np.zeros_like(ratio), np.zeros_like(ratio)
-        for f in frames:
-            out = []
-            for parts in f["parts"]:
-                g = vector(parts)
-                goal += ratio * g
-                s = _place(got, goal, g)
-                got[s] += g
-                out.append(names[s])
-            yield pd.DataFrame({"comp": f["comp"], "split": out})
-
-    small = groups.where(F.col("n") <= floor)
-    tasks = max(1, -(-small.count() // GROUPS_PER_TASK))
+    total_share = sum(shares.values())
+    quota = [shares[x] / total_share for x in names]
+    rows = counts.select("comp", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")).alias("label"), "n")
+    hot = heavy_keys(rows, "label")
+    size = scratch.table(rows.groupBy("label").agg(F.sum("n").alias("total")), "labels")
+    total = size.agg(F.sum("total").alias("n")).first()["n"] or 0
+    groups = scratch.table(rows.groupBy("comp").agg(F.sum("n").alias("size")), "sizes")
+
+    def with_goals(of: DataFrame, goals: DataFrame) -> DataFrame:
+        """Groups ``comp, size`` with their labels' counts and goals."""
+        right = goals.select(F.col("label").alias("g_label"), "goals")
+        mine = rows.join(of.select(F.col("comp").alias("o_comp"), "size"), F.col("comp") == F.col("o_comp"))
+        both = skew_join(mine, right, "label", "g_label", hot, "inner")
+        return both.groupBy("comp", "size").agg(F.array_sort(F.collect_list(F.struct("label", "n", "goals"))).alias("parts"))
+
+    order = [F.desc("size"), F.col("comp")]
+    block = scratch.table(groups.orderBy(*order).limit(GROUPS_PER_TASK), "block")
+    goals = size.select("label", F.array(*[F.col("total") * F.lit(q) for q in quota]).alias("goals"))
+    first = scratch.table(_filled(with_goals(block, goals).coalesce(1).sortWithinPartitions(*order), names, [q * total for q in quota]), "first")
+    rest, n = scratch.counted(groups.join(block.select("comp"), "comp", "left_anti"), "rest")
+    if not n:
+        return first
+    # what the first block left of every split, as shares of what is left of the label
+    have = rows.join(first, "comp").groupBy("label").pivot("split", names).agg(F.sum("n"))
+    gap = lambda i: F.greatest(F.col("total") * F.lit(quota[i]) - F.coalesce(F.col(f"h_{i}"), F.lit(0)), F.lit(0.0))
+    left = size.join(have.select(F.col("label").alias("h_label"), *[F.col(f"`{x}`").alias(f"h_{i}") for i, x in enumerate(names)]), F.col("label") == F.col("h_label"), "left")
+    all_left = sum((gap(i) for i in range(1, len(names))), gap(0))
+    ratios = left.select("label", F.array(*[F.when(all_left > 0, gap(i) / all_left).otherwise(F.lit(quota[i])) for i in range(len(names))]).alias("goals"))
+    tasks = -(-n // GROUPS_PER_TASK)
     # larger groups first, so that the small ones even out what they leave
-    rest = small.repartition(tasks, F.xxhash64("comp")).sortWithinPartitions(F.desc("n"), F.xxhash64("comp")).mapInPandas(fill, "comp string, split string")
-    done = spark.createDataFrame(placed, "comp string, split string")
-    return scratch.table(rest.unionByName(done), "splits")
+    spread = with_goals(rest, scratch.table(ratios, "ratios")).repartition(tasks, F.xxhash64("comp")).sortWithinPartitions(F.desc("size"), F.xxhash64("comp"))
+    return scratch.table(_filled(spread, names, None).unionByName(first), "splits")
 
 
 def group_splits(records: DataFrame, shares: Mapping[str, float]) -> DataFrame:

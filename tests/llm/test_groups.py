@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import capping as P
 from spanloom.llm import consensus as C
 from spanloom.llm import mixing as X
+from spanloom.llm import splits as G
 from spanloom.llm.capping import cap_contributors
 from spanloom.llm.consensus import agreement, estimate, resolved, vote_of
 from spanloom.llm.splits import components, group_splits
@@ -58,6 +59,21 @@ def test_splits_keep_groups_and_proportions(spark):
     assert group_splits(spark.createDataFrame([], "id string, e1 string, e2 string, label string"), shares).count() == 0
 
 
+def test_splits_balance_every_label_beyond_the_first_block(spark, monkeypatch):
+    # 700 labels, and more groups than one task places
+    monkeypatch.setattr(G, "GROUPS_PER_TASK", 500)
+    rng = random.Random(9)
+    rows = [(f"r{i}", f"g{rng.randrange(3000)}", None, f"l{i % 700}" if i % 701 else None) for i in range(14_000)]
+    got = group_splits(spark.createDataFrame(rows, "id string, e1 string, e2 string, label string"), {"train": 0.8, "test": 0.2}).collect()
+    assert len(got) == 14_000 and len({(r["comp"], r["split"]) for r in got}) == len({r["comp"] for r in got})
+    share = {}
+    for r in got:
+        share.setdefault(r["label"], []).append(r["split"] == "train")
+    dev = [sum(v) - 0.8 * len(v) for v in share.values()]
+    # drawing groups at random would deviate by about 1.8 per label of 20
+    assert len(share) == 701 and np.sqrt(np.mean(np.square(dev))) < 1.2 and abs(sum(dev)) < 140
+
+
 def greedy(recs, lists, cap):
     used, kept = {}, set()
     for i, q in sorted(recs, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])):
