@@ -1,17 +1,24 @@
 """References to records that do not exist (problem 1): direct and inherited orphans.
 
-The foreign-key graph is given as two relations of fixed shape: entities (one row per existing
-record) and references. Level 0 joins references to entities and states what is wrong with each
-broken one. The fixpoint then walks down the graph: every round semi-joins the remaining references
-with the newest orphans, so children of orphaned records become inherited orphans, until a round
-finds none. Rounds touch only (node, target) pairs and the frontier; nothing is collected.
+The foreign-key graph is given as references (which record refers by which field to which record of
+which table) and entities (the records that exist). Level 0 joins references to entities and states
+what is wrong with each broken one. The fixpoint then walks down the graph: every round semi-joins the
+remaining references with the newest orphans, so children of orphaned records become inherited
+orphans, until a round finds none; each inherits the cause of the record it hangs from.
+
+The rounds run over edges alone: references between existing records, as (node, target) and nothing
+else. Edges are written once, bucketed by target, so a round shuffles the frontier only, never the
+edges; those of dominant targets lie apart, in tasks of equal size, and meet a broadcast of the few
+frontier rows that name such a target. Edges of records that were reached are dropped when they make
+up half of the table. Nothing is collected but counts.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
@@ -23,13 +30,17 @@ DEAD_COMMENT = ("", "[deleted]", "[removed]")
 DEAD_POST = ("[deleted]", "[removed]")
 
 BREAKS = ("missing", "deleted")
+COLS = ["node", "id", "rec_table", "ref_field", "target", "month"]
+#: Edges per bucket from which a bucketed table is written.
+BUCKET_ROWS = 100_000
 
 
 @dataclass
 class OrphanReport:
-    """``direct``: one row per broken reference. ``inherited``: one row per record below one.
+    """``direct``: one row per broken reference. ``inherited``: one row per reference to an orphaned record.
 
-    Both have ``node, id, rec_table, ref_field, target, month, state, origin, level``.
+    Both have ``node, id, rec_table, ref_field, target, month, state, origin, level, cause``, where
+    ``cause`` is the state of the broken reference that it all hangs from.
     """
 
     direct: DataFrame
@@ -39,63 +50,132 @@ class OrphanReport:
         return self.direct.unionByName(self.inherited)
 
     def by_period(self) -> DataFrame:
-        """Counts per referring table, field, month and state, direct and inherited apart.
+        """Counts per referring table, field, month and cause, direct and inherited apart.
 
         References of records without a creation time are reported under a null month.
         """
-        return self.all().groupBy("rec_table", "ref_field", "month", "state").agg(
+        return self.all().groupBy("rec_table", "ref_field", "month", "cause").agg(
             F.count_if(F.col("origin") == "direct").alias("n_direct"),
             F.count_if(F.col("origin") == "inherited").alias("n_inherited"),
             F.max("level").alias("max_level"),
         )
 
 
+class _Edges:
+    """The edges that are left: a table bucketed by target, and the edges of dominant targets."""
+
+    def __init__(self, edges: DataFrame, n: int, scratch: Scratch):
+        self.scratch, self.spark = scratch, edges.sparkSession
+        # as many as a shuffle has partitions, so that a join needs no other partitioning
+        self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        # too few edges for that many files are a plain table, with the same rows
+        self.bucketed = n >= self.buckets * BUCKET_ROWS
+        self.names: list[str] = []
+        self.hot = heavy_keys(edges, "target")
+        is_hot = F.col("target").isin(self.hot) if self.hot else F.lit(False)
+        self.hot_edges = scratch.table(edges.where(is_hot), "hot-edges") if self.hot else None
+        self.left = self._write(edges.where(~is_hot))
+
+    def _write(self, edges: DataFrame) -> DataFrame:
+        if not self.bucketed:
+            return self.scratch.table(edges, "edges")
+        name = f"spanloom_edges_{uuid.uuid4().hex}"
+        path = f"{self.scratch.base}/{name}"
+        # one file per bucket, not one per task and bucket
+        edges.repartition(self.buckets, "target").write.bucketBy(self.buckets, "target").option("path", path).format("parquet").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def below(self, frontier: DataFrame) -> DataFrame:
+        """``o_node, cause``: records with an edge to a record of the frontier, once each."""
+        out = self.left.join(frontier, F.col("target") == F.col("o_node")).select(F.col("node").alias("next"), "cause")
+        if self.hot_edges is not None:
+            # at most one frontier row per dominant target
+            few = F.broadcast(frontier.where(F.col("o_node").isin(self.hot)))
+            out = out.unionByName(self.hot_edges.join(few, F.col("target") == F.col("o_node")).select(F.col("node").alias("next"), "cause"))
+        return out.groupBy(F.col("next").alias("o_node")).agg(F.max("cause").alias("cause"))
+
+    def drop(self, reached: DataFrame) -> None:
+        """Leave out the edges of reached records."""
+        gone = reached.select(F.col("o_node").alias("r_node"))
+        old = self.left
+        self.left = self._write(old.join(gone, F.col("node") == F.col("r_node"), "left_anti"))
+        if self.hot_edges is not None:
+            kept = self.scratch.table(self.hot_edges.join(gone, F.col("node") == F.col("r_node"), "left_anti"), "hot-edges")
+            self.scratch.drop(self.hot_edges)
+            self.hot_edges = kept
+        if self.bucketed:
+            self._forget(self.names.pop(0))
+        else:
+            self.scratch.drop(old)
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.remove(name)
+
+    def close(self) -> None:
+        while self.names:
+            self._forget(self.names.pop())
+
+
 def orphan_cascade(entities: DataFrame, refs: DataFrame, scratch: Scratch) -> OrphanReport:
-    """Find broken references and everything that hangs below them.
+    """Find broken references and everything that hangs below them, over any number of tables and fields.
 
-    entities: ``e_node`` (unique), ``e_dead``, ``e_first`` - existing records.
-    refs: ``node, id, rec_table, ref_field, target, month, first_seen`` - references of current
-    records, null targets left out. A record has at most one reference into a table whose records
-    refer further (its parent), so each record is reached by one path and rings are never entered.
+    entities: ``e_node`` (unique over all tables, so with its table's prefix), ``e_dead``, ``e_first``,
+    ``e_refers`` (whether records of its table refer to others) - existing records. refs: ``node, id, rec_table, ref_field, target, month, first_seen`` - references
+    of existing records, ``node`` and ``target`` named like ``e_node``, null targets left out. A record
+    may refer by several fields; it is reached once, at its lowest level, so rings end.
 
     State of a reference: ``missing`` if no entity has the target; else ``deleted`` if that is
     dead; else ``late`` if the target was first captured after the referring record. Only missing
-    and deleted targets orphan a record; a late one exists, so nothing is inherited from it.
-    Empty inputs give empty reports. Null capture times are never late.
+    and deleted targets orphan a record; a late one exists, so nothing is inherited from it. Of two
+    causes at one level ``missing`` counts. Empty inputs give empty reports. Null capture times are
+    never late.
     """
+    spark = scratch.spark
     refs = scratch.table(refs.where(F.col("target").isNotNull()), "refs")
-    heavy = heavy_keys(refs, "target")
     state = (
         F.when(F.col("e_node").isNull(), "missing")
         .when(F.coalesce(F.col("e_dead"), F.lit(False)), "deleted")
         .when(F.col("e_first") > F.col("first_seen"), "late")
     )
-    judged = skew_join(refs, entities, "target", "e_node", heavy, "left").withColumn("state", state)
-    cols = ["node", "id", "rec_table", "ref_field", "target", "month"]
-    direct = scratch.table(judged.where(F.col("state").isNotNull()).select(*cols, "state"), "direct")
-
-    broken = direct.where(F.col("state").isin(*BREAKS)).select(F.col("node").alias("o_node")).distinct()
-    edges = scratch.table(
-        refs.where(F.col("target").startswith("t1_")).join(broken, F.col("node") == F.col("o_node"), "left_anti").select("node", "target"),
-        "edges",
-    )
-    levels, frontier, level = [], broken, 0
+    judged = skew_join(refs, entities, "target", "e_node", heavy_keys(refs, "target"), "left")
+    judged = scratch.table(judged.select(*COLS, state.alias("state"), F.coalesce("e_refers", F.lit(False)).alias("inner")), "judged")
+    direct = judged.where(F.col("state").isNotNull())
+    broken = scratch.table(direct.where(F.col("state").isin(*BREAKS)).groupBy(F.col("node").alias("o_node")).agg(F.max("state").alias("cause")), "broken")
+    # broken records are orphans already; a target that refers no further can't be one below another
+    walked = judged.where("inner and (state is null or state = 'late')").join(broken, F.col("node") == F.col("o_node"), "left_anti")
+    walked = scratch.table(walked.select(*COLS), "walked")
+    n_edges, n_nodes = walked.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    edges = _Edges(walked.select("node", "target"), n_edges, scratch)
+    levels = f"{scratch.base}/levels"
+    read = lambda path: spark.read.schema("o_node string, cause string, level int").option("basePath", levels).parquet(path)
+    level, frontier, reached, dropped = 0, broken, 0, 0
     while True:
         level += 1
-        nxt = edges.join(frontier, F.col("target") == F.col("o_node"), "left_semi").select(F.col("node").alias("o_node"))
-        nxt, n = scratch.counted(nxt, "level")
-        if n == 0:
+        nxt = edges.below(frontier)
+        if n_edges > n_nodes and level > 1:
+            # records with several references may be met again
+            seen_before = read(levels).select(F.col("o_node").alias("v_node"))
+            nxt = nxt.join(seen_before, F.col("o_node") == F.col("v_node"), "left_anti")
+        count = Observation()
+        nxt.observe(count, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{levels}/level={level}")
+        if not count.get["n"]:
             break
-        levels.append(nxt.withColumn("level", F.lit(level)))
-        frontier = nxt
-    if levels:
-        found = levels[0]
-        for more in levels[1:]:
-            found = found.unionByName(more)
-        inherited = refs.where(F.col("target").startswith("t1_")).join(found, F.col("node") == F.col("o_node"), "inner").select(*cols, F.lit("inherited").alias("state"), F.lit("inherited").alias("origin"), "level")
-    else:
-        inherited = direct.limit(0).select(*cols, F.lit("inherited").alias("state"), F.lit("inherited").alias("origin"), F.lit(0).alias("level"))
-    return OrphanReport(direct.select(*cols, "state", F.lit("direct").alias("origin"), F.lit(0).alias("level")), inherited)
+        reached += count.get["n"]
+        frontier = read(f"{levels}/level={level}")
+        if reached - dropped > (n_edges - dropped) / 2:
+            edges.drop(read(levels))
+            dropped = reached
+    edges.close()
+    found = read(levels)
+    inherited = walked.join(found, F.col("node") == F.col("o_node"))
+    if n_edges > n_nodes:
+        # of several references of a reached record those to orphans
+        orphans = broken.select("o_node").union(found.select("o_node")).select(F.col("o_node").alias("t_node"))
+        inherited = inherited.join(orphans, F.col("target") == F.col("t_node"), "left_semi")
+    inherited = inherited.select(*COLS, F.lit("inherited").alias("state"), F.lit("inherited").alias("origin"), "level", "cause")
+    return OrphanReport(direct.select(*COLS, "state", F.lit("direct").alias("origin"), F.lit(0).alias("level"), F.col("state").alias("cause")), inherited)
 
 
 def forum_orphans(comments: DataFrame, posts: DataFrame) -> OrphanReport:
@@ -120,8 +200,8 @@ def forum_orphans(comments: DataFrame, posts: DataFrame) -> OrphanReport:
         "comments",
     )
     seen = current_rows(posts, {"dead": F.coalesce(text.isin(*DEAD_POST), F.lit(False))})
-    entity = lambda df, kind: df.select(F.concat(F.lit(kind), "id").alias("e_node"), F.col("dead").alias("e_dead"), F.col("first_seen").alias("e_first"))
-    entities = scratch.table(entity(seen, "t3_").unionByName(entity(cur, "t1_")), "entities")
+    entity = lambda df, kind, refers: df.select(F.concat(F.lit(kind), "id").alias("e_node"), F.col("dead").alias("e_dead"), F.col("first_seen").alias("e_first"), F.lit(refers).alias("e_refers"))
+    entities = scratch.table(entity(seen, "t3_", False).unionByName(entity(cur, "t1_", True)), "entities")
 
     def refs(field: str, target: Column) -> DataFrame:
         return cur.select(F.concat(F.lit("t1_"), "id").alias("node"), "id", F.lit("comments").alias("rec_table"), F.lit(field).alias("ref_field"), target.alias("target"), month_of("created").alias("month"), "first_seen")

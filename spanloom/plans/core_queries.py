@@ -50,16 +50,16 @@ judged AS (
                    WHEN e.first_seen > r.first_seen THEN 'late' END AS state
   FROM refs r LEFT JOIN ent e ON r.target = e.node),
 direct AS (SELECT * FROM judged WHERE state IS NOT NULL),
-broken AS (SELECT DISTINCT id FROM direct WHERE state <> 'late'),
+broken AS (SELECT id, max(state) AS cause FROM direct WHERE state <> 'late' GROUP BY id),
 below AS (
-  SELECT id, 0 AS level FROM broken
+  SELECT id, 0 AS level, cause FROM broken
   UNION ALL
-  SELECT r.id, b.level + 1 FROM refs r JOIN below b ON r.ref_field = 'parent_id' AND r.target = 't1_' || b.id
+  SELECT r.id, b.level + 1, b.cause FROM refs r JOIN below b ON r.ref_field = 'parent_id' AND r.target = 't1_' || b.id
   WHERE r.id NOT IN (SELECT id FROM broken)),
 report AS (
-  SELECT id, ref_field, target, created_utc, state, 'direct' AS origin, 0 AS level FROM direct
+  SELECT id, ref_field, target, created_utc, state, 'direct' AS origin, 0 AS level, state AS cause FROM direct
   UNION ALL
-  SELECT r.id, r.ref_field, r.target, r.created_utc, 'inherited', 'inherited', b.level
+  SELECT r.id, r.ref_field, r.target, r.created_utc, 'inherited', 'inherited', b.level, b.cause
   FROM below b JOIN refs r ON r.id = b.id AND r.ref_field = 'parent_id' WHERE b.level > 0)
 """
 
@@ -70,16 +70,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where(F.col("origin") == "direct").select("id", "ref_field", "state")
 
 
-@CORE.add("p1_cascade", ORPHAN_SQL + "SELECT id, ref_field, target, state, origin, level FROM report")
+@CORE.add("p1_cascade", ORPHAN_SQL + "SELECT id, ref_field, target, state, origin, level, cause FROM report")
 def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return forum_orphans(table(spark, d, "comments"), table(spark, d, "posts")).all().select("id", "ref_field", "target", "state", "origin", "level")
+    return forum_orphans(table(spark, d, "comments"), table(spark, d, "posts")).all().select("id", "ref_field", "target", "state", "origin", "level", "cause")
 
 
 @CORE.add(
     "p1_report",
     ORPHAN_SQL
     + """SELECT 'comments' AS rec_table, ref_field,
-    strftime(make_timestamp(created_utc * 1000000), '%Y-%m') AS month, state,
+    strftime(make_timestamp(created_utc * 1000000), '%Y-%m') AS month, cause,
     count(*) FILTER (origin = 'direct') AS n_direct, count(*) FILTER (origin = 'inherited') AS n_inherited, max(level) AS max_level
     FROM report GROUP BY ALL""",
 )

@@ -199,7 +199,9 @@ def _sections(s, d):
     block = "- emotion: surprise\n  emotion_span: x\n  cause_span: null\n  cause_source: null\n  cause_category: unclear\n  target_asset: none\n  intensity: 0.5\n  sarcasm: false"
     rows = B.coded(s, d).join(B.comments(s, d).select(F.col("id").alias("comment_id"), "body"), "comment_id")
     final = F.element_at(F.array(*[F.lit(v) for v in W.VERDICTS]), F.pmod(T.text_pos("comment_id"), F.lit(4)).cast("int") + 1)
-    return W.render_worklist(rows.select("comment_id", "body", final.alias("final")).withColumn("block", F.when(F.col("final") == "CUSTOM", F.lit(block))))
+    caused = block.replace("cause_span: null\n  cause_source: null", "cause_span: y\n  cause_source: comment")
+    own = F.when(T.half("comment_id") == 1, F.lit(caused)).otherwise(F.lit(block))
+    return W.render_worklist(rows.select("comment_id", "body", final.alias("final")).withColumn("block", F.when(F.col("final") == "CUSTOM", own)))
 
 
 STREAM.add("misc17_worklist")(_sections)

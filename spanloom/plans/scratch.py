@@ -77,6 +77,10 @@ class Scratch:
         if path:
             self._remove(path)
 
+    def remove(self, name: str) -> None:
+        """Remove what was written below the folder under a name of its own."""
+        self._remove(f"{self.base}/{name}")
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

@@ -1,51 +1,32 @@
-"""Core queries against their SQL on the smallest data: every fourth, or all with TEST_ALL_QUERIES=1."""
+"""Every core query on the smallest data: against its SQL, or on its own where SQL cannot say it."""
 
-import glob
-import math
 import os
 
-import duckdb
 import pytest
+from query_check import DIR, compare, connection
 
 from spanloom.plans.catalog import catalog
 
-DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CAT = catalog()
-NAMES = sorted(CAT.queries)[:: 1 if os.environ.get("TEST_ALL_QUERIES") else 4]
-
-
-def flat(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
-    if isinstance(v, dict):
-        return tuple(flat(x) for x in v.values())
-    if hasattr(v, "asDict"):
-        return flat(v.asDict())
-    if isinstance(v, (list, tuple)):
-        return tuple(flat(x) for x in v)
-    return v
 
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
-    for p in glob.glob(f"{DIR}/*.parquet"):
-        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
-    return c
+    return connection()
+
+
+@pytest.mark.parametrize("name", sorted(CAT.sql))
+def test_against_sql(spark, con, name):
+    compare(spark, con, name, CAT.queries[name], CAT.sql[name])
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, con, name):
+@pytest.mark.parametrize("name", sorted(set(CAT.queries) - set(CAT.sql)))
+def test_without_sql(spark, name):
     df = CAT.queries[name](spark, DIR)
-    cols = sorted(df.columns)
-    got = sorted((tuple(flat(x) for x in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=str)
-    if name not in CAT.sql:
-        return
-    head = ", ".join(f'"{c}"' for c in cols)
-    want = sorted((tuple(flat(x) for x in r) for r in con.sql(f"select {head} from ({CAT.sql[name]}) q").fetchall()), key=str)
-    assert len(got) == len(want)
-    for a, b in zip(got, want):
-        assert a == pytest.approx(b, abs=2e-5) if all(isinstance(x, (int, float)) for x in a) else str(a) == str(b) or a == b
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    # no column is a stub: each has a value somewhere
+    assert all(any(r[c] is not None for r in rows) for c in df.columns)
 
 
 def test_scratch_tables_can_be_cleared(spark):
