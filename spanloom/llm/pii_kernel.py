@@ -14,6 +14,8 @@ placeholders replace exactly the disguised source text and nothing beside it.
 
 from __future__ import annotations
 
+import base64
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -56,11 +58,50 @@ NOT_FAMILY = frozenset(
     "made make may me met might moved must my never not now of off on once only or our out over paid runs said saw says sent she should so "
     "sold some spoke still than that the their them then there they thinks this to told took tells used wants was we went were what when "
     "where which while who will with wont works would wrote you your yours too very "
-    "street st road rd avenue ave boulevard blvd lane drive court square bank holdings partners curve rule valley hole act plan effect "
-    "law model index university institute inc corp ltd llc group foods motors energy rail stores logistics grid award prize disease "
-    "decade age woods".split()
+    "street st road rd avenue ave boulevard blvd lane drive court square bank holdings partners curve rule valley act plan effect "
+    "law model index university institute inc corp ltd llc group award prize disease "
+    "decade age".split()
 )
-CUES = r"(?:signed|is|contact|ask|mention|by|gru(?:ss|ß)|boss|regards|sincerely|named|called|name|from|mit|atte|mr|mrs|ms|dr|prof|sra?|herr|frau|mme)"
+# Persons of public life and of the history of economics; who bears such a name isn't taken for a private person.
+PUBLIC = frozenset(
+    name.strip()
+    for name in (
+        "adam smith, karl marx, david ricardo, john keynes, john maynard keynes, friedrich hayek, milton friedman, joseph schumpeter, thomas malthus, john stuart mill, alfred marshall, "
+        "irving fisher, paul samuelson, robert solow, gary becker, hyman minsky, thorstein veblen, ludwig von mises, murray rothbard, henry george, thomas piketty, joseph stiglitz, paul krugman, "
+        "amartya sen, elinor ostrom, daniel kahneman, amos tversky, robert shiller, eugene fama, nouriel roubini, larry summers, lawrence summers, robert reich, robert lucas, stephanie kelton, "
+        "alan greenspan, paul volcker, ben bernanke, janet yellen, jerome powell, arthur burns, christine lagarde, mario draghi, mervyn king, mark carney, andrew bailey, neel kashkari, jim cramer, "
+        "warren buffett, charlie munger, george soros, ray dalio, carl icahn, michael burry, peter lynch, cathie wood, jamie dimon, bernie madoff, bill ackman, jack bogle, benjamin graham, "
+        "elon musk, jeff bezos, bill gates, steve jobs, mark zuckerberg, peter thiel, tim cook, satya nadella, sundar pichai, sam altman, henry ford, andrew carnegie, john rockefeller, "
+        "donald trump, joe biden, barack obama, george bush, george washington, abraham lincoln, thomas jefferson, alexander hamilton, franklin roosevelt, theodore roosevelt, ronald reagan, jimmy carter, "
+        "richard nixon, bill clinton, hillary clinton, kamala harris, bernie sanders, elizabeth warren, nancy pelosi, mitch mcconnell, ron paul, rand paul, paul ryan, mitt romney, john mccain, "
+        "margaret thatcher, winston churchill, tony blair, gordon brown, david cameron, theresa may, boris johnson, liz truss, rishi sunak, keir starmer, angela merkel, olaf scholz, emmanuel macron, "
+        "vladimir putin, volodymyr zelensky, xi jinping, mao zedong, deng xiaoping, narendra modi, shinzo abe, justin trudeau, fidel castro, hugo chavez, joseph stalin, vladimir lenin, adolf hitler, "
+        "martin luther, isaac newton, albert einstein, charles darwin, john locke, jean jacques rousseau, immanuel kant, friedrich nietzsche, max weber, ayn rand, george orwell, upton sinclair"
+    ).split(",")
+)
+# Words that stand capitalised without being names of persons.
+CAPITAL = frozenset(
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december christmas easter "
+    "american british english french german italian spanish russian chinese japanese indian european african asian canadian mexican dutch swiss swedish greek turkish polish "
+    "america britain england scotland wales ireland france germany italy spain russia china japan india europe africa asia canada mexico london paris berlin york brussels "
+    "goldman sachs wells fargo morgan chase stanley lehman barclays deutsche standard fitch moody google facebook amazon microsoft congress senate democrat republican reddit".split()
+)
+# What one is to another.
+RELATION = "boss landlord landlady neighbor neighbour friend buddy colleague coworker co-worker manager supervisor cousin brother sister wife husband uncle aunt doctor dentist lawyer accountant teacher roommate tenant son daughter mother father mom mum dad partner fiance fiancee girlfriend boyfriend nephew niece grandmother grandfather mate agent broker nurse therapist"
+# Words before a person's name, and words after one.
+CUES = rf"(?:signed|is|contact|ask|mention|by|gru(?:ss|ß)|regards|sincerely|named|called|name|from|mit|atte|mr|mrs|ms|dr|prof|sra?|herr|frau|mme|{RELATION.replace(' ', '|')})"
+BEFORE_PERSON = frozenset(
+    f"{RELATION} met meet meeting know knew knows married dated hired hire told tell asked ask emailed email e-mail called call phoned phone texted text contact contacted reach reached thank thanked thanks "
+    "mention mentioned signed sign regards sincerely cheers best named name is by paid pay owe owed helped help visited visit interviewed with to dear hi hello hey attn attention mr mrs ms miss dr prof sir madam cc "
+    "gruß gruss gruße gruesse herr frau senor senora madame monsieur saw see sued reported".split()
+)
+AFTER_PERSON = frozenset(
+    "said says told tells asked asks wrote writes emailed emails called calls texted replied answered works worked lives lived moved lost thinks thought knows knew owns owned rents rented paid pays died married joined "
+    "retired quit drove drives came went goes met helped helps insists swears teaches taught signed reckons believes got gets earns earned wants wanted studies studied grew turned hates loves likes runs ran yesterday who whose whom and or has had was is "
+    "tomorrow today tonight again about at from in on instead please".split()
+)
+# The words above that stand beside places and firms as well: these need the given name on the list or a second sign.
+WEAK = frozenset("with to is by see saw in at on from and or has had was is about called reported said says who".split())
 
 _NUM = {"oh": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORDNUM = "|".join(_NUM)
@@ -91,12 +132,17 @@ NO_MAILBOX = NOT_FAMILY | frozenset("look looking found find see me us them arri
 # What an identity number is called.
 ID_CUES = (
     "ssn", "social security", "tax id", "tax number", "tax no", "taxpayer", "itin", "national insurance", "ni number", "ni no", "nino", "passport", "passnummer",
-    "pasaporte", "driver's license", "drivers license", "driver license", "driver's licence", "drivers licence", "driver licence", "driving licence", "driving license",
+    "pasaporte", "iban", "social insurance number", "sin", "sin number", "driver's license", "drivers license", "driver license", "driver's licence", "drivers licence", "driver licence", "driving licence", "driving license",
     "license number", "licence number", "license no", "licence no", "insurance number", "insurance no", "steuer-id", "steuerid", "dni", "nif",
 )
 ID_VALUE = re.compile(r"(?:[ :#]{1,2}(?:number|nummer|no\.?|nr\.?|id|is|was))*[ :#.]{1,3}(?P<v>[a-z]{0,2}[ -]?\d+(?:[ -]?\d+)*(?: ?[a-d](?![a-z]))?)(?![a-z0-9])")
 
-_SUFFIX = r"(?:street|str|st|avenue|ave|boulevard|blvd|road|rd|lane|ln|drive|dr|court|ct|place|pl|square|sq|terrace|way|crescent|close|parkway|pkwy|highway|hwy)"
+PASSPORT_VALUE = re.compile(r"(?:[ :#]{1,2}(?:number|nummer|no\.?|nr\.?|id|is|was))*[ :#.]{1,3}(?P<v>(?=[a-z0-9]*\d[a-z0-9]*\d[a-z0-9]*\d)[a-z0-9]{7,10})(?![a-z0-9-])")
+IBAN = re.compile(r"(?<![a-z0-9])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?(?![a-z0-9])")
+
+# Further kinds of streets, whose names are common nouns: they need title case.
+SOFT_SUFFIX = ("gardens", "grove", "mews", "row", "walk", "hill", "rise", "park", "green", "view", "heights", "circle", "trail", "quay", "wharf", "promenade", "crossing", "meadows")
+_SUFFIX = r"(?:gardens|grove|mews|row|walk|hill|rise|park|green|view|heights|circle|trail|quay|wharf|promenade|crossing|meadows|street|str|st|avenue|ave|boulevard|blvd|road|rd|lane|ln|drive|dr|court|ct|place|pl|square|sq|terrace|way|crescent|close|parkway|pkwy|highway|hwy)"
 _TAIL = r"(?:,? ?(?:apt|apartment|unit|suite|ste|flat|no|#)\.? ?[0-9]{1,5}[a-z]?)?"
 _CITY = r"(?:, ?[a-z][a-z'-]+(?: [a-z][a-z'-]+){0,2}?(?: \d{5})?(?=[.,;:!?)/]|$| and | or |\n|" + SEPARATOR + r"| signed))?"
 NUMBERED = re.compile(rf"\d{{1,5}}[a-z]?,? (?:(?:n|s|e|w|ne|nw|se|sw|north|south|east|west)\.? )?(?P<name>(?:[a-z][a-z'-]+ ){{1,3}}?)(?P<suffix>{_SUFFIX})(?![a-z])\.?{_TAIL}{_CITY}")
@@ -141,7 +187,8 @@ def _triggers():
     put("strasse", "stra", "str.")
     put("calle", *STREET_WORDS)
     put("box", "box ")
-    put("cue", "signed", "signed for by", "name is", "contact", "landlord is", "gruss", "gruß", "boss", "regards", "sincerely", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ")
+    put("cue", "signed", "name is", "contact", "gruss", "gruß", "regards", "sincerely", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ")
+    put("cue", *(f"{who}{how}" for who in RELATION.split() for how in ("", " is", " was", " named")))
     auto = ahocorasick.Automaton()
     for w, whats in words.items():
         auto.add_word(w, (tuple(whats), len(w)))
@@ -244,7 +291,11 @@ def _phones(low: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
-def _ids(low: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def _iban_holds(s: str) -> bool:
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _ids(low: str, text: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     for m in SSN_OR_LICENCE.finditer(low):
         a, before = m.start(), low[max(0, m.start() - 2) : m.start()]
         if m.end() - a == 11:
@@ -258,9 +309,19 @@ def _ids(low: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     for a, b in at:
         if a and low[a - 1].isalpha():
             continue
+        if low[a:b].startswith("sin") and not text[a : a + 3].isupper():
+            continue
         m = ID_VALUE.match(low, b)
         if m and sum(c.isdigit() for c in m["v"]) >= 6:
             yield m.span("v")
+        elif low[a:b] in ("passport", "passnummer", "pasaporte") and (m := PASSPORT_VALUE.match(low, b)):
+            yield m.span("v")
+    for m in IBAN.finditer(low):
+        # the longest piece whose check digits are right, as a word may follow
+        for end in range(m.end(), m.start() + 15, -1):
+            if (end == len(low) or not low[end].isalnum()) and _iban_holds(low[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                break
 
 
 _NEXT_WORD = re.compile(r" ([a-z]+)")
@@ -283,6 +344,8 @@ def _addresses(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Ite
         words = m["name"].split()
         if any(w in NOT_IN_STREET for w in words):
             continue
+        if m["suffix"] in SOFT_SUFFIX and not all(w[:1].isupper() and w[1:2].islower() for w in text[m.start("name") : m.end("suffix")].split()):
+            continue
         bare = m.end() <= m.end("suffix") + 1
         nxt = _NEXT_WORD.match(low, m.end())
         if nxt and nxt[1] not in GO_ON:
@@ -308,6 +371,7 @@ def _addresses(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Ite
 
 _FAMILY = re.compile(r" (?:[a-z]\.? )?([a-z][a-z']+(?:-[a-z][a-z']+)*)")
 _BEFORE = re.compile(rf"(?:^|[\n{SEPARATOR}]|(?<![a-z]){CUES}[,:.]?) *$")
+_CUE_WORD = re.compile(CUES)
 _REVERSED = re.compile(r"([a-z][a-z']+(?:-[a-z][a-z']+)*), $")
 _GLUE = frozenset("@_+-./&#$")
 CUED = re.compile(r"[,:.]? ?(?:(?:mr|mrs|ms|dr|prof)\. )?([a-z][a-z'-]+) (?:[a-z]\. )?([a-z][a-z']+(?:-[a-z][a-z']+)*)(?![\w@-])")
@@ -325,7 +389,7 @@ def _family_follows(low: str, text: str, at: int) -> bool:
     return bool(m) and len(m[1]) > 2 and m[1] not in NOT_FAMILY and text[m.start(1)].isupper()
 
 
-def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]], common: frozenset = frozenset()) -> Iterator[tuple[int, int]]:
     for a, b in at.get("given", ()):
         prev, nxt = low[a - 1] if a else "", low[b : b + 1]
         if prev.isalnum() or prev in _GLUE or nxt.isalnum() or nxt in ("@", "_", "+"):
@@ -333,7 +397,7 @@ def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iter
         given = _case(text[a:b])
         if m := _REVERSED.search(low, max(0, a - 60), a):
             fam = m[1]
-            if len(fam) > 2 and fam not in NOT_FAMILY and _case(text[m.start(1) : m.end(1)]) == given and (_BEFORE.search(low, max(0, m.start() - 24), m.start()) or low.startswith((" (", " /"), b)):
+            if len(fam) > 2 and fam not in NOT_FAMILY and fam not in common and not _CUE_WORD.fullmatch(fam) and _case(text[m.start(1) : m.end(1)]) == given and (_BEFORE.search(low, max(0, m.start() - 24), m.start()) or low.startswith((" (", " /"), b)):
                 yield m.start(), b
                 continue
         if nxt == " " and (m := _FAMILY.match(low, b)):
@@ -355,11 +419,97 @@ def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Iter
         if (a and low[a - 1].isalnum()) or not (m := CUED.match(low, b)):
             continue
         g, f = m[1], m[2]
+        if g in common or f in common or g in CAPITAL or f in CAPITAL:
+            continue
         if len(g) > 1 and len(f) > 2 and g not in NOT_FAMILY and f not in NOT_FAMILY and text[m.start(1)].isupper() and text[m.start(2)].isupper():
             if not text[m.start(1) : m.end(2)].isupper() and m[0].find("\n") < 0:
                 yield m.start(1), m.end(2)
 
 
+_TITLE = r"[^\W\d_a-z\xdf-\xff](?:'[^\W\d_])?[^\W\d_A-Z\xc0-\xde]+(?:[-'][^\W\d_]+)*(?:(?<=Mc)[^\W\d_]+|(?<=Mac)[^\W\d_]+)?"
+_PARTICLE = r"(?:(?:de|da|del|della|di|dos|du|la|le|van|von|der|den|bin|al|el|ter) ){1,3}"
+_BEGIN, _END = r"(?<![\w@#$/&.+-])", r"(?![\w@-]|\.\w)"
+# capitalised words in a row, family name first, and words in capitals only
+RUN = re.compile(rf"{_BEGIN}{_TITLE}(?: (?:{_PARTICLE})?(?:[^\W\d_a-z]\. )?{_TITLE}){{1,4}}{_END}")
+FAMILY_FIRST = re.compile(rf"(?={_BEGIN}({_TITLE}), ({_TITLE}){_END})")
+_CAPS = r"[^\W\d_a-z\xdf-\xff]{4,}(?:-[^\W\d_a-z]+)*"
+IN_CAPITALS = re.compile(rf"(?={_BEGIN}({_CAPS}),? (?:[^\W\d_a-z]\. )?({_CAPS}){_END})")
+_VOWEL = re.compile("[aeiouy]")
+# small letters only between a cue and the end of a clause or a verb of persons
+SMALL = re.compile(r"[,:.]? ?([a-z][a-z'-]{2,})(,?) (?:[a-z]\. )?([a-z][a-z'-]{3,})(?=[.,;:!?()/\n" + SEPARATOR + r"]|$| (?:said|says|told|wrote|asked)\b)")
+_LAST_WORD = re.compile(r"([a-z][a-z'-]*)\.?([,:;!?]?)[ \n]+$")
+_FIRST_WORD = re.compile(r"(,?) ([a-z]+)")
+_DONE_BY = re.compile(r"(?:signed|written|sent|posted|hired|told|taught|owned|run|managed|called)(?: for| up| off)? by $")
+_NAMED = re.compile(rf"(?:^|[^a-z])(?:signed|named|called|(?:{RELATION.replace(' ', '|')})(?:,| is| was| named)?)[,:]? ?$")
+#: Characters between a name and other personal data beside it.
+BESIDE = 8
+
+
+def _shaped_names(low: str, text: str, common: frozenset, cues: list[tuple[int, int]], others: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Given and family name by shape and context, whether on a list or not.
+
+    A candidate is a run of capitalised words that, less common words at its head, has two or three
+    words which are no common words (``common`` holds those that a large corpus writes in small
+    letters) and no known capitalised words of other kinds. Its neighbours decide: a relation, a title or
+    a verb before it, a verb of persons after it, or other personal data beside it (``others``). Words
+    that stand beside firms and places as well count only together with another sign. Words in capitals
+    or in small letters need the same and a narrower shape.
+    """
+    begins, ends = sorted(a for a, _ in others), sorted(b for _, b in others)
+
+    def rare(*words: str) -> bool:
+        return not any(w in common or w in CAPITAL or w in NOT_FAMILY for w in words)
+
+    def public(first: str, last: str) -> bool:
+        return f"{first} {last}" in PUBLIC
+
+    def signs(a: int, end: int, lead: str | None, given: str) -> bool:
+        w = _LAST_WORD.search(low, max(0, a - 30), a)
+        before = lead or (w[1] if w and w[2] in ("", ",", ":") else "")
+        f = _FIRST_WORD.match(low, end)
+        comma, after = (f[1], f[2]) if f else ("", "")
+        if before == "the" or text[end + 1 : end + 2].isupper() and not comma and low[end : end + 1] == " " and not text[a:end].isupper():
+            return False
+        n = sum(2 - (x in WEAK) for x, known in ((before, BEFORE_PERSON), (after, AFTER_PERSON)) if x in known)
+        if comma and after in ("who", "whose", "my", "our"):
+            n += 2
+        if _DONE_BY.search(low, max(0, a - 24), a) or _NAMED.search(low, max(0, a - 24), a):
+            n += 2
+        i, j = bisect.bisect_left(begins, end), bisect.bisect_right(ends, a) - 1
+        if (i < len(begins) and begins[i] - end <= BESIDE and SEPARATOR not in low[end : begins[i]]) or (j >= 0 and a - ends[j] <= BESIDE and SEPARATOR not in low[ends[j] : a]):
+            n += 2
+        return n >= 2 or (n == 1 and given in _given())
+
+    for m in RUN.finditer(text):
+        a, end = m.span()
+        words = low[a:end].split(" ")
+        # a sentence's first word, a greeting or a title is no part of the name
+        lead = None
+        while len(words) > 1 and (words[0] in common or words[0] in CAPITAL or words[0].rstrip(".") in BEFORE_PERSON):
+            lead = words.pop(0)
+            a += len(lead) + 1
+        full = [w for w in words if not w.endswith(".") and len(w) > 1]
+        capitals = sum(w[:1].isupper() for w in text[a:end].split(" ") if len(w) > 1 and not w.endswith("."))
+        if not 2 <= capitals <= 3 or end - a > 60:
+            continue
+        own = [w for w, t in zip(low[a:end].split(" "), text[a:end].split(" ")) if t[:1].isupper() and len(w) > 1 and not w.endswith(".")]
+        if rare(*own) and low[a:end] not in PUBLIC and not public(full[0], full[-1]) and signs(a, end, lead and lead.rstrip("."), full[0]):
+            yield a, end
+    for m in FAMILY_FIRST.finditer(text):
+        family, given = low[m.start(1) : m.end(1)], low[m.start(2) : m.end(2)]
+        if rare(family, given) and family not in BEFORE_PERSON and not public(given, family) and signs(m.start(1), m.end(2), None, given):
+            yield m.start(1), m.end(2)
+    for m in IN_CAPITALS.finditer(text):
+        one, two = low[m.start(1) : m.end(1)], low[m.start(2) : m.end(2)]
+        if rare(one, two) and one not in BEFORE_PERSON and not public(one, two) and _VOWEL.search(one) and _VOWEL.search(two) and signs(m.start(1), m.end(2), None, one):
+            yield m.start(1), m.end(2)
+    for a, b in cues:
+        if a and low[a - 1].isalnum() or not (m := SMALL.match(low, b)):
+            continue
+        if text[m.start(1) : m.end()].islower() and rare(m[1], m[3]) and m[1] not in BEFORE_PERSON and m[3] not in AFTER_PERSON and not public(m[1], m[3]):
+            yield m.start(1), m.end()
+
+
 @lru_cache(maxsize=1)
 def _given() -> frozenset:
     return frozenset(GIVEN)
@@ -408,23 +558,26 @@ def _lower(text: str) -> str:
     return out.tobytes().decode("utf-32-le")
 
 
-def find(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find(cps: np.ndarray, off: np.ndarray, common: frozenset | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, kind (index into ``KINDS``), begin and end (code points within the row) of all findings.
 
     Findings don't overlap: a mail address wins over a number, a number over an address, an address
-    over a name. They are sorted by row and position.
+    over a name. They are sorted by row and position. With ``common`` names are found by shape and
+    context too.
     """
     tape, low, at = transduce(cps, off)
     taken: list[tuple[int, int, int]] = []
-    detectors = (_mails(low, at.get("mail", [])), _phones(low), _ids(low, at.get("id", [])), _addresses(low, tape.text, at), _names_in(low, tape.text, at))
-    for kind, spans in enumerate(detectors):
-        taken += [(a, kind, b) for a, b in spans if b > a]
+    plain = (_mails(low, at.get("mail", [])), _phones(low), _ids(low, tape.text, at.get("id", [])), _addresses(low, tape.text, at))
+    detectors = [[(a, b) for a, b in found if b > a] for found in plain]
+    names = [(a, b) for a, b in _names_in(low, tape.text, at, common or frozenset()) if low[a:b] not in PUBLIC]
+    if common is not None:
+        names += _shaped_names(low, tape.text, common, at.get("cue", []), [x for found in detectors for x in found])
+    for kind, spans in enumerate([*detectors, names]):
+        taken += [(a, kind, b) for a, b in spans]
     # better kinds first; of one kind the longer span
     taken.sort(key=lambda x: (_PRIORITY[x[1]], x[0], -x[2]))
     kept: list[tuple[int, int, int]] = []
     if taken:
-        import bisect
-
         starts: list[int] = []
         ends: list[int] = []
         for a, kind, b in taken:
@@ -450,14 +603,26 @@ _PRIORITY = {0: 0, 2: 1, 1: 2, 3: 3, 4: 4}
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
 
-def scan(texts: pa.Array):
+def common_words(vocabulary: bytes) -> frozenset:
+    """Words that a rank file of a public byte-level vocabulary holds in small letters, as whole words."""
+    out = set()
+    for line in vocabulary.splitlines():
+        token = base64.b64decode(line.split()[0]) if line else b""
+        if token[:1] == b" " and len(token) > 2:
+            word = token[1:].decode("utf-8", "replace")
+            if word.isalpha() and word.islower():
+                out.add(word)
+    return frozenset(out)
+
+
+def scan(texts: pa.Array, common: frozenset | None = None):
     """Findings of an Arrow string array; nulls have none."""
-    return find(*to_code_points(texts))
+    return find(*to_code_points(texts), common)
 
 
-def mask(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def mask(texts: pa.Array, common: frozenset | None = None) -> tuple[pa.Array, np.ndarray]:
     """The texts with typed placeholders, and the number of findings per row."""
-    row, kind, begin, end = scan(texts)
+    row, kind, begin, end = scan(texts, common)
     out = texts.to_pylist()
     for r, k, a, b in zip(row[::-1].tolist(), kind[::-1].tolist(), begin[::-1].tolist(), end[::-1].tolist()):
         t = out[r]
