@@ -33,6 +33,8 @@ BREAKS = ("missing", "deleted")
 COLS = ["node", "id", "rec_table", "ref_field", "target", "month"]
 #: Edges per bucket from which a bucketed table is written.
 BUCKET_ROWS = 100_000
+#: Rows of a counted table up to which it is broadcast.
+FEW = 10_000
 
 
 @dataclass
@@ -61,6 +63,11 @@ class OrphanReport:
         )
 
 
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows as the side of a join: broadcast if it is few, else never (a file's size says little about its rows)."""
+    return F.broadcast(df) if n <= FEW else df.hint("merge")
+
+
 class _Edges:
     """The edges that are left: a table bucketed by target, and the edges of dominant targets."""
 
@@ -86,9 +93,9 @@ class _Edges:
         self.names.append(name)
         return self.spark.table(name)
 
-    def below(self, frontier: DataFrame) -> DataFrame:
-        """``o_node, cause``: records with an edge to a record of the frontier, once each."""
-        out = self.left.join(frontier, F.col("target") == F.col("o_node")).select(F.col("node").alias("next"), "cause")
+    def below(self, frontier: DataFrame, n: int) -> DataFrame:
+        """``o_node, cause``: records with an edge to one of the ``n`` records of the frontier, once each."""
+        out = self.left.join(sized(frontier, n), F.col("target") == F.col("o_node")).select(F.col("node").alias("next"), "cause")
         if self.hot_edges is not None:
             # at most one frontier row per dominant target
             few = F.broadcast(frontier.where(F.col("o_node").isin(self.hot)))
@@ -142,9 +149,9 @@ def orphan_cascade(entities: DataFrame, refs: DataFrame, scratch: Scratch) -> Or
     judged = skew_join(refs, entities, "target", "e_node", heavy_keys(refs, "target"), "left")
     judged = scratch.table(judged.select(*COLS, state.alias("state"), F.coalesce("e_refers", F.lit(False)).alias("inner")), "judged")
     direct = judged.where(F.col("state").isNotNull())
-    broken = scratch.table(direct.where(F.col("state").isin(*BREAKS)).groupBy(F.col("node").alias("o_node")).agg(F.max("state").alias("cause")), "broken")
+    broken, n = scratch.counted(direct.where(F.col("state").isin(*BREAKS)).groupBy(F.col("node").alias("o_node")).agg(F.max("state").alias("cause")), "broken")
     # broken records are orphans already; a target that refers no further can't be one below another
-    walked = judged.where("inner and (state is null or state = 'late')").join(broken, F.col("node") == F.col("o_node"), "left_anti")
+    walked = judged.where("inner and (state is null or state = 'late')").join(sized(broken, n), F.col("node") == F.col("o_node"), "left_anti")
     walked = scratch.table(walked.select(*COLS), "walked")
     n_edges, n_nodes = walked.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
     edges = _Edges(walked.select("node", "target"), n_edges, scratch)
@@ -153,16 +160,17 @@ def orphan_cascade(entities: DataFrame, refs: DataFrame, scratch: Scratch) -> Or
     level, frontier, reached, dropped = 0, broken, 0, 0
     while True:
         level += 1
-        nxt = edges.below(frontier)
+        nxt = edges.below(frontier, n)
         if n_edges > n_nodes and level > 1:
             # records with several references may be met again
             seen_before = read(levels).select(F.col("o_node").alias("v_node"))
             nxt = nxt.join(seen_before, F.col("o_node") == F.col("v_node"), "left_anti")
         count = Observation()
         nxt.observe(count, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{levels}/level={level}")
-        if not count.get["n"]:
+        n = count.get["n"]
+        if not n:
             break
-        reached += count.get["n"]
+        reached += n
         frontier = read(f"{levels}/level={level}")
         if reached - dropped > (n_edges - dropped) / 2:
             edges.drop(read(levels))
