@@ -74,6 +74,33 @@ def pearson_p(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield p.where((df > 0) & r.notna(), None)
 
 
+@F.pandas_udf(DoubleType())
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided tail probability of a standard normal."""
+    from math import erfc
+
+    return z.astype(float).map(lambda v: None if pd.isna(v) else erfc(abs(v) / 2**0.5))
+
+
+def max_stat_counts(x: np.ndarray, y: np.ndarray, block: int, reps: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each column of ``x``: its |r| with ``y``, and in how many block resamples of ``y`` the greatest
+    |r| of all columns, and the column's own, reach that.
+
+    Resampling ``y`` alone breaks its tie with ``x`` and keeps its own dependence. Columns that don't
+    vary have r = 0.
+    """
+    sd = x.std(axis=0)
+    z = np.where(sd > 0, (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1), 0.0)
+    r_of = lambda v: np.abs(z.T @ ((v - v.mean()) / (v.std() or 1.0))) / len(v)
+    seen = r_of(y)
+    family, own = np.zeros(x.shape[1], np.int64), np.zeros(x.shape[1], np.int64)
+    for i in block_indices(len(y), block, reps, rng):
+        r = r_of(y[i])
+        family += r.max() >= seen
+        own += r >= seen
+    return seen, family, own
+
+
 def block_indices(n: int, block: int, reps: int, rng: np.random.Generator) -> np.ndarray:
     """``reps`` circular block resamples of ``range(n)``: blocks of fixed length from random starts."""
     k = -(-n // block)

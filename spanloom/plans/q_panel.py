@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as T
 from ..operators import panel as P
+from ..operators import resample as FE
 from ..operators.relational import range_label, sarcasm_treatments
 from ..schema import CELLS, EMOTIONS, HORIZONS, VALENCE
 from . import bindings as B
@@ -204,9 +205,10 @@ q("agg37_deattenuated", f"{_REL} SELECT feature, round(greatest(-0.999, least(0.
 )
 
 
-def _resampled(s, d, features, reps, per_task, fn, schema):
+def _resampled(s, d, features, reps, per_task, fn, schema, until=None):
     """Resampling in parallel: the joined series is small (one row per week) and goes to every task by value."""
-    rows = _xy(s, d, features).toPandas()
+    xy = _xy(s, d, features)
+    rows = (xy if until is None else xy.where(F.col("week") <= F.lit(until).cast("date"))).toPandas()
     wide = rows.pivot(index="week", columns="feature", values="x").join(rows.drop_duplicates("week").set_index("week")["y"]).sort_index()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,22 +235,23 @@ def agg38(s, d):
 
 @PANEL.add("agg39_reality_check")
 def agg39(s, d):
-    """Selection-adjusted p: resampled returns against the best of all emotion features."""
-    feats = [*_E, *_S, "net_valence"]
+    """Selection-adjusted p per emotion feature, in-sample: resampled returns against the best of the family."""
+    feats = [*_E, *_S]
+    reps = 5000
 
-    def fn(wide, rng, reps):
-        z = wide[feats].to_numpy()
-        z = (z - z.mean(0)) / np.where(z.std(0) > 0, z.std(0), 1)
-        y = wide["y"].to_numpy()
-        out = []
-        for i in S.block_indices(len(y), 8, reps, rng):
-            v = y[i]
-            out.append(np.abs(z.T @ ((v - v.mean()) / v.std()) / len(v)).max())
-        return pd.DataFrame({"m": out})
+    def fn(wide, rng, n):
+        seen, family, own = S.max_stat_counts(wide[feats].to_numpy(), wide["y"].to_numpy(), 8, n, rng)
+        return pd.DataFrame({"feature": feats, "abs_r": seen, "family": family, "own": own})
+
+    got = _resampled(s, d, feats, reps, 500, fn, "feature string, abs_r double, family long, own long", until=SPLIT)
+    per = got.groupBy("feature").agg(F.first("abs_r").alias("abs_r"), ((F.sum("family") + 1) / (reps + 1)).alias("p_family"), ((F.sum("own") + 1) / (reps + 1)).alias("p_feature"))
+    top = per.agg(F.max("abs_r").alias("family_max"))
+    return per.crossJoin(F.broadcast(top)).select("feature", "abs_r", "family_max", "p_family", "p_feature")
 
-    obs = _xy(s, d, ["emo_excitement_euphoria"]).agg(F.abs(S.corr("x", "y")).alias("obs"))
-    reps = _resampled(s, d, feats, 5000, 500, fn, "m double")
-    return reps.crossJoin(F.broadcast(obs)).agg(F.max("obs").alias("observed"), ((F.count_if(F.col("m") >= F.col("obs")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+q("agg39_family_max", f"{_XY} SELECT round(max(abs(r)), 6) AS family_max FROM (SELECT feature, {R_SQL} AS r FROM xy WHERE week <= DATE '{SPLIT}' AND feature IN ({', '.join(f"'{f}'" for f in [*_E, *_S])}) GROUP BY 1)", "pr", "px")(
+    lambda s, d: agg39(s, d).select(F.round("family_max", 6).alias("family_max")).distinct()
+)
 
 
 _IS = f"{_XY}, sp AS (SELECT feature, week > DATE '{SPLIT}' AS oos, {R_SQL} AS r, count(*) AS n FROM xy GROUP BY 1, 2)"
@@ -391,13 +394,33 @@ q("agg46_fixed_effects", f"{_WZ}, dm AS (SELECT x - avg(x) OVER (PARTITION BY ti
 )
 
 
-@PANEL.add("agg46_two_way_clustered")
+def _ot_features(s, d):
+    """Ticker-week cells with two features and the winsorised return."""
+    o = B.table(s, d, "orders")
+    v = F.col("o_orderkey") % 5
+    cells = o.groupBy(F.col("o_orderpriority").alias("ticker"), T.week_end(F.to_date("o_orderdate")).alias("week")).agg(F.avg(v - 2).alias("net_val_mean"), F.avg((v == 0).cast("int")).alias("share_low"), F.count(F.lit(1)).alias("n_pairs"))
+    kept = cells.where((F.col("n_pairs") >= 3) & (F.col("ticker") != GAUGE))
+    return P.winsorise(kept.join(_rets(s, d).where("horizon = '1w' and y is not null").select("ticker", "week", "y"), ["ticker", "week"]), "y")
+
+
+@PANEL.add("agg46_clustered")
 def agg46(s, d):
-    """Two-way effects with standard errors clustered by week."""
-    z = P.demean_two_way(P.winsorise(_om(s, d), "y"), ["x", "y"], "ticker", "week")
-    b = z.agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).alias("beta"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.count(F.lit(1)).alias("n"))
-    score = z.crossJoin(F.broadcast(b)).groupBy("week").agg(F.sum(F.col("x") * (F.col("y") - F.col("beta") * F.col("x"))).alias("g"), F.first("beta").alias("beta"), F.first("sxx").alias("sxx"), F.first("n").alias("n"))
-    return score.agg(F.first("beta").alias("beta"), (F.sqrt(F.sum(F.col("g") * F.col("g"))) / F.first("sxx")).alias("se"), F.first("n").alias("n"), F.count(F.lit(1)).alias("n_weeks"))
+    """Slopes with effects of tickers, and of weeks too; errors clustered by week."""
+    m = _ot_features(s, d)
+    out = None
+    for feature in ("net_val_mean", "share_low"):
+        for effects in ("ticker", "ticker_week"):
+            r = FE.fixed_effects(m, feature, "y", "ticker", "week", two_way=effects == "ticker_week").select(F.lit(feature).alias("feature"), F.lit(effects).alias("effects"), "*")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+q("agg46_ticker_effects", f"""{_WZ}, dm AS (SELECT ticker, week, x - avg(x) OVER (PARTITION BY ticker) AS x, y - avg(y) OVER (PARTITION BY ticker) AS y FROM wz),
+    bt AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx, count(*) AS n, count(DISTINCT ticker) AS u FROM dm),
+    sc AS (SELECT week, sum(x * (y - beta * x)) AS g FROM dm, bt GROUP BY 1), gg AS (SELECT sum(g * g) AS gg, count(*) AS k FROM sc)
+    SELECT round(beta, 6) AS beta, round(sqrt(gg * k / (k - 1) * (n - 1) / (n - u - 1)) / sxx, 6) AS se, round(beta / (sqrt(gg * k / (k - 1) * (n - 1) / (n - u - 1)) / sxx), 4) AS z, n, k AS n_clusters FROM bt, gg""", "px")(
+    lambda s, d: FE.fixed_effects(_ot_features(s, d), "net_val_mean", "y", "ticker", "week").select(F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"), "n", "n_clusters")
+)
 
 
 SETS = {"s1": ["net_valence"], "s2": ["net_valence", *_E], "s3": ["net_valence", *_E, *_S], "s4": ["net_valence", *_E, *_S, *_C]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import match as M
 from ..operators import relational as R
+from ..operators import resample as RS
 from ..sources import jsonl as J
 from ..sources import worklist as W
 from ..streaming import debate as D
@@ -214,28 +215,25 @@ STREAM.add("misc18_review_sheet")(
 )
 
 
-@STREAM.add("agg24_paired_bootstrap")
-def agg24(s, d, reps: int = 2000):
-    """Difference of pair F1 between two models against gold, resampling comments.
-
-    Each comment draws its multiplicity in each replicate from a hash, so replicates need no index
-    join and repeat exactly: Poisson weights, the usual stand-in for drawing with replacement.
-    """
+def _paired_tallies(s, d):
+    """Per gold comment the tallies of two models; a model without a label for it has no pairs."""
 
     def tal(who, tag):
         pred = B.labels(s, d).where(F.col("annotator") == who).select(F.col("comment_id").alias("p_id"), F.col("pairs").alias("pb"))
         j = gold(s, d).withColumnRenamed("pairs", "pa").join(pred, F.col("comment_id") == F.col("p_id"), "left")
         t = M.tallies(M.with_matches(j.withColumn("pb", F.coalesce("pb", F.slice("pa", 1, 0)))))
-        return t.select("comment_id", (F.col("n_a") + F.col("n_b")).alias(f"d_{tag}"), F.col("n_span").alias(f"m_{tag}"))
-
-    t = tal("C01", "a").join(tal("C02", "b"), "comment_id")
-    u = F.pmod(F.xxhash64("comment_id", "rep"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    edges = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    w = sum((F.when(u > e, 1).otherwise(0) for e in edges[1:]), F.when(u > edges[0], 1).otherwise(0))
-    draws = t.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", w).where("w > 0")
-    per = draws.groupBy("rep").agg((F.try_divide(200.0 * F.sum(F.col("w") * F.col("m_a")), F.sum(F.col("w") * F.col("d_a"))) - F.try_divide(200.0 * F.sum(F.col("w") * F.col("m_b")), F.sum(F.col("w") * F.col("d_b")))).alias("delta"))
-    ci = per.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.avg("delta").alias("delta"), F.avg((F.col("delta") <= 0).cast("int")).alias("lo"), F.avg((F.col("delta") >= 0).cast("int")).alias("hi"))
-    return ci.select("delta", F.get("ci", F.lit(0)).alias("ci_low"), F.get("ci", F.lit(1)).alias("ci_high"), F.greatest(2 * F.least("lo", "hi"), F.lit(1.0 / reps)).alias("p"))
+        return t.select("comment_id", (F.col("n_a") + F.col("n_b")).alias(f"d_{tag}"), *[F.col(f"n_{m}").alias(f"{m}_{tag}") for m in METRICS])
+
+    return tal("C01", "a").join(tal("C02", "b"), "comment_id")
+
+
+METRICS = ("span", "typed", "full")
+
+
+@STREAM.add("agg24_paired_bootstrap")
+def agg24(s, d):
+    """Difference of the three F1 between two models against gold: comments drawn with replacement, 2000 times."""
+    return RS.paired_f1_bootstrap(Scratch(s, "bootstrap").table(_paired_tallies(s, d)), "comment_id", METRICS)
 
 
 _REPRO = TALLY + ", " + match_ctes("ab", thr=0.6, tag="o").strip() + ", scr AS (SELECT round(200.0 * sum(n_span) / sum(n_a + n_b), 6) AS now, round(200.0 * (SELECT count(*) FROM mto) / sum(n_a + n_b), 6) AS before FROM tal)"

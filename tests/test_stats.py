@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import stats as S
 from spanloom.operators import panel as P
+from spanloom.operators import resample as R
 
 
 def test_tail_probabilities():
@@ -71,3 +72,59 @@ def test_weighted_corr_with_equal_weights(spark):
     df = spark.createDataFrame([(float(a), float(b), 2.0) for a, b in v], "x double, y double, w double")
     r = df.agg(*[c.alias(n) for n, c in P.weighted_corr(F.col("x"), F.col("y"), F.col("w")).items()]).first()
     assert r["r"] == pytest.approx(np.corrcoef(v.T)[0, 1]) and r["n_eff"] == pytest.approx(50)
+
+
+def test_paired_bootstrap_draws_with_replacement(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"c{i}", *[int(v) for v in rng.integers(0, 9, 4)]) for i in range(120)]
+    df = spark.createDataFrame([(k, a + 9, b + 9, x % (a + 1), y % (b + 1), "z") for k, a, b, x, y in rows], "k string, d_a int, d_b int, span_a int, span_b int, extra string")
+    counts = R.resampled_sums(df.withColumn("one", F.lit(1)), "k", ["one", "d_a"], 400, block=25).toPandas().set_index("rep").sort_index()
+    whole = df.toPandas()
+    # every replicate draws as many rows as there are; the spread is that of sums of draws
+    assert (counts["one"] == 120).all() and counts.loc[0, "d_a"] == whole["d_a"].sum()
+    draws = counts.loc[1:, "d_a"]
+    want = np.sqrt(120) * whole["d_a"].std(ddof=0)
+    assert abs(draws.mean() - whole["d_a"].sum()) < 4 * want / 20 and 0.85 < draws.std() / want < 1.15
+    got = R.paired_f1_bootstrap(df, "k", ["span"], 500).first()
+    f1 = lambda t, x: 200 * t[f"span_{x}"].sum() / t[f"d_{x}"].sum()
+    assert got["delta"] == pytest.approx(f1(whole, "a") - f1(whole, "b"))
+    ref = [(lambda t: f1(t, "a") - f1(t, "b"))(whole.iloc[rng.integers(0, 120, 120)]) for _ in range(1500)]
+    lo, hi = np.percentile(ref, [2.5, 97.5])
+    assert abs(got["ci_low"] - lo) < 0.25 * (hi - lo) and abs(got["ci_high"] - hi) < 0.25 * (hi - lo) and 0 < got["p"] <= 1
+    assert R.paired_f1_bootstrap(df.limit(0), "k", ["span"], 5).count() == 0
+
+
+@pytest.mark.parametrize("two_way", [False, True])
+def test_clustered_errors_against_dummies(spark, two_way):
+    rng = np.random.default_rng(2)
+    cells = [(t, w) for t in range(5) for w in range(30) if rng.random() < 0.8]
+    x = rng.normal(size=len(cells))
+    y = 0.3 * x + np.array([t * 0.2 + np.sin(w) for t, w in cells]) + rng.normal(size=len(cells))
+    design = [np.ones(len(cells)), x, *[np.array([t == k for t, _ in cells], float) for k in range(1, 5)]]
+    if two_way:
+        design += [np.array([w == k for _, w in cells], float) for k in sorted({w for _, w in cells})[1:]]
+    m = np.column_stack(design)
+    inv = np.linalg.pinv(m.T @ m)
+    beta = inv @ m.T @ y
+    e = y - m @ beta
+    weeks = sorted({w for _, w in cells})
+    scores = np.array([m[[c[1] == w for c in cells]].T @ e[[c[1] == w for c in cells]] for w in weeks])
+    n, k, g = len(cells), m.shape[1], len(weeks)
+    cov = inv @ (scores.T @ scores) @ inv * g / (g - 1) * (n - 1) / (n - k)
+    df = spark.createDataFrame([(f"t{t}", w, float(a), float(b)) for (t, w), a, b in zip(cells, x, y)] + [("t0", 1, None, 1.0), (None, 1, 1.0, 1.0)], "t string, w int, x double, y double")
+    got = R.fixed_effects(df, "x", "y", "t", "w", two_way=two_way).first()
+    assert got["beta"] == pytest.approx(beta[1], abs=1e-5) and got["se"] == pytest.approx(np.sqrt(cov[1, 1]), rel=1e-4)
+    assert got["n"] == n and got["n_clusters"] == g and got["p"] == pytest.approx(float(np.vectorize(__import__("math").erfc)(abs(got["z"]) / 2**0.5)))
+    assert R.fixed_effects(df.where("w = 0"), "x", "y", "t", "w").first()["se"] is None
+
+
+def test_reality_check_counts():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=(150, 6)), np.ones(150)])
+    y = 0.5 * x[:, 0] + rng.normal(size=150)
+    seen, family, own = S.max_stat_counts(x, y, 8, 400, np.random.default_rng(4))
+    assert seen[:6] == pytest.approx([abs(np.corrcoef(x[:, i], y)[0, 1]) for i in range(6)]) and seen[6] == 0
+    # the planted feature stands out; the family's best reaches the others almost always, themselves less often
+    assert family[0] <= 4 and own[0] <= family[0] and (family[1:] >= own[1:]).all() and family[6] == own[6] == 400
+    again = S.max_stat_counts(x, y, 8, 400, np.random.default_rng(4))
+    assert (again[1] == family).all()
