@@ -1,15 +1,19 @@
 """Span offsets into normalised text, with a map back to the raw characters.
 
-The normal form here knows every HTML entity and full case folding, which built-in expressions
-don't; the work is done per Arrow batch.
+A batch's texts are one array of code points. References are decoded where there are any; lookup
+tables of code points then fold, drop, expand and case-fold all texts at once, and every step carries
+the raw position along. No step loops over characters, and a text that occurs several times in a
+batch - such as the post of many spans - is indexed once.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -24,81 +28,160 @@ OFFSET = StructType([StructField("src", StringType()), StructField("start", Inte
 INDEXED = StructType([StructField("norm", StringType()), StructField("idx", ArrayType(IntegerType()))])
 
 
-def indexed(text: str | None) -> tuple[str, list[int]]:
-    """The normal form and, for each of its characters, the raw position it came from."""
-    raw = text or ""
-    out: list[tuple[str, int]] = []
-
-    def feed(piece: str, at: int, fixed: bool) -> None:
-        for k, ch in enumerate(piece):
-            src = at if fixed else at + k
-            for f in _FOLD.get(ch, ch):
-                blank = f.isspace()
-                if blank and (not out or out[-1][0] == " "):
-                    continue
-                out.extend((c, src) for c in (" " if blank else f.casefold()))
-
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class _Rewrite:
+    """A table that replaces code points by none, one or several."""
+
+    def __init__(self, changes: dict[int, str]):
+        self.length = np.ones(0x110000, np.uint8)
+        self.one = np.arange(0x110000, dtype=np.uint32)
+        self.start = np.zeros(0x110000, np.int32)
+        flat: list[int] = []
+        for cp, new in changes.items():
+            self.length[cp] = len(new)
+            if len(new) == 1:
+                self.one[cp] = ord(new)
+            else:
+                self.start[cp] = len(flat)
+                flat += map(ord, new)
+        self.flat = np.array(flat or [0], np.uint32)
+
+    def __call__(self, cps: np.ndarray, *along: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = self.length[cps]
+        if (n == 1).all():
+            return (self.one[cps], *along)
+        at = np.repeat(np.arange(cps.size), n)
+        nth = np.arange(at.size) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+        source = cps[at]
+        out = np.where(n[at] == 1, self.one[source], self.flat[np.minimum(self.start[source] + nth, self.flat.size - 1)])
+        return (out, *[x[at] for x in along])
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[_Rewrite, np.ndarray, _Rewrite]:
+    """Folding of signs, which code points are blanks, and case folding."""
+    chars = [chr(i) for i in range(0x110000)]
+    blank = np.array([c.isspace() for c in chars])
+    return _Rewrite({ord(k): v for k, v in _FOLD.items()}), blank, _Rewrite({i: f for i, c in enumerate(chars) if (f := c.casefold()) != c})
+
+
+def _decoded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points with references replaced, and the raw position of each; a replaced one stands where it began."""
+    cps, at = [], []
     done = 0
-    for m in REFERENCE.finditer(raw):
-        feed(raw[done : m.start()], done, False)
-        decoded = html.unescape(m[0])
-        feed(decoded, m.start(), decoded != m[0])
+    for m in REFERENCE.finditer(text):
+        new = html.unescape(m[0])
+        if new == m[0]:
+            continue
+        cps += [_points(text[done : m.start()]), _points(new)]
+        at += [np.arange(done, m.start()), np.full(len(new), m.start())]
         done = m.end()
-    feed(raw[done:], done, False)
-    while out and out[-1][0] == " ":
-        out.pop()
-    return "".join(c for c, _ in out), [i for _, i in out]
+    return np.concatenate([*cps, _points(text[done:])]), np.concatenate([*at, np.arange(done, len(text))])
+
+
+def index_all(texts: Iterable[str | None]) -> list[tuple[str, np.ndarray]]:
+    """The normal form of every text and, for each of its characters, the raw position it came from."""
+    texts = [t or "" for t in texts]
+    if not texts:
+        return []
+    parts = [_decoded(t) if "&" in t else (_points(t), np.arange(len(t))) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(c) for c, _ in parts])
+    cps, at = np.concatenate([c for c, _ in parts]), np.concatenate([a for _, a in parts])
+    folds, is_blank, cases = _tables()
+    cps, at, row = folds(cps, at, row)
+    blank = is_blank[cps]
+    # of a run of blanks the first stays, and none at a text's beginning
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if row.size else np.zeros(0, bool)
+    keep = ~blank | ~(first | np.concatenate([[True], blank[:-1]])) if row.size else blank
+    cps, at, row, blank = np.where(blank, 32, cps)[keep], at[keep], row[keep], blank[keep]
+    if row.size:
+        last = np.concatenate([row[1:] != row[:-1], [True]])
+        keep = ~(blank & last)
+        cps, at, row = cps[keep], at[keep], row[keep]
+    cps, at, row = cases(cps, at, row)
+    end = np.searchsorted(row, np.arange(len(texts)), "right")
+    begin = np.concatenate([[0], end[:-1]])
+    norm = cps.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [(norm[b:e], at[b:e]) for b, e in zip(begin.tolist(), end.tolist())]
 
 
-def encode(span: str | None, sources: list[tuple[str, str | None]]) -> tuple | None:
-    """``(src, start, end, occurrence)`` in the first source that holds the span; None if none does.
-
-    ``occurrence`` is the number of further occurrences, not an ordinal.
-    """
-    needle = indexed(span)[0]
-    if not needle:
+def indexed(text: str | None) -> tuple[str, list[int]]:
+    """The normal form of one text and the raw positions."""
+    norm, at = index_all([text])[0]
+    return norm, at.tolist()
+
+
+class Index:
+    """The texts of a batch, each indexed once."""
+
+    def __init__(self, *columns: Iterable[str | None]):
+        distinct = dict.fromkeys(t for c in columns for t in c if isinstance(t, str))
+        self.of = dict(zip(distinct, index_all(distinct)))
+
+    def __getitem__(self, text: str | None) -> tuple[str, np.ndarray]:
+        return self.of[text] if isinstance(text, str) else ("", np.zeros(0, np.int64))
+
+    def encode(self, span: str | None, sources: list[tuple[str, str | None]]) -> tuple | None:
+        """``(src, start, end, occurrence)`` in the first source that holds the span; None if none does.
+
+        ``occurrence`` is the number of further occurrences, not an ordinal.
+        """
+        needle = self[span][0]
+        if not needle:
+            return None
+        for name, raw in sources:
+            norm = self[raw][0]
+            at = norm.find(needle)
+            if at >= 0:
+                return name, at, at + len(needle), max(0, norm.count(needle) - 1)
         return None
-    for name, raw in sources:
-        norm = indexed(raw)[0]
-        at = norm.find(needle) if norm else -1
-        if at >= 0:
-            return name, at, at + len(needle), max(0, norm.count(needle) - 1)
-    return None
+
+    def decode(self, offset, sources: dict[str, str | None]) -> str | None:
+        """The raw text of an offset; None if it runs past its source's text."""
+        raw = sources.get(offset["src"])
+        at = self[raw][1]
+        if offset["end"] > len(at) or offset["end"] <= offset["start"]:
+            return None
+        return raw[at[offset["start"]] : at[offset["end"] - 1] + 1]
+
+
+def encode(span: str | None, sources: list[tuple[str, str | None]]) -> tuple | None:
+    return Index([span], [t for _, t in sources]).encode(span, sources)
 
 
 def decode(offset, sources: dict[str, str | None]) -> str | None:
-    """The raw text of an offset; None if it runs past its source's text."""
-    raw = sources.get(offset["src"]) or ""
-    _, idx = indexed(raw)
-    if offset["end"] > len(idx) or offset["end"] <= offset["start"]:
-        return None
-    return raw[idx[offset["start"]] : idx[offset["end"] - 1] + 1]
+    return Index(sources.values()).decode(offset, sources)
 
 
 @F.pandas_udf(INDEXED)
 def indexed_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame([indexed(t) for t in texts], columns=["norm", "idx"])
+        yield pd.DataFrame(index_all(texts), columns=["norm", "idx"])
 
 
 @F.pandas_udf(StringType())
 def normalize_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: indexed(t)[0])
+    return pd.Series([n for n, _ in index_all(texts)], index=texts.index, dtype=object)
 
 
 @F.pandas_udf(OFFSET)
 def encode_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for span, comment, parent, post in batches:
-        rows = [encode(s, [("comment", c), ("parent", p), ("post", t)]) or (None, None, None, None) for s, c, p, t in zip(span, comment, parent, post)]
+        index = Index(span, comment, parent, post)
+        rows = [index.encode(s, [("comment", c), ("parent", p), ("post", t)]) or (None, None, None, None) for s, c, p, t in zip(span, comment, parent, post)]
         yield pd.DataFrame(rows, columns=["src", "start", "end", "occurrence"]).astype({"start": "Int32", "end": "Int32", "occurrence": "Int32"})
 
 
 @F.pandas_udf(StringType())
 def decode_udf(batches: Iterator[tuple[pd.DataFrame, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for off, comment, parent, post in batches:
+        index = Index(comment, parent, post)
         out = []
         for o, c, p, t in zip(off.to_dict("records"), comment, parent, post):
-            out.append(decode(o, {"comment": c, "parent": p, "post": t}) if isinstance(o.get("src"), str) else None)
+            out.append(index.decode(o, {"comment": c, "parent": p, "post": t}) if isinstance(o.get("src"), str) else None)
         yield pd.Series(out, dtype=object)
 
 

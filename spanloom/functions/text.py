@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,22 +12,96 @@ EDGE = ".,;:!?'\"()[]{}-…"
 # Quotes and dashes folded by the normal form, and what they become.
 FOLD_FROM = "‘’‚‛“”„\"–—− "
 FOLD_TO = "''''''''--- "
-# Entities that the built-in path knows; the ampersand comes last.
-ENTITIES = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&GT;", ">"), ("&LT;", "<"), ("&QUOT;", '"'), ("&AMP;", "&"), ("&amp;", "&"))
-
-
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _table(pairs: dict[str, str]) -> str:
+    """A lookup table as one string: plans stay small, and a lookup is one search in it."""
+    return "\x01" + "\x01".join(f"{k}\x02{v}" for k, v in pairs.items()) + "\x01"
+
+
+def _lookup(table: str, key: Column) -> Column:
+    """The table's value of ``key``; '' if it has none or the key is empty."""
+    # behind the key, up to the next one; a key that isn't there leaves the table, which begins with a mark
+    rest = F.call_function("substring_index", F.lit(table), F.concat(F.lit("\x01"), key, F.lit("\x02")), F.lit(-1))
+    return F.substring_index(rest, "\x01", 1)
+
+
+#: Names of character references, as the standard library lists them; some also count without a semicolon.
+_NAMES = _table(html5)
+_SHORT = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# numbers 128 to 159 stand for the characters of an old code page where that defines them
+_OLD_PAGE = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
+_FOLDS = {chr(i): chr(i).casefold() for i in range(128, 0x1E944) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i).lower()}
+_FOLD_TABLE, _FOLD_CLASS = _table(_FOLDS), "[" + "".join(_FOLDS) + "]"
+
+
+def _references(pieces: Column) -> Column:
+    """What stands for each text after an ampersand, the ampersand included.
+
+    In steps of named parts, so that no part is written into the plan more than once.
+    """
+    heads = F.transform(
+        pieces,
+        lambda p: F.struct(
+            p.alias("p"),
+            F.regexp_extract(p, "^(#(?:[0-9]+|[xX][0-9a-fA-F]+);?)", 1).alias("number"),
+            # the whole name, or the longest short one that the text begins with
+            F.array(F.regexp_extract(p, "^([a-zA-Z][a-zA-Z0-9]{1,31};?)", 1), F.regexp_extract(p, f"^({_SHORT})", 1)).alias("names"),
+        ),
+    )
+    digits = lambda x: F.regexp_extract(x["number"], "^#[xX]?0*([0-9a-fA-F]+)", 1)
+    big = lambda x: F.length(digits(x)) > 8
+    is_hex = lambda x: F.lower(F.substring(x["number"], 2, 1)) == "x"
+    code = lambda x: F.when(big(x), F.lit(0x110000)).otherwise(F.when(is_hex(x), F.conv(digits(x), 16, 10)).otherwise(digits(x)).cast("bigint"))
+    found = F.transform(
+        heads,
+        lambda x: F.struct(
+            x["p"].alias("p"),
+            x["number"].alias("number"),
+            F.when(x["number"] != "", code(x)).alias("code"),
+            F.get(F.filter(F.transform(x["names"], lambda k: F.struct(k.alias("k"), _lookup(_NAMES, k).alias("v"))), lambda h: (h["k"] != "") & (h["v"] != "")), F.lit(0)).alias("head"),
+        ),
+    )
+
+    def result(x: Column) -> Column:
+        c, after = x["code"], lambda head: F.substring(x["p"], F.length(head) + 1, F.length(x["p"]))
+        lost = (c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF)
+        none = c.between(1, 8) | c.between(14, 31) | (c == 11) | (c == 127) | c.between(0xFDD0, 0xFDEF) | (F.pmod(c, F.lit(0x10000)) >= 0xFFFE)
+        old = F.get(F.array(*[F.lit(y) for y in _OLD_PAGE]), (c - 128).cast("int"))
+        char = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        of_number = F.when(lost, "\ufffd").when(c.between(128, 159), old).when(none, "").otherwise(char)
+        return F.when(x["number"] != "", F.concat(of_number, after(x["number"]))).when(x["head"].isNotNull(), F.concat(x["head"]["v"], after(x["head"]["k"]))).otherwise(F.concat(F.lit("&"), x["p"]))
+
+    return F.transform(found, result)
+
+
+def unescape(text: str | Column) -> Column:
+    """Character references replaced: all names and numbers, with a semicolon or without where that counts."""
+    c = _c(text)
+    decoded = F.get(F.transform(F.array(F.split(c, "&", -1)), lambda x: F.concat(F.get(x, F.lit(0)), F.array_join(_references(F.slice(x, F.lit(2), F.size(x))), ""))), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+
+def casefold(text: str | Column) -> Column:
+    """Lower case that also unites what lower case keeps apart, such as sharp s and double s."""
+    fold = lambda ch: F.coalesce(F.nullif(_lookup(_FOLD_TABLE, ch), F.lit("")), F.lower(ch))
+    # the text is bound to a name, so that it is worked out once
+    return F.get(F.transform(F.array(_c(text)), lambda x: F.when(x.rlike(_FOLD_CLASS), F.array_join(F.transform(F.split(x, ""), fold), "")).otherwise(F.lower(x))), F.lit(0))
+
+
 def normalize(text: str | Column) -> Column:
-    """Normal form for span matching; null and empty give ''. Entities beyond the common ones need ``codec.normalize_udf``."""
-    c = F.coalesce(_c(text), F.lit(""))
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
+    """Normal form for span matching; null and empty give ''.
+
+    References are decoded, backslashes dropped, quotes, dashes and special blanks folded, blanks
+    collapsed, ends trimmed and case folded. Built-in expressions only, so it works inside of
+    lambdas; texts without references and rare letters take none of the longer ways.
+    """
+    c = unescape(F.coalesce(_c(text), F.lit("")))
     c = F.translate(F.replace(c, F.lit("\\"), F.lit("")), FOLD_FROM, FOLD_TO)
     c = F.replace(c, F.lit("…"), F.lit("..."))
-    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    return casefold(F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
 def span_in(span: str | Column, text: str | Column) -> Column:

@@ -130,10 +130,13 @@ def sql(body: str, *views: str) -> str:
     return f"WITH RECURSIVE {head}\n{body}" if head else body
 
 
-# SQL forms of the text functions.
+# SQL forms of the text functions. The references that occur in the tables; the ampersand comes last.
+_ENTITIES = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&GT;", ">"), ("&LT;", "<"), ("&QUOT;", '"'), ("&AMP;", "&"), ("&amp;", "&"))
+
+
 def norm_sql(x: str) -> str:
     out = f"coalesce({x}, '')"
-    for a, b in T.ENTITIES:
+    for a, b in _ENTITIES:
         out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     frm, to = T.FOLD_FROM.replace("'", "''"), T.FOLD_TO.replace("'", "''")
     out = f"replace(translate(replace({out}, '\\', ''), '{frm}', '{to}'), '…', '...')"

@@ -122,3 +122,21 @@ def test_validation_rules(spark):
     assert len(got[2]["errors"]) == 2 and len(got[3]["errors"]) == 1 and got[4]["valid"] and len(got[5]["errors"]) == 1
     assert got[6]["errors"] == ["pairs: too many"] and got[7]["errors"] == ["pairs: missing"] and got[8]["valid"]
     assert len(got[5]["pairs"]) == 1 and len(V.validate(df, drop_invalid=True).where("id = 5").first()["pairs"]) == 0
+
+
+def test_normal_form_equals_the_standard_library(spark):
+    import html
+    import random
+    import re
+    from html.entities import html5
+
+    rng, names = random.Random(1), sorted(html5)
+    bits = ["&", "#", "x", "12", "a", ";", " ", "\u00df", "\u00c9", "amp", "lt", "\u1e9e", "\u0149", "\ufb01", "\u03c2", "\u0130", "\\", "\u201c", "\u2026"]
+    texts = ["".join(rng.choice([*bits, rng.choice(names), "&" + rng.choice(names), f"&#{rng.randrange(300)};", f"&#x{rng.randrange(0x120000):x}"]) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    texts += [None, "", "AT&T; &T &ampx &notit;", "&#0; &#128; &#x110000; &#99999999999; &#xD800; &#13;x&#1;", "\u00a0a\u3000b\x1c", "&NotEqualTilde;"]
+    fold = {ord(k): v for k, v in zip(T.FOLD_FROM, T.FOLD_TO)} | {0x2026: "..."}
+    want = [re.sub(r"\s+", " ", html.unescape(t or "").replace("\\", "").translate(fold)).strip().casefold() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["n"] for r in df.select("i", T.normalize("t").alias("n")).orderBy("i").collect()] == want
+    # inside of a lambda too
+    assert df.select(F.transform(F.array("t"), lambda x: T.normalize(x)).alias("n"), "i").where("i = 3").first()["n"] == [want[3]]
