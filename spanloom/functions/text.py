@@ -289,6 +289,17 @@ def custom_block(content: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.try_element_at(F.filter(parts, lambda x: x != ""), F.lit(-1)), r"\s+", " "))
 
 
+def in_first_order(items: Column) -> Column:
+    """The distinct items of an array, each at its first place."""
+    return F.array_distinct(items)
+
+
+def questions(content: str | Column) -> Column:
+    """The questions that a debate turn asks both, in their order."""
+    found = F.regexp_extract_all(F.coalesce(_c(content), F.lit("")), F.lit(r"(?im)^[ \t]*QUESTION FOR A (?:&|AND) B:[ \t]*(\S.*?)[ \t]*$"), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def render_item(title: Column, selftext: Column, parent: Column, body: Column) -> Column:
     """An item as labelled sections joined by blank lines; empty sections but the title are left out."""
     given = lambda c: F.nullif(c, F.lit(""))

@@ -121,7 +121,8 @@ def winsorise(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99) -> Da
 def ticker_panel(labels: DataFrame, bodies: DataFrame, tickers: Column) -> DataFrame:
     """``week, ticker, net_val, n_fear, n_pairs, n_comments`` over comments that name one ticker.
 
-    labels: ``comment_id, pairs``; bodies: ``id, body, day``. Comments without pairs fall out.
+    labels: ``comment_id, pairs``, any number per comment; bodies: ``id, body, day``. Labels without
+    pairs fall out; a comment counts once, however many labels it has.
     """
     fold = lambda c, f: F.aggregate(c, F.lit(0.0), lambda acc, p: acc + f(p))
     lab = labels.where(F.size("pairs") > 0).select(
@@ -131,4 +132,4 @@ def ticker_panel(labels: DataFrame, bodies: DataFrame, tickers: Column) -> DataF
         F.size("pairs").alias("np"),
     )
     one = bodies.withColumn("t", tickers).where(F.size("t") == 1).select("id", F.get("t", F.lit(0)).alias("ticker"), T.week_start("day").alias("week"))
-    return one.join(lab, F.col("id") == F.col("comment_id")).groupBy("week", "ticker").agg(F.sum("nv").alias("net_val"), F.sum("nf").alias("n_fear"), F.sum("np").alias("n_pairs"), F.count(F.lit(1)).alias("n_comments"))
+    return one.join(lab, F.col("id") == F.col("comment_id")).groupBy("week", "ticker").agg(F.sum("nv").alias("net_val"), F.sum("nf").alias("n_fear"), F.sum("np").alias("n_pairs"), F.count_distinct("id").alias("n_comments"))

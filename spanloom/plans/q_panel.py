@@ -352,23 +352,23 @@ q("agg06_sarcasm_incidence", "SELECT coalesce(emotion, 'all') AS emotion, count(
 
 # tickers
 _SIGN = " ".join(f"WHEN '{e}' THEN {v}" for e, v in VALENCE.items())
-_TP = f"""WITH la AS (SELECT comment_id, list_sum(list_transform(pairs, lambda p: CASE p.emotion {_SIGN} ELSE 0 END * coalesce(p.intensity, 0))) AS nv, len(list_filter(pairs, lambda p: p.emotion = 'fear_anxiety')) AS nf, len(pairs) AS np FROM lab WHERE annotator = 'A' AND len(pairs) > 0),
+_TP = f"""WITH la AS (SELECT comment_id, list_sum(list_transform(pairs, lambda p: CASE p.emotion {_SIGN} ELSE 0 END * coalesce(p.intensity, 0))) AS nv, len(list_filter(pairs, lambda p: p.emotion = 'fear_anxiety')) AS nf, len(pairs) AS np, annotator FROM lab WHERE len(pairs) > 0),
     tb AS (SELECT id, list_extract(t, 1) AS ticker, {week_sql('CAST(make_timestamp(created_utc * 1000000) AS DATE)')} - 6 AS week FROM (SELECT id, created_utc, {TICK_SQL} AS t FROM c) WHERE len(t) = 1),
-    tp AS (SELECT week, ticker, sum(nv) AS net_val, sum(nf)::BIGINT AS n_fear, sum(np)::BIGINT AS n_pairs, count(*) AS n_comments FROM tb JOIN la ON la.comment_id = tb.id GROUP BY 1, 2)"""
+    tp AS (SELECT week, ticker, sum(nv) AS net_val, sum(nf)::BIGINT AS n_fear, sum(np)::BIGINT AS n_pairs, count(DISTINCT comment_id) AS n_comments FROM tb JOIN la ON la.comment_id = tb.id GROUP BY 1, 2)"""
 
 
 def _ticker_panel(s, d):
-    lab = B.labels(s, d).where("annotator = 'A'").select("comment_id", "pairs")
+    lab = B.labels(s, d).select("comment_id", "pairs")
     body = B.comments(s, d).select("id", "body", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_utc") / 86400).cast("int")).alias("day"))
     return P.ticker_panel(lab, body, T.tickers("body", UNIVERSE))
 
 
 q("agg43_ticker_panel", f"{_TP} SELECT week, ticker, round(net_val, 6) AS net_val, n_fear, n_pairs, n_comments FROM tp", "lab", "c")(lambda s, d: _r6(_ticker_panel(s, d), "net_val"))
-q("joi13_labels_in_stream", f"{_TP} SELECT ticker, count(*) AS n FROM tb JOIN la ON la.comment_id = tb.id GROUP BY 1", "lab", "c")(lambda s, d: _ticker_panel(s, d).groupBy("ticker").agg(F.sum("n_comments").alias("n")))
-q("agg44_comment_emotion", f"{_TP} SELECT comment_id, round(nv, 6) AS nv, nf::INT AS nf, np::INT AS np FROM la", "lab", "c")(
+q("joi13_labels_in_stream", f"{_TP} SELECT ticker, count(DISTINCT id) AS n FROM tb JOIN la ON la.comment_id = tb.id GROUP BY 1", "lab", "c")(lambda s, d: _ticker_panel(s, d).groupBy("ticker").agg(F.sum("n_comments").alias("n")))
+q("agg44_comment_emotion", f"{_TP} SELECT comment_id, annotator, round(nv, 6) AS nv, nf::INT AS nf, np::INT AS np FROM la", "lab", "c")(
     lambda s, d: B.labels(s, d)
-    .where("annotator = 'A' and size(pairs) > 0")
-    .select("comment_id", F.round(F.aggregate("pairs", F.lit(0.0), lambda a, p: a + T.valence(p["emotion"], p["intensity"])), 6).alias("nv"), F.size(F.filter("pairs", lambda p: p["emotion"] == "fear_anxiety")).alias("nf"), F.size("pairs").alias("np"))
+    .where("size(pairs) > 0")
+    .select("comment_id", "annotator", F.round(F.aggregate("pairs", F.lit(0.0), lambda a, p: a + T.valence(p["emotion"], p["intensity"])), 6).alias("nv"), F.size(F.filter("pairs", lambda p: p["emotion"] == "fear_anxiety")).alias("nf"), F.size("pairs").alias("np"))
 )
 # cells per priority: a ticker panel with enough rows
 _OT = f"ot AS (SELECT ticker, {week_sql('day')} AS week, sum(v) AS net_val, count(*) AS n_pairs FROM (SELECT o_orderdate::DATE AS day, o_orderpriority AS ticker, (o_orderkey % 5 - 2) AS v FROM orders) GROUP BY 1, 2)"

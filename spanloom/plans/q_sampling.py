@@ -12,10 +12,12 @@ from ..operators import sampling as S
 from ..operators import tagging as G
 from ..operators import validate as V
 from ..schema import ASSETS, CAUSES, EMOTIONS, SOURCES
+from ..sources import jsonl as J
 from . import bindings as B
 from .bindings import norm_sql, span_in_sql, sql
 from .q_text import _CAUSE_SQL, _EMO_SQL, _LOC_SQL, _POST_SQL, _SOURCE_SQL, _TOPIC_SQL, HYG_PY, HYG_SQL, RENDER_SQL, _located, _render
 from .registry import Registry
+from .scratch import Scratch
 
 SAMPLING = Registry()
 SEED = 7
@@ -104,7 +106,17 @@ _SPLIT = f"WITH st AS ({_EMOTIVE_STRATA}), n AS (SELECT stratum, round_even(200.
 q("snk06_split_manifest", f"{_SPLIT} SELECT id, stratum, CASE WHEN r <= q THEN 'dev' ELSE 'train' END AS split FROM rk JOIN n USING (stratum)", "c")(lambda s, d: S.stratified_dev(_strata(s, d), "stratum", "id", 200, SEED).select("id", "stratum", "split"))
 q("top03_gold_sample", f"{_SPLIT} SELECT id, stratum FROM rk WHERE r <= 20", "c")(lambda s, d: S.quota_sample(_strata(s, d), ["stratum"], F.lit(20), "id", SEED).select("id", "stratum"))
 q("agg54_split_stats", f"SELECT stratum, count(*) AS n FROM ({_EMOTIVE_STRATA}) GROUP BY 1", "c")(lambda s, d: S.stratified_dev(_strata(s, d), "stratum", "id", 200, SEED).groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
-q("src22_stride", "SELECT id FROM c WHERE pos % 20 = 0", "c")(lambda s, d: B.comments(s, d).where(F.col("pos") % 20 == 0).select("id"))
+
+
+@q("src22_stride", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS line FROM c) WHERE line % 20 = 0", "c")
+def src22(s, d):
+    """Every twentieth physical line of label files, numbered over all files in order of their names."""
+    path = f"{Scratch(s, 'lines').base}/comments"
+    J.write_jsonl(B.comments(s, d).select("id", "body").repartitionByRange(8, "id").sortWithinPartitions("id"), path)
+    lines = J.numbered_lines(s, path).where(F.col("line") % 20 == 0)
+    return lines.select(F.get_json_object("value", "$.id").alias("id"))
+
+
 q("agg53_progress", "SELECT r.annotator, count(l.comment_id) AS n FROM (VALUES ('A'), ('B'), ('C01'), ('NOBODY')) r(annotator) LEFT JOIN lab l ON l.annotator = r.annotator GROUP BY 1", "lab")(
     lambda s, d: s.createDataFrame([("A",), ("B",), ("C01",), ("NOBODY",)], "annotator string").join(B.labels(s, d).groupBy("annotator").agg(F.count(F.lit(1)).alias("c")), "annotator", "left").select("annotator", F.coalesce("c", F.lit(0)).alias("n"))
 )
@@ -183,7 +195,21 @@ def joi17(s, d):
 
 
 q("misc20_rehydration_missing", "SELECT id AS comment_id FROM item WHERE pos % 7 = 0", "item")(lambda s, d: manifest(s, d).join(_texts(s, d).where(T.text_pos("comment_id") % 7 != 0).select("comment_id"), "comment_id", "left_anti").select("comment_id"))
-q("joi18_decode_join", "SELECT l.comment_id, l.annotator, c.id IS NOT NULL AS present FROM lab l LEFT JOIN c ON c.id = l.comment_id", "lab", "c")(lambda s, d: B.labels(s, d).join(B.comments(s, d).select("id"), F.col("comment_id") == F.col("id"), "left").select("comment_id", "annotator", F.col("id").isNotNull().alias("present")))
+_SPAN_SQL = f"""(SELECT comment_id, annotator, p.emotion_span AS span FROM (SELECT comment_id, annotator, unnest(pairs) AS p FROM lab)) l JOIN c ON c.id = l.comment_id WHERE {span_in_sql('l.span', 'c.body')}"""
+
+
+@q("joi18_decode_join", f"""SELECT l.comment_id, l.annotator, c.id IS NOT NULL AS present, coalesce(n, 0)::BIGINT AS n_decoded, 0::BIGINT AS n_mismatch
+    FROM lab l LEFT JOIN c ON c.id = l.comment_id LEFT JOIN (SELECT l.comment_id, l.annotator, count(*) AS n FROM {_SPAN_SQL} GROUP BY 1, 2) x ON x.comment_id = l.comment_id AND x.annotator = l.annotator""", "lab", "c")
+def joi18(s, d):
+    """Labels with offsets decoded from the corpus: comments it lacks are flagged, and spans that come back otherwise counted."""
+    spans = B.labels(s, d).select("comment_id", "annotator", "pairs").join(B.comments(s, d).select("id", "body"), F.col("comment_id") == F.col("id"), "left")
+    none = F.lit(None).cast("string")
+    per = spans.where("id is not null").select("comment_id", "annotator", "body", F.explode("pairs.emotion_span").alias("span")).withColumn("offset", C.encode_udf("span", "body", none, none))
+    got = per.where("offset.src is not null").withColumn("raw", C.decode_udf("offset", "body", none, none))
+    n = got.groupBy(F.col("comment_id").alias("n_id"), F.col("annotator").alias("n_who")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~T.normalize("raw").eqNullSafe(T.normalize("span"))).alias("bad"))
+    j = spans.join(n, (F.col("comment_id") == F.col("n_id")) & (F.col("annotator") == F.col("n_who")), "left")
+    return j.select("comment_id", "annotator", F.col("id").isNotNull().alias("present"), F.coalesce("n", F.lit(0)).alias("n_decoded"), F.coalesce("bad", F.lit(0)).alias("n_mismatch"))
+
 
 # validation
 _in = lambda x, vs: f"{x} IS NULL OR {x} NOT IN ({', '.join(chr(39) + v + chr(39) for v in vs)})"

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tokens as TK
 from ..operators import match as M
 from ..operators import relational as R
 from ..operators import resample as RS
+from ..operators import store as ST
+from ..schema import CORPUS_LABEL, PAIRS
 from ..sources import jsonl as J
+from ..sources import state as SS
+from ..sources import tail as TL
 from ..sources import worklist as W
+from ..streaming import archive as A
 from ..streaming import debate as D
 from ..streaming import ingest as I
+from ..streaming import mock as MK
 from . import bindings as B
 from .bindings import sql
 from .q_match import _IAA, TALLY, gold, match_ctes
@@ -28,8 +34,8 @@ def q(name: str, body: str, *views: str):
 
 
 def _corpus(s, d):
-    """Annotator A's labels as a corpus label file, with broken lines in between."""
-    lab = B.labels(s, d).where("annotator = 'A'").join(B.comments(s, d).select("id", "created_utc", "link_id"), F.col("comment_id") == F.col("id"))
+    """All current labels as a corpus label file, with broken lines in between."""
+    lab = B.labels(s, d).join(B.comments(s, d).select("id", "created_utc", "link_id"), F.col("comment_id") == F.col("id"))
     path = f"{Scratch(s, 'corpus').base}/labels"
     J.write_jsonl(lab.select("comment_id", "created_utc", "link_id", (F.size("pairs") == 0).alias("neutral"), "pairs"), path)
     dirt = s.createDataFrame([("",), ('{"comment_id": "cut off",',), ('\x00{"comment_id": "nul", "created_utc": null, "pairs": []}',), ("not json",)], "value string")
@@ -37,9 +43,24 @@ def _corpus(s, d):
     return path
 
 
-_CORPUS = "co AS (SELECT l.comment_id, c.created_utc AS ts, p.emotion, p.cause_category AS cause, coalesce(p.intensity, 0) AS intensity, coalesce(p.sarcasm, FALSE) AS sarcasm FROM (SELECT comment_id, unnest(pairs) AS p FROM lab WHERE annotator = 'A') l JOIN c ON c.id = l.comment_id WHERE created_utc IS NOT NULL AND coalesce(p.cause_category, '') <> 'interpersonal')"
+_CORPUS = "co AS (SELECT l.comment_id, c.created_utc AS ts, p.emotion, p.cause_category AS cause, coalesce(p.intensity, 0) AS intensity, coalesce(p.sarcasm, FALSE) AS sarcasm FROM (SELECT comment_id, unnest(pairs) AS p FROM lab) l JOIN c ON c.id = l.comment_id WHERE created_utc IS NOT NULL AND coalesce(p.cause_category, '') <> 'interpersonal')"
 q("src06_load_pairs", f"WITH {_CORPUS} SELECT * FROM co", "lab", "c")(lambda s, d: J.load_pairs(s, _corpus(s, d)))
-q("str11_live_tail", f"WITH {_CORPUS} SELECT count(*) AS n FROM co", "lab", "c")(lambda s, d: J.load_pairs(s, _corpus(s, d)).agg(F.count(F.lit(1)).alias("n")))
+
+
+@q("str11_live_tail", f"WITH {_CORPUS} SELECT emotion, count(*) AS n FROM co GROUP BY 1", "lab", "c")
+def str11(s, d):
+    """Label files that grow while they are read: half of the labels, with a line cut off, then the other half."""
+    scratch = Scratch(s, "live")
+    lab = B.labels(s, d).join(B.comments(s, d).select("id", "created_utc", "link_id"), F.col("comment_id") == F.col("id")).select("comment_id", "annotator", "created_utc", "link_id", (F.size("pairs") == 0).alias("neutral"), "pairs")
+    path, offsets, out = f"{scratch.base}/labels", {}, None
+    for half in (0, 1):
+        J.write_jsonl(lab.where(F.pmod(F.xxhash64("comment_id", "annotator"), F.lit(2)) == half), path, "overwrite" if half == 0 else "append")
+        s.createDataFrame([('{"comment_id": "cut off",',)], "value string").coalesce(1).write.mode("append").option("lineSep", " ").text(path)
+        lines, offsets = TL.tail(s, path, offsets, scratch)
+        out = lines if out is None else out.unionByName(lines)
+    return J.flat_pairs(J.parse_tolerant(out.select("value", "file", "at"), CORPUS_LABEL)).groupBy("emotion").agg(F.count(F.lit(1)).alias("n"))
+
+
 q("set01_pooled_files", f"WITH {_CORPUS} SELECT emotion, count(*) * 2 AS n FROM co GROUP BY 1", "lab", "c")(lambda s, d: J.load_pairs(s, [_corpus(s, d), _corpus(s, d)]).groupBy("emotion").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -60,25 +81,27 @@ q("src09_sample_scan", "SELECT id, body FROM c", "c")(lambda s, d: J.latest(B.co
 q("src10_latest_record", "SELECT comment_id, annotator, max(updated_at) AS at FROM (SELECT comment_id, nullif(upper(trim(annotator)), '') AS annotator, updated_at FROM labels) WHERE comment_id IS NOT NULL AND annotator IS NOT NULL GROUP BY 1, 2")(
     lambda s, d: J.latest(table(s, d, "labels").select("comment_id", F.nullif(F.upper(F.trim("annotator")), F.lit("")).alias("annotator"), F.col("updated_at").alias("at")).where("comment_id is not null and annotator is not null"), ["comment_id", "annotator"], ["at"])
 )
-_INC = "SELECT comment_id, CASE WHEN n1 % 2 = 0 THEN len(list_filter(pairs, lambda p: p.intensity > 0.5)) ELSE len(pairs) END::INT AS n FROM (SELECT *, ('0x' || substr(md5(comment_id), 32, 1))::INT AS n1 FROM lab WHERE annotator = 'A')"
+_INC = "SELECT comment_id, annotator, CASE WHEN n1 % 2 = 0 THEN len(list_filter(pairs, lambda p: p.intensity > 0.5)) ELSE len(pairs) END::INT AS n FROM (SELECT *, ('0x' || substr(md5(comment_id), 32, 1))::INT AS n1 FROM lab)"
 
 
 def _flagged(s, d):
-    """Pairs of A, half of the comments with a flag for those included."""
-    lab = B.labels(s, d).where("annotator = 'A'")
-    return lab.select("comment_id", F.transform("pairs", lambda p: p.withField("included", F.when(T.half("comment_id") == 0, p["intensity"] > 0.5)).withField("support", F.when(p["intensity"] > 0.5, 2).otherwise(1))).alias("pairs"))
+    """Pairs of every current label, half of the comments with a flag for those included."""
+    return B.labels(s, d).select("comment_id", "annotator", F.transform("pairs", lambda p: p.withField("included", F.when(T.half("comment_id") == 0, p["intensity"] > 0.5)).withField("support", F.when(p["intensity"] > 0.5, 2).otherwise(1))).alias("pairs"))
 
 
 def _keep(s, d, f):
-    return _flagged(s, d).select("comment_id", F.size(f(F.col("pairs"))).alias("n"))
+    return _flagged(s, d).select("comment_id", "annotator", F.size(f(F.col("pairs"))).alias("n"))
 
 
 q("src15_included_or_all", _INC, "lab")(lambda s, d: _keep(s, d, R.keep_included))
-q("src16_included_only", "SELECT comment_id, CASE WHEN n1 % 2 = 0 THEN len(list_filter(pairs, lambda p: p.intensity > 0.5)) ELSE 0 END::INT AS n FROM (SELECT *, ('0x' || substr(md5(comment_id), 32, 1))::INT AS n1 FROM lab WHERE annotator = 'A')", "lab")(lambda s, d: _keep(s, d, lambda p: R.keep_supported(p, None)))
-q("flt06_support_filter", "SELECT comment_id, len(list_filter(pairs, lambda p: p.intensity > 0.5))::INT AS n FROM lab WHERE annotator = 'A'", "lab")(lambda s, d: _keep(s, d, lambda p: R.keep_supported(p, 2)))
+q("src16_included_only", "SELECT comment_id, annotator, CASE WHEN n1 % 2 = 0 THEN len(list_filter(pairs, lambda p: p.intensity > 0.5)) ELSE 0 END::INT AS n FROM (SELECT *, ('0x' || substr(md5(comment_id), 32, 1))::INT AS n1 FROM lab)", "lab")(lambda s, d: _keep(s, d, lambda p: R.keep_supported(p, None)))
+q("flt06_support_filter", "SELECT comment_id, annotator, len(list_filter(pairs, lambda p: p.intensity > 0.5))::INT AS n FROM lab", "lab")(lambda s, d: _keep(s, d, lambda p: R.keep_supported(p, 2)))
 q("flt11_length_budget", "SELECT id FROM c WHERE length(body) // 4 <= 60", "c")(lambda s, d: B.comments(s, d).where(F.floor(F.length("body") / 4) <= 60).select("id"))
 
 
+STREAM.add("flt11_token_budget")(lambda s, d: B.items(s, d).where(TK.within_budget(s, T.render_item(F.col("post_title"), F.col("post_selftext"), F.col("parent_body"), F.col("body")), 256)).select("id"))
+
+
 # turn logs from the scripted model
 def turns(s, d):
     """Turn logs of all disagreements: scripted content, one row per turn."""
@@ -96,7 +119,15 @@ _TURNS = _IAA + """, tu AS (SELECT comment_id, mode, turn, 'm' || turn % 2 AS mo
     po AS (SELECT comment_id, model, max_by(verdict, turn) AS verdict FROM tu GROUP BY 1, 2)"""
 q("win05_latest_turn", f"{_TURNS} SELECT comment_id, turn::INT AS turn, model FROM tu", "ab")(lambda s, d: J.latest(turns(s, d).withColumn("rev", F.lit(0)).unionByName(turns(s, d).withColumn("rev", F.lit(1))), ["comment_id", "turn"], ["rev"]).select("comment_id", "turn", "model"))
 q("win06_contiguous", f"{_TURNS} SELECT comment_id, count(*) AS n, mode % 2 = 0 AS whole FROM tu WHERE mode % 2 = 0 OR turn > 0 GROUP BY comment_id, mode", "ab")(lambda s, d: D.contiguous(turns(s, d).where((F.conv(F.substring(F.md5("comment_id"), 32, 1), 16, 10).cast("int") % 2 == 0) | (F.col("turn") > 0))))
-q("flt12_stale_turns", f"{_TURNS} SELECT comment_id, count(*) AS n FROM tu WHERE turn < 2 GROUP BY 1", "ab")(lambda s, d: turns(s, d).where("turn < 2").groupBy("comment_id").agg(F.count(F.lit(1)).alias("n")))
+def _superseded(s, d):
+    """The turn logs with rows of an earlier, longer run behind them, and how many turns each debate has."""
+    t = turns(s, d)
+    n = t.groupBy("comment_id").agg(F.count(F.lit(1)).cast("int").alias("n_turns"))
+    old = t.join(n, "comment_id").select("comment_id", (F.col("turn") + F.col("n_turns")).alias("turn"), "model", F.lit("VERDICT: UNSURE").alias("content"))
+    return t.unionByName(old), n
+
+
+q("flt12_stale_turns", f"{_TURNS} SELECT comment_id, turn::INT AS turn, 'VERDICT: ' || verdict AS said FROM tu", "ab")(lambda s, d: D.without_stale(*_superseded(s, d)).select("comment_id", "turn", F.concat(F.lit("VERDICT: "), T.verdict("content")).alias("said")))
 q("str09_valid_prefix", f"{_TURNS} SELECT comment_id, count(*) AS n FROM tu WHERE turn < 3 GROUP BY 1", "ab")(
     lambda s, d: D.valid_prefix(turns(s, d).withColumn("expected", F.when(F.col("turn") < 3, F.col("model")).otherwise("other"))).groupBy("comment_id").agg(F.count(F.lit(1)).alias("n"))
 )
@@ -128,7 +159,19 @@ def str08(s, d):
 
 
 STREAM.add("misc16_debate_report")(lambda s, d: str08(s, d).groupBy("outcome", "escalated").agg(F.count(F.lit(1)).alias("n"), F.sum("n_questions").alias("n_questions"), F.round(F.avg("n_turns"), 3).alias("mean_turns")))
-q("set07_question_dedup", "SELECT id, array_to_string(list_sort(list_distinct(string_split(lower(body), ' '))), ' ') AS w FROM c", "c")(lambda s, d: B.comments(s, d).select("id", F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("body"), " "))), " ").alias("w")))
+_FIRST = "list_filter(w, lambda x, i: list_position(w, x) = i)"
+q("set07_question_dedup", f"SELECT id, array_to_string({_FIRST}, ' ') AS w FROM (SELECT id, string_split(lower(body), ' ') AS w FROM c)", "c")(lambda s, d: B.comments(s, d).select("id", F.array_join(T.in_first_order(F.split(F.lower("body"), " ")), " ").alias("w")))
+
+
+@q("set07_debate_questions", f"{_TURNS} SELECT comment_id, ['what is meant?', 'how strong is ' || ((max(turn) // 2)::INT) || '?'] AS questions FROM tu WHERE turn % 2 = 0 GROUP BY 1 HAVING max(turn) > 1 UNION ALL SELECT comment_id, ['what is meant?', 'how strong is 0?'] FROM tu GROUP BY 1 HAVING max(turn) < 2", "ab")
+def set07(s, d):
+    """The questions of every debate, each at its first place: all even turns ask two, the last one's second is new."""
+    t = turns(s, d)
+    top = t.groupBy("comment_id").agg(F.max("turn").alias("top"))
+    asked = F.concat(F.lit("QUESTION FOR A & B: what is meant?\nQUESTION FOR A AND B: how strong is "), F.floor(F.col("top") / 2).cast("string"), F.lit("?\n"), "content")
+    return D.questions(t.join(top, "comment_id").withColumn("content", F.when(F.col("turn") % 2 == 0, asked).otherwise(F.col("content"))))
+
+
 q("str06_done_ids", "SELECT DISTINCT id FROM c WHERE pos % 3 <> 0", "c")(lambda s, d: B.comments(s, d).withColumn("error", F.when(F.col("pos") % 3 == 0, "e")).where("error is null").select("id").distinct())
 q("str05_resume", "SELECT id FROM c WHERE pos % 3 = 0", "c")(lambda s, d: I.resume(B.comments(s, d), B.comments(s, d).withColumn("error", F.when(F.col("pos") % 3 == 0, "e")), "id").select("id"))
 
@@ -148,15 +191,59 @@ def _events_glob(d):
 
 
 q("set06_boundary_dedup", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1")(lambda s, d: I.replay(s, _events_glob(d), table(s, d, "events").schema, "event_id", "ts", "60 days").select("event_id", "event_type"))
-STREAM.add("src01_archive_replay")(lambda s, d: I.replay(s, _events_glob(d), table(s, d, "events").schema, "event_id", "ts", "60 days").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-q("str01_cursor", "SELECT max(ts) AS after, count(*) AS total FROM events")(lambda s, d: table(s, d, "events").agg(F.max("ts").alias("after"), F.count(F.lit(1)).alias("total")))
 
 
-@q("src03_incremental_tail", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def _archive(s, df, label, id_col, ts_col, shows=(0.4, 0.8)):
+    """Ingest a table that shows more and more of its rows, in order of time; returns what was taken and the cursor.
+
+    A part ends within a second: of its last second it shows every other id.
+    """
+    scratch = Scratch(s, label)
+    rows = scratch.table(df, "archive")
+    out, state = f"{scratch.base}/out", f"{scratch.base}/state/{label}.json"
+    ends = [x for x in rows.agg(F.percentile_approx(ts_col, F.array(*[F.lit(x) for x in shows]))).first()[0] or [] if x is not None]
+    for end in ends:
+        part = rows.where((F.col(ts_col) < end) | ((F.col(ts_col) == end) & (F.pmod(F.xxhash64(id_col), F.lit(2)) == 0)))
+        A.ingest(part, state, out, id_col, ts_col, pages=1)
+    cursor = A.ingest(rows, state, out, id_col, ts_col)
+    return A.ingested(s, out, rows.schema), cursor, state
+
+
+def _seconds(s, d):
+    return table(s, d, "events").select("event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"))
+
+
+q("src01_archive_replay", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL GROUP BY 1")(
+    lambda s, d: _archive(s, _seconds(s, d), "events", "event_id", "sec")[0].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"))
+)
+
+
+def _cursor_row(s, c):
+    return s.createDataFrame([(c.after, c.total, len(c.boundary), c.complete)], "after bigint, total bigint, n_boundary int, complete boolean")
+
+
+q("str01_cursor", "SELECT max(epoch(ts)::BIGINT) AS after, count(*) AS total, count(DISTINCT event_id) FILTER (epoch(ts)::BIGINT = (SELECT max(epoch(ts)::BIGINT) FROM events))::INT AS n_boundary, TRUE AS complete FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL")(
+    lambda s, d: _cursor_row(s, _archive(s, _seconds(s, d), "events", "event_id", "sec")[1])
+)
+
+
+@q("src03_incremental_tail", "SELECT id, CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END AS rev FROM c", "c")
 def src03(s, d):
+    """Comments from files that are read by offset: all of them, then half again as a second revision."""
+    scratch = Scratch(s, "tail")
+    path, out, state = f"{scratch.base}/in", f"{scratch.base}/out", f"{scratch.base}/offsets.json"
+    rows = B.comments(s, d).select("id", "body", "pos")
+    for rev in (0, 1):
+        J.write_jsonl(rows.where(f"pos % 2 = 0 or {rev} = 0").select("id", "body", F.lit(rev).alias("rev")), path, "append")
+        TL.ingest_tail(s, path, "id string, body string, rev int", ["id"], out, state)
+    return TL.upserted(s, out, "id string, body string, rev int", ["id"]).select("id", "rev")
+
+
+@q("src03_stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def src03_stream(s, d):
     """The newest event per user from a stream, upserted batch by batch."""
     stream = s.readStream.schema(table(s, d, "events").schema).parquet(_events_glob(d)).select("user_id", "event_id", "event_type")
-    return I.upsert(s, stream, ["user_id"], ["event_id"], Scratch(s, "tail")).select("user_id", "event_id")
+    return I.upsert(s, stream, ["user_id"], ["event_id"], Scratch(s, "stream-upsert")).select("user_id", "event_id")
 
 
 @q("snk07_label_upsert", "SELECT comment_id, annotator, len(pairs)::INT AS n FROM lab", "lab")
@@ -177,9 +264,15 @@ def snk08(s, d):
     return I.upsert(s, stream, ["comment_id"], ["updated_at"], scratch)
 
 
-q("snk09_append_log", "SELECT row_number() OVER (ORDER BY event_id) AS n, event_id FROM events WHERE event_type = 'purchase'")(
-    lambda s, d: table(s, d, "events").where("event_type = 'purchase'").select("event_id").withColumn("n", F.row_number().over(Window.orderBy("event_id")).cast("bigint")).select("n", "event_id")
-)
+@q("snk09_append_log", "SELECT row_number() OVER (ORDER BY event_id % 2, event_id) AS id, event_id::VARCHAR AS body FROM events")
+def snk09(s, d):
+    """A log appended twice: the even events, then the odd ones; ids go on."""
+    scratch = Scratch(s, "log")
+    ev = table(s, d, "events").select("event_id", F.col("event_type").alias("comment_id"), F.lit("x").alias("author"), F.col("event_id").cast("string").alias("body"))
+    log = s.createDataFrame([], "id bigint, comment_id string, author string, body string")
+    for half in (0, 1):
+        log = scratch.table(ST.append_messages(log, ev.where(F.col("event_id") % 2 == half), ["event_id"], scratch), "log")
+    return log.select("id", "body")
 
 
 @q("snk01_jsonl_round_trip", "SELECT id, created_utc, body FROM c", "c")
@@ -261,27 +354,83 @@ def udf09(s, d):
     return f1.orderBy(F.desc("typed_f1"), "thr").limit(1).select("thr", "typed_f1")
 
 
+def _sources(s, d):
+    return B.items(s, d).select("id", "body", "parent_body", T.post_text("post_title", "post_selftext").alias("post_text"))
+
+
+def _judged_labels(s, d):
+    """Every row of the labels as a request; any annotator is known."""
+    raw = B.table(s, d, "labels").select("comment_id", F.nullif(F.upper(F.trim("annotator")), F.lit("")).alias("annotator"), "neutral", "pairs", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return ST.judge_labels(raw, _sources(s, d), ["A", "B", *[f"C{i:02}" for i in range(1, 23)]])
+
+
 @STREAM.add("api04_put_label")
 def api04(s, d):
-    """Labels that may be stored: valid ones; a label that is not neutral needs pairs."""
-    from .q_sampling import validated
+    """The label store after all requests, valid ones only."""
+    judged = Scratch(s, "put").table(_judged_labels(s, d).drop("errors"))
+    return ST.put_labels(judged.limit(0), judged).select("comment_id", "annotator", "neutral", F.size("pairs").alias("n_pairs"))
+
+
+q("api04_refused_empty", "SELECT comment_id, nullif(upper(trim(annotator)), '') AS annotator, count(*) AS n FROM labels WHERE NOT coalesce(neutral, FALSE) AND coalesce(len(pairs), 0) = 0 GROUP BY 1, 2")(
+    lambda s, d: _judged_labels(s, d).where(F.array_contains("errors", "pairs: none, and not neutral")).groupBy("comment_id", "annotator").agg(F.count(F.lit(1)).alias("n"))
+)
+
 
-    v = validated(s, d)
-    return v.select("comment_id", "annotator", (F.col("valid") & ~((F.size("pairs") == 0) & ~F.coalesce("neutral", F.lit(True)))).alias("accepted"))
+@STREAM.add("api10_put_adjudication")
+def api10(s, d):
+    """The store of adjudications after all requests; A and B copy the stored label."""
+    raw = B.table(s, d, "adjudications").select("comment_id", "final", "pairs", "resolved_by", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    judged = Scratch(s, "adjudicate").table(ST.judge_adjudications(raw, B.labels(s, d), _sources(s, d)).drop("errors"))
+    return ST.put_adjudications(judged.limit(0), judged).select("comment_id", "final", "neutral", F.size("pairs").alias("n_pairs"))
 
 
-STREAM.add("api10_put_adjudication")(lambda s, d: gold(s, d).select("comment_id", "final", (F.size("pairs") == 0).alias("neutral")))
-STREAM.add("api09_messages")(lambda s, d: turns(s, d).select("comment_id", F.col("turn").alias("id"), F.col("model").alias("author"), F.col("content").alias("body")))
-STREAM.add("udf03_stub_model")(lambda s, d: I.label_batches(B.comments(s, d), lambda ts: [f"{len(t) % 4}" for t in ts], "id", "body").select("id", "output"))
+@q("api09_messages", f"{_TURNS} SELECT comment_id, row_number() OVER (ORDER BY comment_id, turn) AS id, model AS author FROM tu", "ab")
+def api09(s, d):
+    """The turns appended to an empty message log; their ids list them per comment."""
+    scratch = Scratch(s, "messages")
+    said = turns(s, d).select("comment_id", "turn", F.col("model").alias("author"), F.concat(F.lit("  "), "content").alias("body"))
+    blank = said.withColumn("body", F.lit(" "))
+    log = ST.append_messages(s.createDataFrame([], "id bigint, comment_id string, author string, body string"), said.unionByName(blank), ["comment_id", "turn"], scratch)
+    return log.select("comment_id", "id", "author")
+
+
+# the mock model: decided by the first hexadecimal digits of the id's MD5
+_MOCK = "('0x' || substr(md5(id), 1, 7))::BIGINT"
+
+
+def mocked(s, d):
+    """Raw output of the mock model per comment, with the texts that it saw."""
+    it = B.items(s, d).select("id", "body", "post_title", "parent_body", T.post_text("post_title", "post_selftext").alias("post_text"))
+    return it.withColumn("raw", MK.mock_output("id", "post_title", "body"))
+
+
+@q("udf03_stub_model", f"SELECT id, CASE WHEN h % 10 = 0 THEN 'bad' WHEN h % 4 = 0 AND trim(body) <> '' THEN 'pair' ELSE 'none' END AS kind FROM (SELECT id, body, {_MOCK} AS h FROM c)", "c")
+def udf03(s, d):
+    """What the mock model answers: a span that isn't in the text, a pair, or none."""
+    pairs = MK.parse_output("raw")
+    kind = F.when(F.size(pairs) == 0, "none").when(F.get(pairs, F.lit(0))["emotion_span"] == MK.BAD_SPAN, "bad").otherwise("pair")
+    return mocked(s, d).select("id", kind.alias("kind"))
+
+
+@q("udf03_mock_is_valid", f"SELECT id, h % 10 <> 0 AS valid FROM (SELECT id, {_MOCK} AS h FROM c)", "c")
+def udf03_valid(s, d):
+    """Whether the mock's answers keep the scheme: all but the planted bad spans do, once sources are corrected."""
+    from ..operators.validate import validate
+
+    return validate(mocked(s, d).withColumn("pairs", MK.parse_output("raw"))).select("id", "valid")
 
 
 @STREAM.add("udf16_infer_and_score")
 def udf16(s, d):
-    """A stub's predictions parsed, then scored against gold."""
-    pred = B.labels(s, d).where("annotator = 'C03'").select(F.col("comment_id").alias("p_id"), F.to_json(F.struct("pairs")).alias("raw"))
-    parsed = pred.select("p_id", F.from_json("raw", f"pairs {B.table(s, d, 'labels').schema['pairs'].dataType.simpleString()}")["pairs"].alias("pb"))
-    j = gold(s, d).withColumnRenamed("pairs", "pa").join(parsed, F.col("comment_id") == F.col("p_id"), "left").withColumn("pb", F.coalesce("pb", F.slice("pa", 1, 0)))
-    return M.micro_f1(M.tallies(M.with_matches(j)))
+    """The mock's raw output parsed, validated (invalid pairs dropped) and scored against gold."""
+    from ..operators.validate import validate
+
+    fixed = validate(mocked(s, d).withColumn("pairs", MK.parse_output("raw")), drop_invalid=True)
+    parsed = fixed.select(F.col("id").alias("p_id"), F.col("pairs").alias("pb"), "valid", F.size("errors").alias("n_errors"))
+    j = gold(s, d).withColumnRenamed("pairs", "pa").join(parsed, F.col("comment_id") == F.col("p_id"), "left").withColumn("pb", F.coalesce("pb", F.array().cast(PAIRS)))
+    t = M.tallies(M.with_matches(j))
+    f1 = M.micro_f1(t)
+    return f1.crossJoin(t.agg(F.count_if(~F.coalesce("valid", F.lit(True))).alias("n_invalid"), F.round(F.avg(((F.size("pa") == 0) == (F.size("pb") == 0)).cast("int")), 6).alias("neutral_accuracy")))
 
 
 @STREAM.add("str03_labelling_loop")
@@ -322,11 +471,28 @@ def snk03(s, d):
     return log.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("int").alias("batch"), "length")
 
 
-@STREAM.add("misc01_stream_checkpoints")
+@q(
+    "misc01_ingest_states",
+    """SELECT 'comments' AS stream, max(created_utc) AS after, count(*) AS total, TRUE AS complete FROM comments WHERE id IS NOT NULL AND created_utc IS NOT NULL
+    UNION ALL SELECT 'posts', max(created_utc), count(*), TRUE FROM posts WHERE id IS NOT NULL AND created_utc IS NOT NULL""",
+)
 def misc01(s, d):
-    """What two streams keep apart in their own checkpoint folders."""
-    both = [snk03(s, d).withColumn("stream", F.lit(n)) for n in ("posts", "comments")]
-    return both[0].unionByName(both[1]).groupBy("stream").agg(F.count(F.lit(1)).alias("n_batches"))
+    """The stored states of two ingests, each in a file of its own."""
+    rows = []
+    for name in ("posts", "comments"):
+        df = table(s, d, name).select("id", "created_utc")
+        state = SS.read_state(s, _archive(s, df, name, "id", "created_utc", shows=())[2])
+        rows.append((name, state["after"], state["total"], state["complete"]))
+    return s.createDataFrame(rows, "stream string, after bigint, total bigint, complete boolean")
+
+
+@q("snk03_atomic_state", "SELECT 3 AS version, 1 AS n_files")
+def snk03_state(s, d):
+    """A state that is replaced three times: readers see the last version, and no other file is left."""
+    path = f"{Scratch(s, 'state').base}/state.json"
+    for version in (1, 2, 3):
+        SS.write_state(s, path, {"version": version})
+    return s.createDataFrame([(SS.read_state(s, path)["version"], len(SS.file_sizes(s, path.rsplit("/", 1)[0])))], "version int, n_files int")
 
 
 @STREAM.add("snk04_one_writer_per_task")

@@ -156,6 +156,21 @@ def valid_prefix(turns: DataFrame, speaker: str = "model", expected: str = "expe
     return j.where(F.col("b_turn").isNull() | (F.col("turn") < F.col("b_turn"))).drop("b_id", "b_turn")
 
 
+def without_stale(turns: DataFrame, debates: DataFrame) -> DataFrame:
+    """Turns that belong to their debate as it ended: below its own number of turns (``comment_id, n_turns``).
+
+    What a superseded, longer run left behind goes, and so do turns of unknown debates.
+    """
+    n = debates.select(F.col("comment_id").alias("n_id"), "n_turns")
+    return turns.join(n, (F.col("comment_id") == F.col("n_id")) & (F.col("turn") < F.col("n_turns"))).drop("n_id", "n_turns")
+
+
+def questions(turns: DataFrame) -> DataFrame:
+    """``comment_id, questions``: the questions of each debate in the order they were first asked."""
+    per = turns.groupBy("comment_id").agg(F.array_sort(F.collect_list(F.struct("turn", T.questions("content").alias("q")))).alias("t"))
+    return per.select("comment_id", T.in_first_order(F.flatten(F.transform("t", lambda x: x["q"]))).alias("questions")).where(F.size("questions") > 0)
+
+
 def contiguous(turns: DataFrame) -> DataFrame:
     """``comment_id, n, whole``: whether the turns are exactly 0 .. n-1."""
     return turns.groupBy("comment_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).select("comment_id", "n", ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("whole"))
