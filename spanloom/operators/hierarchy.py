@@ -36,25 +36,34 @@ def _double(state: DataFrame, scratch: Scratch, name: str, paths: bool) -> DataF
     state: ``id, tgt, d, done, root[, seg]``. A row that is not done continues with the walk of its
     target. Rows that remain undone are in or above rings; they come back with root ``cycle``.
     """
-    left = None
+    closed, open_rows, before = [state.where(F.col("done"))], state.where(~F.col("done")), None
     while True:
-        open_rows = state.where(~F.col("done"))
         n = open_rows.agg(F.count(F.lit(1)).alias("n"), sketch("tgt").alias("top")).first()
         if n["n"] == 0:
-            return state
-        if left == n["n"]:
+            break
+        if before == n["n"]:
             ring = {"done": F.lit(True), "root": F.lit(CYCLE), "d": F.lit(-1)}
-            fixed = open_rows.withColumns({k: v.cast(state.schema[k].dataType) for k, v in ring.items()})
-            return scratch.table(state.where(F.col("done")).unionByName(fixed), name)
-        left = n["n"]
-        nxt = state.select(*[F.col(c).alias(f"n_{c}") for c in state.columns])
+            closed.append(open_rows.withColumns({k: v.cast(state.schema[k].dataType) for k, v in ring.items()}))
+            break
+        before = n["n"]
+        # finished walks stay where they were written; a round writes those that went on only
+        known = _all([*closed, open_rows])
+        nxt = known.select(*[F.col(c).alias(f"n_{c}") for c in state.columns])
         go = skew_join(open_rows, nxt, "tgt", "n_id", pick_heavy(n["n"], n["top"], HEAVY_SHARE), "inner")
         out = [F.col("id"), F.col("n_tgt").alias("tgt"), F.when(F.col("n_d") < 0, -1).otherwise(F.col("d") + F.col("n_d")).cast("int").alias("d"), F.col("n_done").alias("done"), F.col("n_root").alias("root")]
         if paths:
             out.append(F.concat("seg", "n_seg").alias("seg"))
-        new = scratch.table(state.where(F.col("done")).unionByName(go.select(*out)), name)
-        scratch.drop(state)
-        state = new
+        new = scratch.table(go.select(*out), name)
+        closed.append(new.where(F.col("done")))
+        open_rows = new.where(~F.col("done"))
+    return _all(closed)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def solve_forest(nodes: DataFrame, scratch: Scratch, *, gap: int = GAP, paths: bool = False) -> DataFrame:

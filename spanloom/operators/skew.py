@@ -60,6 +60,20 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     )
 
 
+def split_join(left: DataFrame, right: DataFrame, on: str, hot: Sequence, *, salt_on: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join on column ``on`` where neither side is unique: rows of heavy keys are spread over ``salts`` tasks.
+
+    The left rows of a heavy key get a salt from ``salt_on``, its right rows are repeated for every
+    salt. Null keys match nothing.
+    """
+    if not hot:
+        return left.join(right, on)
+    is_hot = F.col(on).isin(list(hot))
+    one = left.withColumn("_salt", F.when(is_hot, salted(salts, *salt_on)).otherwise(0))
+    other = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return one.join(other, [on, "_salt"]).drop("_salt")
+
+
 def salted(n: int, *cols: str) -> Column:
     """A deterministic salt in [0, n) from the row's own content, the same in every task attempt."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n)).cast("int")
