@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.skew import heavy_keys, skew_join, split_join
 from ..plans.scratch import Scratch
 from .arrow_text import from_code_points, slices, to_code_points
 from .glyph_tables import tables
@@ -126,18 +127,23 @@ def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of different texts that look the same: ``<key>_a < <key>_b``.
 
-    Exact copies are no pair, but each copy is paired with each different look-alike. Classes with
-    one text only leave after a map-side combined aggregation; the join then runs over pairs of
-    different texts of a class, so no pair is formed that isn't in the result.
+    Exact copies are no pair, but each copy is paired with each different look-alike, so the result
+    grows with the product of their numbers; ``look_alike_classes`` has one row per document. Classes
+    with one text only leave after a map-side combined aggregation; the join then runs over pairs of
+    different texts of a class, so no pair is formed that isn't in the result. Classes and texts of
+    very many documents are split over tasks.
     """
     scratch = Scratch(df.sparkSession, "glyphs")
     rows = scratch.table(look_alike_classes(df, key, text), "digests")
     mixed = rows.groupBy("canon").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("canon")
-    rows = scratch.table(rows.join(mixed, "canon", "left_semi"), "mixed")
+    mixed = mixed.withColumnRenamed("canon", "m_canon")
+    rows = scratch.table(skew_join(rows, mixed, "canon", "m_canon", heavy_keys(rows, "canon"), "left_semi"), "mixed")
+    hot = heavy_keys(rows, "raw")
     texts = rows.select("canon", "raw").distinct()
     other = texts.select(F.col("canon").alias("c2"), F.col("raw").alias("raw_b"))
     pairs = texts.join(other, (F.col("canon") == F.col("c2")) & (F.col("raw") != F.col("raw_b"))).select(F.col("raw").alias("raw_a"), "raw_b")
     a, b = f"{key}_a", f"{key}_b"
     left = rows.select(F.col(key).alias(a), F.col("raw").alias("raw_a"))
     right = rows.select(F.col(key).alias(b), F.col("raw").alias("raw_b"))
-    return left.join(pairs, "raw_a").join(right, "raw_b").where(F.col(a) < F.col(b)).select(a, b)
+    half = split_join(left, pairs, "raw_a", hot, salt_on=[a])
+    return split_join(half, right, "raw_b", hot, salt_on=[a]).where(F.col(a) < F.col(b)).select(a, b)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import heavy_keys, salted
+from ..operators.skew import heavy_keys, split_join
 from ..plans.scratch import Scratch
 from .arrow_text import from_code_points, slices, to_code_points
 from .glyphs import fold
@@ -51,8 +51,6 @@ STRIDE = DOMAIN - QUERY + 1
 MISS = 1e-6
 #: Bits of each bit table: about 512 per entry, at most this power of two (16 MB).
 TABLE_BITS = 27
-#: Copies of an item window that many documents hold, for the last join.
-SALTS = 16
 
 _ENTITY = re.compile(r"&(?:[a-z][a-z0-9]{1,31}|#[0-9]{1,7}|#x[0-9a-f]{1,6});")
 _WORD = re.compile(r"[^\W_]+")
@@ -252,11 +250,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", it
     codes = BitTable.of(own.select("code").distinct(), "code", table_bits)
     near = scratch.table(candidates(docs, doc_key, text, signatures, codes), "near")
     own = own.select(F.col("k").alias(item_key), "d1", "d2").distinct()
-    # a window that many documents hold is spread over salts, and its items' rows repeated for each
-    hot = heavy_keys(near, "d1")
-    is_hot = F.col("d1").isin(hot) if hot else F.lit(False)
-    left = near.withColumnRenamed("k", doc_key).withColumn("salt", F.when(is_hot, salted(SALTS, doc_key)).otherwise(0))
-    right = own.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     sizes = own.groupBy(F.col(item_key).alias("s_key")).agg(F.count(F.lit(1)).alias("n_item"))
-    shared = left.join(right, ["d1", "d2", "salt"]).select(doc_key, item_key, "d1", "d2").distinct().groupBy(doc_key, item_key).agg(F.count(F.lit(1)).alias("n_shared"))
+    # a window that many documents hold is spread over tasks
+    both = split_join(near.withColumnRenamed("k", doc_key).withColumnRenamed("d2", "e2"), own, "d1", heavy_keys(near, "d1"), salt_on=[doc_key])
+    shared = both.where("d2 = e2").select(doc_key, item_key, "d1", "d2").distinct().groupBy(doc_key, item_key).agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.join(sizes, F.col(item_key) == F.col("s_key")).select(doc_key, item_key, "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("coverage"))

@@ -24,7 +24,6 @@ all rounds, and the last rounding adds one document.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import VOCABULARY, encoder
 from ..plans.scratch import Scratch
 from .arrow_text import slices
 
 #: A rank file of a public byte-level vocabulary; read where the query is built and sent to the tasks.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the pattern that splits text before the merges of that vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+TOKENIZER = VOCABULARY
 #: Residuals of a source that one group of the reduction tree pairs.
 FAN_IN = 50_000
 #: Characters of a text that are tokenized at once.
@@ -47,21 +45,13 @@ PIECE = 200_000
 EPS = 1e-9
 
 
-@lru_cache(maxsize=2)
-def _tokenizer_of(ranks: bytes):
-    import tiktoken
-
-    table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
-    return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-
-
 def _ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
 
 def _tokenizer(path: str):
-    return _tokenizer_of(_ranks(path))
+    return encoder(_ranks(path))
 
 
 @lru_cache(maxsize=1)
@@ -96,7 +86,7 @@ def with_tokens(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     ranks = df.sparkSession.sparkContext.broadcast(_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer_of(ranks.value)
+        tok = encoder(ranks.value)
         for batch in batches:
             for part in slices(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
