@@ -109,10 +109,10 @@ def _thread_stats(rows: DataFrame, heavy: list | None = None) -> DataFrame:
 
 @CORE.add("p2_found", f"{THREAD_ROWS_SQL}SELECT link AS link_id FROM c WHERE link IS NOT NULL GROUP BY 1 HAVING count(*) >= {DOMINANT_SHARE} * (SELECT count(*) FROM comments)")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Threads that hold at least 2 % of all capture rows: the sketch's candidates, counted exactly."""
+    """Threads that hold at least 2 % of all capture rows: all threads counted exactly, heavy ones in their own way."""
     rows = _thread_rows(spark, d)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    per = _thread_stats(rows, heavy_keys(rows, "link_id", DOMINANT_SHARE)).where("is_heavy")
+    per = _thread_stats(rows, heavy_keys(rows, "link_id", DOMINANT_SHARE))
     return per.crossJoin(F.broadcast(total)).where(F.col("n_rows") >= DOMINANT_SHARE * F.col("total")).select("link_id")
 
 

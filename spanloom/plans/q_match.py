@@ -214,21 +214,10 @@ q("top05_most_common_bias", f"{_DEC} SELECT a || ' vs ' || human AS pair, count(
 )
 
 # models against each other
-_PAIRS3 = "m3 AS (SELECT a.comment_id || '|' || a.annotator || '|' || b.annotator AS k, a.annotator AS ma, b.annotator AS mb, a.comment_id, a.pairs AS pa, b.pairs AS pb FROM lab a JOIN lab b ON a.comment_id = b.comment_id AND a.annotator < b.annotator WHERE a.annotator IN ('A', 'B', 'C01', 'C02') AND b.annotator IN ('A', 'B', 'C01', 'C02') AND len(a.pairs) + len(b.pairs) > 0)"
-
-
-@q("agg28_cross_model", f"WITH {_PAIRS3}, {match_ctes('m3', 'k', tag='m').strip()}, c3 AS (SELECT k, count(*) AS n FROM mtm GROUP BY 1) SELECT ma, mb, count(*) AS n, round(avg(2.0 * coalesce(c3.n, 0) / (len(pa) + len(pb))), 6) AS match_rate FROM m3 LEFT JOIN c3 USING (k) GROUP BY 1, 2", "lab")
-def agg28(s, d):
-    lab = B.labels(s, d).where(F.col("annotator").isin("A", "B", "C01", "C02"))
-    b = lab.select(F.col("comment_id").alias("b_id"), F.col("annotator").alias("mb"), F.col("pairs").alias("pb"))
-    j = lab.select("comment_id", F.col("annotator").alias("ma"), F.col("pairs").alias("pa")).join(b, (F.col("comment_id") == F.col("b_id")) & (F.col("ma") < F.col("mb"))).where(F.size("pa") + F.size("pb") > 0)
-    return M.with_matches(j).groupBy("ma", "mb").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(2.0 * F.size("m") / (F.size("pa") + F.size("pb"))), 6).alias("match_rate"))
-
-
 _ALL_PAIRS = "m4 AS (SELECT a.comment_id || '|' || a.annotator || '|' || b.annotator AS k, a.annotator AS ma, b.annotator AS mb, a.comment_id, a.pairs AS pa, b.pairs AS pb FROM lab a JOIN lab b ON a.comment_id = b.comment_id AND a.annotator < b.annotator WHERE len(a.pairs) + len(b.pairs) > 0)"
 
 
-@q("agg28_cross_model_all", f"""WITH {_ALL_PAIRS}, {match_ctes('m4', 'k', tag='n').strip()}, x4 AS (SELECT k, m4.pa[i] AS x, m4.pb[j] AS y FROM mtn JOIN m4 USING (k)),
+@q("agg28_cross_model", f"""WITH {_ALL_PAIRS}, {match_ctes('m4', 'k', tag='n').strip()}, x4 AS (SELECT k, m4.pa[i] AS x, m4.pb[j] AS y FROM mtn JOIN m4 USING (k)),
     c4 AS (SELECT k, count(*) AS n, count(*) FILTER (x.emotion IS NOT DISTINCT FROM y.emotion) AS e, count(*) FILTER (x.cause_category IS NOT DISTINCT FROM y.cause_category) AS c FROM x4 GROUP BY 1)
     SELECT ma, mb, count(*) AS n, round(avg(2.0 * coalesce(c4.n, 0) / (len(pa) + len(pb))), 6) AS match_rate, coalesce(sum(c4.n), 0)::BIGINT AS n_matched, round(sum(e)::DOUBLE / sum(c4.n), 6) AS emotion_agreement, round(sum(c)::DOUBLE / sum(c4.n), 6) AS cause_agreement
     FROM m4 LEFT JOIN c4 USING (k) GROUP BY 1, 2""", "lab")
@@ -243,50 +232,46 @@ def agg28_all(s, d):
     return rows.groupBy("ma", "mb").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rate"), 6).alias("match_rate"), F.sum("k").alias("n_matched"), share("e").alias("emotion_agreement"), share("c").alias("cause_agreement"))
 
 
-_SARC = "fl AS (SELECT comment_id, count(*) FILTER (list_bool_or(list_transform(pairs, lambda p: coalesce(p.sarcasm, FALSE)))) AS yes, count(*) FILTER (NOT coalesce(list_bool_or(list_transform(pairs, lambda p: coalesce(p.sarcasm, FALSE))), FALSE)) AS no FROM lab WHERE annotator IN ('A', 'B') GROUP BY 1)"
-q("agg17_fleiss_sarcasm", f"WITH {_SARC}, r AS (SELECT *, yes + no AS n FROM fl WHERE yes + no > 1), t AS (SELECT count(*) AS items, min(n) AS n, avg((yes * yes + no * no - n)::DOUBLE / (n * (n - 1))) AS pb, sum(yes) AS sy, sum(no) AS sn FROM r) SELECT items, round((pb - (sy * sy + sn * sn)::DOUBLE / (items * n * items * n)) / (1 - (sy * sy + sn * sn)::DOUBLE / (items * n * items * n)), 6) AS kappa FROM t", "lab")(
-    lambda s, d: M.fleiss(
-        B.labels(s, d).where(F.col("annotator").isin("A", "B")).withColumn("y", F.exists("pairs", lambda p: F.coalesce(p["sarcasm"], F.lit(False)))).groupBy("comment_id").agg(F.count_if("y").alias("yes"), F.count_if(~F.col("y")).alias("no")), ["yes", "no"]
-    )
-)
-
 _SARC_ALL = "fl AS (SELECT comment_id, count(*) FILTER (s) AS yes, count(*) FILTER (NOT s) AS no FROM (SELECT comment_id, coalesce(list_bool_or(list_transform(pairs, lambda p: coalesce(p.sarcasm, FALSE))), FALSE) AS s FROM lab) GROUP BY 1)"
-q("agg17_fleiss_sarcasm_all", f"WITH {_SARC_ALL}, r AS (SELECT *, yes + no AS n FROM fl WHERE yes + no > 1), t AS (SELECT count(*) AS items, avg((yes * yes + no * no - n)::DOUBLE / (n * (n - 1))) AS pb, sum(yes)::DOUBLE / sum(n) AS sy, sum(no)::DOUBLE / sum(n) AS sn FROM r) SELECT items, round(CASE WHEN sy * sy + sn * sn >= 1 THEN 1.0 ELSE (pb - sy * sy - sn * sn) / (1 - sy * sy - sn * sn) END, 6) AS kappa FROM t", "lab")(
+q("agg17_fleiss_sarcasm", f"WITH {_SARC_ALL}, r AS (SELECT *, yes + no AS n FROM fl WHERE yes + no > 1), t AS (SELECT count(*) AS items, avg((yes * yes + no * no - n)::DOUBLE / (n * (n - 1))) AS pb, sum(yes)::DOUBLE / sum(n) AS sy, sum(no)::DOUBLE / sum(n) AS sn FROM r) SELECT items, round(CASE WHEN sy * sy + sn * sn >= 1 THEN 1.0 ELSE (pb - sy * sy - sn * sn) / (1 - sy * sy - sn * sn) END, 6) AS kappa FROM t", "lab")(
     lambda s, d: M.fleiss(B.labels(s, d).withColumn("y", F.exists("pairs", lambda p: F.coalesce(p["sarcasm"], F.lit(False)))).groupBy("comment_id").agg(F.count_if("y").alias("yes"), F.count_if(~F.col("y")).alias("no")), ["yes", "no"])
 )
 
 # votes
-_VOTE = "vp AS (SELECT comment_id, annotator, row_number() OVER (PARTITION BY comment_id ORDER BY annotator) - 1 AS seat, pairs[1] AS p FROM lab WHERE len(pairs) > 0)"
+# votes over the pairs of all annotators that name the same span of a comment, letter case and outer blanks aside
+_VOTE = """vp AS (SELECT *, row_number() OVER (PARTITION BY comment_id, span ORDER BY annotator, i) - 1 AS seat FROM (
+    SELECT comment_id, annotator, i, pairs[i] AS p, lower(trim(coalesce(pairs[i].emotion_span, ''))) AS span FROM (SELECT *, unnest(range(1, len(pairs) + 1)) AS i FROM lab)))"""
+SPAN = ["comment_id", "span"]
 
 
 def _seats(s, d):
     from pyspark.sql import Window
 
-    lab = B.labels(s, d).where(F.size("pairs") > 0)
-    return lab.select("comment_id", (F.row_number().over(Window.partitionBy("comment_id").orderBy("annotator")) - 1).alias("seat"), F.get("pairs", F.lit(0)).alias("pair"))
-
-
+    pairs = B.labels(s, d).select("comment_id", "annotator", F.posexplode("pairs").alias("i", "pair"))
+    pairs = pairs.withColumn("span", F.lower(F.trim(F.coalesce("pair.emotion_span", F.lit("")))))
+    return pairs.select(*SPAN, (F.row_number().over(Window.partitionBy(*SPAN).orderBy("annotator", "i")) - 1).alias("seat"), "pair")
 
 
-@q("agg10_majority_vote", f"""WITH {_VOTE}, long AS ({" UNION ALL ".join(f"SELECT comment_id, seat, '{f}' AS f, p.{f}::VARCHAR AS v FROM vp" for f in V.VOTED)}),
-    per AS (SELECT comment_id, f, v, count(*) AS c, min(seat) AS fs FROM long GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY comment_id, f ORDER BY c DESC, fs) AS r FROM per),
-    h AS (SELECT comment_id, count(*) AS support, count(*) FILTER (p.cause_span IS NULL) AS null_causes, round(avg(p.intensity), 6) AS intensity FROM vp GROUP BY 1)
-    SELECT h.*, {", ".join(f"max(v) FILTER (f = '{f}') AS {f}, bool_or(c * 2 <= support) FILTER (f = '{f}') AS {f}_tie" for f in V.VOTED)} FROM h JOIN best USING (comment_id) WHERE r = 1 GROUP BY ALL""", "lab")
+@q("agg10_majority_vote", f"""WITH {_VOTE}, long AS ({" UNION ALL ".join(f"SELECT comment_id, span, seat, '{f}' AS f, p.{f}::VARCHAR AS v FROM vp" for f in V.VOTED)}),
+    per AS (SELECT comment_id, span, f, v, count(*) AS c, min(seat) AS fs FROM long GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY comment_id, span, f ORDER BY c DESC, fs) AS r FROM per),
+    h AS (SELECT comment_id, span, count(*) AS support, count(*) FILTER (p.cause_span IS NULL) AS null_causes, round(avg(p.intensity), 6) AS intensity FROM vp GROUP BY 1, 2)
+    SELECT h.*, {", ".join(f"max(v) FILTER (f = '{f}') AS {f}, bool_or(c * 2 <= support) FILTER (f = '{f}') AS {f}_tie" for f in V.VOTED)} FROM h JOIN best USING (comment_id, span) WHERE r = 1 GROUP BY ALL""", "lab")
 def agg10(s, d):
-    return V.vote_fields(_seats(s, d), ["comment_id"])
+    return V.vote_fields(_seats(s, d), SPAN)
 
 
-q("agg11_null_cause_majority", f"WITH {_VOTE} SELECT comment_id, count(*) FILTER (p.cause_span IS NULL) * 2 > count(*) AS unclear FROM vp GROUP BY 1", "lab")(lambda s, d: _seats(s, d).groupBy("comment_id").agg((F.count_if(F.col("pair.cause_span").isNull()) * 2 > F.count(F.lit(1))).alias("unclear")))
-q("agg13_mean_intensity", f"WITH {_VOTE} SELECT comment_id, round(avg(p.intensity), 6) AS intensity FROM vp GROUP BY 1", "lab")(lambda s, d: _seats(s, d).groupBy("comment_id").agg(F.round(F.avg("pair.intensity"), 6).alias("intensity")))
+q("agg11_null_cause_majority", f"WITH {_VOTE} SELECT comment_id, span, count(*) FILTER (p.cause_span IS NULL) * 2 > count(*) AS unclear FROM vp GROUP BY 1, 2", "lab")(lambda s, d: V.null_cause_majority(_seats(s, d), SPAN))
+q("agg13_mean_intensity", f"WITH {_VOTE} SELECT comment_id, span, round(avg(p.intensity), 6) AS intensity FROM vp GROUP BY 1, 2", "lab")(lambda s, d: _seats(s, d).groupBy(*SPAN).agg(F.round(F.avg("pair.intensity"), 6).alias("intensity")))
 
 
-@q("agg12_medoid", f"""WITH {_VOTE}, sp AS (SELECT comment_id, seat, p.emotion_span AS span, {tokens_sql('p.emotion_span')} AS t FROM vp WHERE coalesce(p.emotion_span, '') <> ''),
-    sm AS (SELECT a.comment_id, a.seat, a.span, sum(CASE WHEN a.seat = b.seat THEN 0.0 ELSE {iou_sql('a.t', 'b.t')} END) AS tot FROM sp a JOIN sp b USING (comment_id) GROUP BY ALL),
-    mx AS (SELECT comment_id, max(tot) AS mx FROM sm GROUP BY 1)
+@q("agg12_medoid", f"""WITH ps AS (SELECT comment_id, row_number() OVER (PARTITION BY comment_id ORDER BY annotator, i) AS seat, pairs[i].emotion_span AS span FROM (SELECT *, unnest(range(1, len(pairs) + 1)) AS i FROM lab)),
+    sp AS (SELECT comment_id, seat, span, {tokens_sql('span')} AS t FROM ps WHERE coalesce(span, '') <> ''),
+    sm AS (SELECT a.comment_id, a.seat, a.span, sum(CASE WHEN a.seat = b.seat THEN 0.0 ELSE {iou_sql('a.t', 'b.t')} END) AS tot FROM sp a JOIN sp b USING (comment_id) GROUP BY ALL)
     SELECT comment_id, round(max(tot), 6) AS best FROM sm GROUP BY 1""", "lab")
 def agg12(s, d):
-    """The summed overlap of each comment's medoid."""
-    per = _seats(s, d).groupBy("comment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seat", F.col("pair.emotion_span").alias("span")))), lambda x: x["span"]).alias("spans"))
+    """The summed overlap of the medoid of all emotion spans of each comment."""
+    pairs = B.labels(s, d).select("comment_id", "annotator", F.posexplode("pairs").alias("i", "pair"))
+    per = pairs.groupBy("comment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("annotator", "i", F.col("pair.emotion_span").alias("span")))), lambda x: x["span"]).alias("spans"))
     real = per.select("comment_id", F.filter("spans", lambda x: F.coalesce(x, F.lit("")) != "").alias("spans")).where(F.size("spans") > 0)
     best = real.withColumn("medoid", V.medoid(F.col("spans")))
     at = best.withColumn("pos", F.array_position("spans", F.col("medoid")))
@@ -305,7 +290,7 @@ _CL2 = f"{AB}, cl AS (SELECT k AS comment_id, i, j, 2 AS support FROM mt UNION A
 q("set09_clusters_two_models", f"{_CL2} SELECT comment_id, support, count(*) AS n FROM cl GROUP BY ALL", "ab")(
     lambda s, d: _two_model_clusters(s, d).join(B.coded(s, d).select("comment_id"), "comment_id", "left_semi").groupBy("comment_id", "cluster").agg(F.count(F.lit(1)).cast("int").alias("support")).groupBy("comment_id", "support").agg(F.count(F.lit(1)).alias("n"))
 )
-q("agg15_support_histogram", f"{_CL2} SELECT support, count(*) AS n FROM cl GROUP BY 1", "ab")(
+q("agg15_support_histogram_two_models", f"{_CL2} SELECT support, count(*) AS n FROM cl GROUP BY 1", "ab")(
     lambda s, d: _two_model_clusters(s, d).join(B.coded(s, d).select("comment_id"), "comment_id", "left_semi").groupBy("comment_id", "cluster").agg(F.count(F.lit(1)).cast("int").alias("support")).groupBy("support").agg(F.count(F.lit(1)).alias("n"))
 )
 
@@ -329,7 +314,7 @@ MATCH.add("agg10_cluster_vote")(lambda s, d: V.vote_fields(_members(s, d), CLUST
 MATCH.add("agg11_cluster_null_cause")(lambda s, d: V.null_cause_majority(_members(s, d), CLUSTER))
 MATCH.add("agg12_cluster_medoid")(lambda s, d: V.medoids(_members(s, d), CLUSTER))
 MATCH.add("agg13_cluster_intensity")(lambda s, d: _members(s, d).groupBy(*CLUSTER).agg(F.round(F.avg("pair.intensity"), 6).alias("intensity")))
-MATCH.add("agg15_support_histogram_all")(lambda s, d: _members(s, d).groupBy(*CLUSTER).agg(F.count(F.lit(1)).cast("int").alias("support")).groupBy("support").agg(F.count(F.lit(1)).alias("n")))
+MATCH.add("agg15_support_histogram")(lambda s, d: _members(s, d).groupBy(*CLUSTER).agg(F.count(F.lit(1)).cast("int").alias("support")).groupBy("support").agg(F.count(F.lit(1)).alias("n")))
 MATCH.add("misc10_cluster_judge_splits")(lambda s, d: V.judge_splits(_members(s, d), CLUSTER))
 
 
@@ -343,11 +328,6 @@ def misc11(s, d):
     return v.select("comment_id", "cluster", "support", "emotion", F.when(unclear, "unclear").otherwise(F.col("cause_category")).alias("cause_category"), "target_asset", "sarcasm", "intensity", "emotion_span", F.when(~unclear, F.col("cause_span")).alias("cause_span"), (F.col("support") > 1).alias("included"), F.array_join(disputes, ",").alias("disputes"))
 
 
-q("set04_export_disagreements", f"{_CL2} SELECT DISTINCT comment_id FROM cl WHERE support = 1", "ab")(
-    lambda s, d: _two_model_clusters(s, d).join(B.coded(s, d).select("comment_id"), "comment_id", "left_semi").groupBy("comment_id", "cluster").agg(F.count(F.lit(1)).alias("support")).where("support = 1").select("comment_id").distinct()
-)
-
-
 def _disputed(s, d, members):
     """Comments with a pair that one annotator alone has, or a cluster without a majority for a judged field."""
     v = V.vote_fields(members, CLUSTER)
@@ -360,8 +340,11 @@ _TIED = "SELECT comment_id FROM mx WHERE x.emotion IS DISTINCT FROM y.emotion OR
 q("set04_export_disputed_two_models", f"{_CL2.replace(AB, ABX, 1)} SELECT comment_id FROM cl WHERE support = 1 UNION {_TIED}", "ab")(
     lambda s, d: _disputed(s, d, _two_model_clusters(s, d).join(B.coded(s, d).select("comment_id"), "comment_id", "left_semi"))
 )
-q("misc10_judge_splits", f"WITH {_VOTE}, per AS (SELECT comment_id, p.emotion AS v, count(*) AS c FROM vp GROUP BY 1, 2), t AS (SELECT comment_id, sum(c) AS n, max(c) AS top, array_to_string(list_sort(list(v) FILTER (v IS NOT NULL)), ',') AS cands FROM per GROUP BY 1) SELECT comment_id, cands FROM t WHERE top * 2 > n AND top < n", "lab")(
-    lambda s, d: _seats(s, d).groupBy("comment_id", F.col("pair.emotion").alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy("comment_id").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.array_join(F.array_sort(F.collect_list("v")), ",").alias("cands")).where("top * 2 > n and top < n").select("comment_id", "cands")
+_JUDGED = " UNION ALL ".join(f"SELECT comment_id, span, '{f}' AS field, p.{f} AS v, p.cause_span IS NULL AS none FROM vp" for f in V.JUDGED)
+q("misc10_judge_splits", f"""WITH {_VOTE}, per AS (SELECT comment_id, span, field, v, count(*) AS c, count(*) FILTER (none) AS none FROM ({_JUDGED}) GROUP BY 1, 2, 3, 4),
+    t AS (SELECT comment_id, span, field, sum(c) AS n, max(c) AS top, sum(none) AS none, array_to_string(list_sort(coalesce(list(v) FILTER (v <> ''), [])), ',') AS cands FROM per GROUP BY 1, 2, 3),
+    w AS (SELECT *, CASE WHEN field = 'cause_category' AND none * 2 > n THEN none ELSE top END AS won FROM t) SELECT comment_id, span, field, cands FROM w WHERE won * 2 > n AND won < n""", "lab")(
+    lambda s, d: V.judge_splits(_seats(s, d), SPAN)
 )
 q("agg58_candidate_pool", "SELECT comment_id, p.emotion AS candidate, count(DISTINCT annotator) AS backing, array_to_string(list_sort(list(DISTINCT annotator)), ',') AS backers FROM (SELECT comment_id, annotator, unnest(pairs) AS p FROM lab) GROUP BY 1, 2", "lab")(
     lambda s, d: B.labels(s, d).select("comment_id", "annotator", F.explode("pairs").alias("p")).groupBy("comment_id", F.col("p.emotion").alias("candidate")).agg(F.countDistinct("annotator").alias("backing"), F.array_join(F.array_sort(F.collect_set("annotator")), ",").alias("backers"))

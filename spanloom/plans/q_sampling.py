@@ -252,62 +252,68 @@ q("str07_repair_merge", f"{_REP} SELECT f.comment_id, CASE WHEN r.comment_id IS
 # offsets
 def _encoded(s, d):
     it = B.items(s, d).select("id", "body", "parent_body", F.trim(F.concat(F.coalesce("post_title", F.lit("")), F.lit(" "), F.coalesce("post_selftext", F.lit("")))).alias("post"))
-    spans = B.labels(s, d).where("annotator = 'A'").select("comment_id", F.posexplode("pairs").alias("i", "p")).select("comment_id", "i", F.explode(F.array("p.emotion_span", "p.cause_span")).alias("span")).where("span is not null")
+    spans = B.labels(s, d).select("comment_id", "annotator", F.posexplode("pairs").alias("i", "p")).select("comment_id", "annotator", "i", F.explode(F.array("p.emotion_span", "p.cause_span")).alias("span")).where("span is not null")
     return spans.join(it, F.col("comment_id") == F.col("id")).withColumn("offset", C.encode_udf("span", "body", "parent_body", "post"))
 
 
 SAMPLING.add("cod1_indexed")(lambda s, d: B.comments(s, d).select("id", C.indexed_udf("body").alias("x")).select("id", "x.norm", F.size("x.idx").alias("n")))
-SAMPLING.add("cod2_encode")(lambda s, d: _encoded(s, d).select("comment_id", "i", "span", "offset.*"))
-SAMPLING.add("cod3_decode")(lambda s, d: _encoded(s, d).where("offset.src is not null").select("comment_id", "i", "span", C.decode_udf("offset", "body", "parent_body", "post").alias("raw")))
-SAMPLING.add("cod4_records")(lambda s, d: _encoded(s, d).groupBy("comment_id").agg(F.sort_array(F.collect_list(F.struct("i", "offset"))).alias("offsets")))
+SAMPLING.add("cod2_encode")(lambda s, d: _encoded(s, d).select("comment_id", "annotator", "i", "span", "offset.*"))
+SAMPLING.add("cod3_decode")(lambda s, d: _encoded(s, d).where("offset.src is not null").select("comment_id", "annotator", "i", "span", C.decode_udf("offset", "body", "parent_body", "post").alias("raw")))
+SAMPLING.add("cod4_records")(lambda s, d: _encoded(s, d).groupBy("comment_id", "annotator").agg(F.sort_array(F.collect_list(F.struct("i", "offset"))).alias("offsets")))
 q("fn01_full_normalize", f"SELECT id, replace({norm_sql('body')}, 'ß', 'ss') AS norm FROM c", "c")(lambda s, d: B.comments(s, d).select("id", C.normalize_udf("body").alias("norm")))
 q("fn12_first_object", "SELECT event_id, props AS js FROM events")(lambda s, d: B.table(s, d, "events").select("event_id", C.first_object_udf(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n``` done"))).alias("js")))
 
 # tags and examples
-_SPN = f"sp AS (SELECT comment_id, i AS k, s1 AS s, e1 AS e, emotion AS label FROM (SELECT x.*, pairs[x.i].emotion AS emotion FROM ({_LOC_SQL}) x JOIN lab ON lab.comment_id = x.comment_id AND lab.annotator = x.annotator) WHERE annotator = 'A' AND s1 IS NOT NULL)"
+_SPN = f"sp AS (SELECT comment_id, annotator, i AS k, s1 AS s, e1 AS e, emotion AS label FROM (SELECT x.*, pairs[x.i].emotion AS emotion FROM ({_LOC_SQL}) x JOIN lab ON lab.comment_id = x.comment_id AND lab.annotator = x.annotator) WHERE s1 IS NOT NULL)"
 _TOK = "tw AS (SELECT id AS comment_id, string_split(body, ' ') AS w FROM c WHERE id IN (SELECT comment_id FROM sp)), tk AS (SELECT comment_id, i - 1 AS i, list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) - 1 - length(w[i]) AS a, list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) - 1 AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tw))"
+LABEL = ["comment_id", "annotator"]
 
 
-def _spans_a(s, d):
-    lab = B.labels(s, d).where("annotator = 'A'").select("comment_id", F.posexplode("pairs").alias("p0", "p")).select("comment_id", (F.col("p0") + 1).alias("i"), F.col("p.emotion").alias("label"), F.col("p.intensity").alias("value"))
-    at = _located(s, d).where("annotator = 'A' and s1 is not null").select("comment_id", "i", F.col("s1").alias("s"), F.col("e1").alias("e"))
-    return at.join(lab, ["comment_id", "i"]).withColumnRenamed("i", "k")
+def _spans(s, d):
+    lab = B.labels(s, d).select(*LABEL, F.posexplode("pairs").alias("p0", "p")).select(*LABEL, (F.col("p0") + 1).alias("i"), F.col("p.emotion").alias("label"), F.col("p.intensity").alias("value"))
+    at = _located(s, d).where("s1 is not null").select(*LABEL, "i", F.col("s1").alias("s"), F.col("e1").alias("e"))
+    return at.join(lab, [*LABEL, "i"]).withColumnRenamed("i", "k")
 
 
-def _tokens_a(s, d):
-    texts = B.comments(s, d).join(_spans_a(s, d).select(F.col("comment_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("comment_id"), "body")
-    return G.word_tokens(texts, "body", "comment_id")
+def _tokens(s, d):
+    who = _spans(s, d).select(F.col("comment_id").alias("id"), "annotator").distinct()
+    texts = B.comments(s, d).select("id", "body").join(who, "id").select(F.col("id").alias("comment_id"), "annotator", "body")
+    return G.word_tokens(texts, "body", *LABEL)
 
 
-q("udf07_bio_tags", f"WITH {_SPN}, {_TOK}, hit AS (SELECT t.comment_id, t.i, k, label, min(t.i) OVER (PARTITION BY t.comment_id, k) AS f FROM tk t JOIN sp USING (comment_id) WHERE a < e AND b > s AND a < b), lt AS (SELECT comment_id, i, max_by(CASE WHEN i = f THEN 'B-' ELSE 'I-' END || label, k) AS tag FROM hit GROUP BY 1, 2) SELECT comment_id, i::INT AS i, coalesce(tag, 'O') AS tag FROM tk LEFT JOIN lt USING (comment_id, i) WHERE a < b", "lab", "c")(
-    lambda s, d: G.bio_tags(_tokens_a(s, d), _spans_a(s, d), "comment_id").select("comment_id", "i", "tag")
+q("udf07_bio_tags", f"""WITH {_SPN}, {_TOK}, who AS (SELECT DISTINCT comment_id, annotator FROM sp),
+    hit AS (SELECT t.comment_id, annotator, t.i, k, label, min(t.i) OVER (PARTITION BY t.comment_id, annotator, k) AS f FROM tk t JOIN sp USING (comment_id) WHERE a < e AND b > s AND a < b),
+    lt AS (SELECT comment_id, annotator, i, max_by(CASE WHEN i = f THEN 'B-' ELSE 'I-' END || label, k) AS tag FROM hit GROUP BY 1, 2, 3)
+    SELECT comment_id, annotator, i::INT AS i, coalesce(tag, 'O') AS tag FROM tk JOIN who USING (comment_id) LEFT JOIN lt USING (comment_id, annotator, i) WHERE a < b""", "lab", "c")(
+    lambda s, d: G.bio_tags(_tokens(s, d), _spans(s, d), *LABEL).select(*LABEL, "i", "tag")
 )
 _RUN = f"WITH tk AS (SELECT event_id AS i, user_id % 20 AS grp, event_type AS category, value AS p FROM events), b AS (SELECT *, (category IS DISTINCT FROM lag(category) OVER (PARTITION BY grp ORDER BY i))::INT AS brk FROM tk), r AS (SELECT *, sum(brk) OVER (PARTITION BY grp ORDER BY i) AS run FROM b)"
 q("win07_runs", f"{_RUN} SELECT grp, run::BIGINT AS run, min(category) AS category, min(i) AS s, max(i) + 1 AS e, count(*) AS n, round(avg(p), 6) AS mean_p FROM r GROUP BY 1, 2 HAVING count(*) >= 2")(
     lambda s, d: G.tag_runs(B.table(s, d, "events").select((F.col("user_id") % 20).alias("grp"), F.col("event_id").alias("i"), F.col("event_id").alias("a"), (F.col("event_id") + 1).alias("b"), F.col("event_type").alias("category"), F.col("value").alias("p")), "grp").where("n >= 2").withColumn("mean_p", F.round("mean_p", 6))
 )
-_NEAR = f"lc AS (SELECT * FROM ({_LOC_SQL}) WHERE annotator = 'A'), em AS (SELECT comment_id, i, s1 AS s, e1 AS e FROM lc WHERE s1 IS NOT NULL), ca AS (SELECT comment_id, i AS j, s2 AS s, e2 AS e FROM lc WHERE s2 IS NOT NULL), ne AS (SELECT em.comment_id, em.i, ca.j, greatest(0, ca.s - em.e, em.s - ca.e) AS g, row_number() OVER (PARTITION BY em.comment_id, em.i ORDER BY greatest(0, ca.s - em.e, em.s - ca.e), ca.j) AS rn FROM em JOIN ca USING (comment_id))"
+_NEAR = f"""lc AS ({_LOC_SQL}), em AS (SELECT comment_id, annotator, i, s1 AS s, e1 AS e FROM lc WHERE s1 IS NOT NULL), ca AS (SELECT comment_id, annotator, i AS j, s2 AS s, e2 AS e FROM lc WHERE s2 IS NOT NULL),
+    ne AS (SELECT em.comment_id, em.annotator, em.i, ca.j, row_number() OVER (PARTITION BY em.comment_id, em.annotator, em.i ORDER BY greatest(0, ca.s - em.e, em.s - ca.e), ca.j) AS rn FROM em JOIN ca USING (comment_id, annotator)),
+    n1 AS (SELECT em.comment_id, em.annotator, em.i, ne.j FROM em LEFT JOIN ne ON ne.comment_id = em.comment_id AND ne.annotator = em.annotator AND ne.i = em.i AND rn = 1)"""
 
 
 def _nearest(s, d):
-    lc = _located(s, d).where("annotator = 'A'")
-    cause = lc.where("s2 is not null").groupBy("comment_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("s2").alias("s"), F.col("e2").alias("e")))).alias("causes"))
-    return lc.where("s1 is not null").join(cause, "comment_id", "left").withColumn("near", G.nearest(F.col("causes"), F.col("s1"), F.col("e1")))
+    lc = _located(s, d)
+    cause = lc.where("s2 is not null").groupBy(*LABEL).agg(F.array_sort(F.collect_list(F.struct("i", F.col("s2").alias("s"), F.col("e2").alias("e")))).alias("causes"))
+    return lc.where("s1 is not null").join(cause, LABEL, "left").withColumn("near", G.nearest(F.col("causes"), F.col("s1"), F.col("e1")))
 
 
-q("joi16_nearest_cause", f"WITH {_NEAR} SELECT comment_id, i, j FROM ne WHERE rn = 1", "lab", "c")(lambda s, d: _nearest(s, d).where("near is not null").select("comment_id", "i", F.col("near.i").alias("j")))
-q("udf08_decoded_pairs", f"WITH {_NEAR} SELECT em.comment_id, em.i, coalesce(j, -1) AS cause FROM em LEFT JOIN ne ON ne.comment_id = em.comment_id AND ne.i = em.i AND rn = 1", "lab", "c")(lambda s, d: _nearest(s, d).select("comment_id", "i", F.coalesce("near.i", F.lit(-1)).alias("cause")))
-q("udf10_reference_pairs", f"WITH {_NEAR} SELECT em.comment_id, em.i, CASE WHEN j IS NULL THEN 'other' ELSE l.pairs[j].cause_category END AS cause FROM em LEFT JOIN ne ON ne.comment_id = em.comment_id AND ne.i = em.i AND rn = 1 JOIN lab l ON l.comment_id = em.comment_id AND l.annotator = 'A'", "lab", "c")(
-    lambda s, d: _nearest(s, d).join(B.labels(s, d).where("annotator = 'A'").select(F.col("comment_id").alias("l_id"), "pairs"), F.col("comment_id") == F.col("l_id")).select("comment_id", "i", F.when(F.col("near").isNull(), "other").otherwise(F.get("pairs", F.col("near.i") - 1)["cause_category"]).alias("cause"))
+q("joi16_nearest_cause", f"WITH {_NEAR} SELECT comment_id, annotator, i, j FROM n1 WHERE j IS NOT NULL", "lab", "c")(lambda s, d: _nearest(s, d).where("near is not null").select(*LABEL, "i", F.col("near.i").alias("j")))
+q("udf08_decoded_pairs", f"WITH {_NEAR} SELECT comment_id, annotator, i, coalesce(j, -1) AS cause FROM n1", "lab", "c")(lambda s, d: _nearest(s, d).select(*LABEL, "i", F.coalesce("near.i", F.lit(-1)).alias("cause")))
+q("udf10_reference_pairs", f"WITH {_NEAR} SELECT n1.comment_id, n1.annotator, n1.i, CASE WHEN j IS NULL THEN 'other' ELSE l.pairs[j].cause_category END AS cause FROM n1 JOIN lab l ON l.comment_id = n1.comment_id AND l.annotator = n1.annotator", "lab", "c")(
+    lambda s, d: _nearest(s, d).join(B.labels(s, d).select(*LABEL, "pairs"), LABEL).select(*LABEL, "i", F.when(F.col("near").isNull(), "other").otherwise(F.get("pairs", F.col("near.i") - 1)["cause_category"]).alias("cause"))
 )
-q("udf11_chat_examples", f"SELECT l.comment_id, len(pairs)::INT AS n_pairs, length({RENDER_SQL}) AS n_user FROM lab l JOIN item ON item.id = l.comment_id WHERE annotator = 'A'", "lab", "item")(
+q("udf11_chat_examples", f"SELECT l.comment_id, annotator, len(pairs)::INT AS n_pairs, length({RENDER_SQL}) AS n_user FROM lab l JOIN item ON item.id = l.comment_id", "lab", "item")(
     lambda s, d: B.labels(s, d)
-    .where("annotator = 'A'")
     .join(B.items(s, d), F.col("comment_id") == F.col("id"))
-    .select("comment_id", F.size("pairs").alias("n_pairs"), F.array(F.struct(F.lit("system").alias("role"), F.lit("label the comment").alias("content")), F.struct(F.lit("user").alias("role"), _render().alias("content")), F.struct(F.lit("assistant").alias("role"), F.to_json(F.struct(R.clean_pairs("pairs").alias("pairs"))).alias("content"))).alias("messages"))
-    .select("comment_id", "n_pairs", F.length(F.get("messages", F.lit(1))["content"]).alias("n_user"))
+    .select("comment_id", "annotator", F.size("pairs").alias("n_pairs"), F.array(F.struct(F.lit("system").alias("role"), F.lit("label the comment").alias("content")), F.struct(F.lit("user").alias("role"), _render().alias("content")), F.struct(F.lit("assistant").alias("role"), F.to_json(F.struct(R.clean_pairs("pairs").alias("pairs"))).alias("content"))).alias("messages"))
+    .select("comment_id", "annotator", "n_pairs", F.length(F.get("messages", F.lit(1))["content"]).alias("n_user"))
 )
-q("udf12_tagger_examples", f"SELECT comment_id, count(s1) AS n_emo, count(s2) AS n_cause, count(*) FILTER (s2 IS NULL) AS cause_missing FROM ({_LOC_SQL}) WHERE annotator = 'A' GROUP BY 1", "lab", "c")(lambda s, d: _located(s, d).where("annotator = 'A'").groupBy("comment_id").agg(F.count("s1").alias("n_emo"), F.count("s2").alias("n_cause"), F.count_if(F.col("s2").isNull()).alias("cause_missing")))
-q("misc12_judge_prompt", f"SELECT l.comment_id, md5({RENDER_SQL} || chr(10) || chr(10) || 'SPAN: ' || pairs[1].emotion_span) AS digest FROM lab l JOIN item ON item.id = l.comment_id WHERE annotator = 'A' AND len(pairs) > 0", "lab", "item")(
-    lambda s, d: B.labels(s, d).where("annotator = 'A' and size(pairs) > 0").join(B.items(s, d), F.col("comment_id") == F.col("id")).select("comment_id", F.md5(F.concat(_render(), F.lit("\n\nSPAN: "), F.get("pairs", F.lit(0))["emotion_span"])).alias("digest"))
+q("udf12_tagger_examples", f"SELECT comment_id, annotator, count(s1) AS n_emo, count(s2) AS n_cause, count(*) FILTER (s2 IS NULL) AS cause_missing FROM ({_LOC_SQL}) GROUP BY 1, 2", "lab", "c")(lambda s, d: _located(s, d).groupBy(*LABEL).agg(F.count("s1").alias("n_emo"), F.count("s2").alias("n_cause"), F.count_if(F.col("s2").isNull()).alias("cause_missing")))
+q("misc12_judge_prompt", f"SELECT l.comment_id, annotator, md5({RENDER_SQL} || chr(10) || chr(10) || 'SPAN: ' || pairs[1].emotion_span) AS digest FROM lab l JOIN item ON item.id = l.comment_id WHERE len(pairs) > 0", "lab", "item")(
+    lambda s, d: B.labels(s, d).where("size(pairs) > 0").join(B.items(s, d), F.col("comment_id") == F.col("id")).select("comment_id", "annotator", F.md5(F.concat(_render(), F.lit("\n\nSPAN: "), F.get("pairs", F.lit(0))["emotion_span"])).alias("digest"))
 )

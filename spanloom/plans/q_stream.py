@@ -73,8 +73,7 @@ def _scanned(s, d, lab):
     return J.latest(rows.where("not _bad"), ["model", "comment_id"], ["rev", "file", "at"]).select("model", "comment_id", F.size("pairs").alias("n"))
 
 
-q("src08_label_scan", "SELECT annotator AS model, comment_id, len(pairs)::INT AS n FROM lab WHERE annotator IN ('A', 'B')", "lab")(lambda s, d: _scanned(s, d, B.labels(s, d).where("annotator in ('A', 'B')")))
-q("src08_label_scan_all", "SELECT annotator AS model, comment_id, len(pairs)::INT AS n FROM lab", "lab")(lambda s, d: _scanned(s, d, B.labels(s, d)))
+q("src08_label_scan", "SELECT annotator AS model, comment_id, len(pairs)::INT AS n FROM lab", "lab")(lambda s, d: _scanned(s, d, B.labels(s, d)))
 
 
 q("src09_sample_scan", "SELECT id, body FROM c", "c")(lambda s, d: J.latest(B.comments(s, d).select("id", "body", "pos"), ["id"], ["pos"]).select("id", "body"))

@@ -124,9 +124,9 @@ q("agg55_alignment_coverage", f"SELECT annotator, round(avg((s1 IS NOT NULL)::IN
 )
 q("fn27_sources_of", f"SELECT id, md5({_POST_SQL}) AS post_digest FROM item", "item")(lambda s, d: B.items(s, d).select("id", F.md5(T.post_text("post_title", "post_selftext")).alias("post_digest")))
 q("cod5_post_source", "SELECT id, md5(trim(coalesce(post_title, '') || ' ' || coalesce(post_selftext, ''))) AS digest FROM item", "item")(lambda s, d: B.items(s, d).select("id", F.md5(F.trim(F.concat(F.coalesce("post_title", F.lit("")), F.lit(" "), F.coalesce("post_selftext", F.lit(""))))).alias("digest")))
-q("udf05_first_candidate", "SELECT comment_id, list_min(list_transform(pairs, lambda p: p.emotion)) AS pick FROM lab WHERE len(pairs) > 0 AND annotator = 'A'", "lab")(lambda s, d: B.labels(s, d).where((F.size("pairs") > 0) & (F.col("annotator") == "A")).select("comment_id", F.array_min(F.col("pairs.emotion")).alias("pick")))
-q("udf04_judge_fields", "SELECT comment_id, to_json({'emotion': list_min(list_transform(pairs, lambda p: p.emotion)), 'cause_category': list_min(list_transform(pairs, lambda p: p.cause_category))})::VARCHAR AS verdict FROM lab WHERE len(pairs) > 1 AND annotator = 'A'", "lab")(
-    lambda s, d: B.labels(s, d).where((F.size("pairs") > 1) & (F.col("annotator") == "A")).select("comment_id", F.to_json(F.struct(F.array_min(F.col("pairs.emotion")).alias("emotion"), F.array_min(F.col("pairs.cause_category")).alias("cause_category"))).alias("verdict"))
+q("udf05_first_candidate", "SELECT comment_id, annotator, list_min(list_transform(pairs, lambda p: p.emotion)) AS pick FROM lab WHERE len(pairs) > 0", "lab")(lambda s, d: B.labels(s, d).where(F.size("pairs") > 0).select("comment_id", "annotator", F.array_min(F.col("pairs.emotion")).alias("pick")))
+q("udf04_judge_fields", "SELECT comment_id, annotator, to_json({'emotion': list_min(list_transform(pairs, lambda p: p.emotion)), 'cause_category': list_min(list_transform(pairs, lambda p: p.cause_category))})::VARCHAR AS verdict FROM lab WHERE len(pairs) > 1", "lab")(
+    lambda s, d: B.labels(s, d).where(F.size("pairs") > 1).select("comment_id", "annotator", F.to_json(F.struct(F.array_min(F.col("pairs.emotion")).alias("emotion"), F.array_min(F.col("pairs.cause_category")).alias("cause_category"))).alias("verdict"))
 )
 q("udf06_scenario", "SELECT id, ('0x' || substr(md5(id), 32, 1))::INT % 4 AS scenario FROM c", "c")(lambda s, d: B.comments(s, d).select("id", (F.conv(F.substring(F.md5("id"), 32, 1), 16, 10).cast("int") % 4).alias("scenario")))
 _BIO = ["O"] + [f"{x}-{e}" for e in EMOTIONS for x in "BI"]
@@ -143,14 +143,12 @@ q("flt03_dead", "SELECT count(*) AS n, count(*) FILTER (body IN ('', '[deleted]'
 q("flt04_caps", "SELECT id, length(substr(post_title, 1, 300)) AS t, length(substr(post_selftext, 1, 4000)) AS x, length(substr(parent_body, 1, 3000)) AS p, length(substr(body, 1, 12000)) AS b FROM item", "item")(
     lambda s, d: R.cap_texts(B.items(s, d), {"post_title": 300, "post_selftext": 4000, "parent_body": 3000, "body": 12000}).select("id", F.length("post_title").alias("t"), F.length("post_selftext").alias("x"), F.length("parent_body").alias("p"), F.length("body").alias("b"))
 )
-q("flt05_context_caps", "SELECT id, length(nullif(substr(selftext, 1, 40), '')) AS n FROM p", "p")(lambda s, d: B.posts(s, d).select("id", F.length(F.nullif(F.left("selftext", F.lit(40)), F.lit(""))).alias("n")))
-q("flt07_clean_pairs", "SELECT comment_id, annotator, to_json(pairs)::VARCHAR AS js FROM lab WHERE annotator = 'A' AND len(pairs) = 0", "lab")(lambda s, d: B.labels(s, d).where((F.col("annotator") == "A") & (F.size("pairs") == 0)).select("comment_id", "annotator", F.to_json(R.clean_pairs("pairs")).alias("js")))
-q("flt05_context_caps_full", """SELECT c.id, length(nullif(substr(p.selftext, 1, 40000), '')) AS n_selftext, length(nullif(substr(b.body, 1, 10000), '')) AS n_parent
+q("flt05_context_caps", """SELECT c.id, length(nullif(substr(p.selftext, 1, 40000), '')) AS n_selftext, length(nullif(substr(b.body, 1, 10000), '')) AS n_parent
     FROM c LEFT JOIN p ON p.id = regexp_replace(c.link_id, '^[^_]*_', '') LEFT JOIN c b ON starts_with(c.parent_id, 't1_') AND b.id = regexp_replace(c.parent_id, '^[^_]*_', '')""", "c", "p")(
     lambda s, d: B.items(s, d).select("id", F.length("post_selftext").alias("n_selftext"), F.length("parent_body").alias("n_parent"))
 )
 _EIGHT = "{" + ", ".join(f"'{f}': p.{f}" for f in PAIR_FIELDS) + "}"
-q("flt07_clean_pairs_all", f"SELECT comment_id, annotator, to_json(list_transform(pairs, lambda p: {_EIGHT}))::VARCHAR AS js FROM lab", "lab")(
+q("flt07_clean_pairs", f"SELECT comment_id, annotator, to_json(list_transform(pairs, lambda p: {_EIGHT}))::VARCHAR AS js FROM lab", "lab")(
     lambda s, d: B.labels(s, d).select("comment_id", "annotator", F.to_json(R.clean_pairs("pairs"), {"ignoreNullFields": "false"}).alias("js"))
 )
 q("flt08_drop_cause", "SELECT cause, count(*) AS n FROM pr0 WHERE coalesce(cause, '') <> 'interpersonal' GROUP BY 1", "pr0")(lambda s, d: B.market_pairs(s, d).groupBy("cause").agg(F.count(F.lit(1)).alias("n")))
@@ -160,6 +158,6 @@ q("flt10_sarcasm_treatments", "SELECT treatment, emotion, count(*) AS n, round(s
 q("src04_post_rows", "SELECT * FROM p", "p")(B.posts)
 q("src05_comment_rows", "SELECT id, created_utc, link_id, parent_id, author, score, body FROM c", "c")(lambda s, d: B.comments(s, d).drop("pos"))
 q("api03_comment", "SELECT id, body, post_title, parent_body FROM item WHERE id = (SELECT min(id) FROM c)", "item")(lambda s, d: B.items(s, d).join(B.comments(s, d).agg(F.min("id").alias("id")), "id").select("id", "body", "post_title", "parent_body"))
-q("misc24_render_pairs", "SELECT comment_id, i, '**A**: **' || pairs[i].emotion || '** ' || pairs[i].emotion_span || ' <- [' || pairs[i].cause_category || '/' || coalesce(pairs[i].cause_source, '-') || ']' AS line FROM (SELECT *, unnest(range(1, len(pairs) + 1)) AS i FROM lab WHERE annotator = 'A')", "lab")(
-    lambda s, d: B.labels(s, d).where("annotator = 'A'").select("comment_id", F.posexplode("pairs")).select("comment_id", (F.col("pos") + 1).alias("i"), F.concat(F.lit("**A**: **"), "col.emotion", F.lit("** "), "col.emotion_span", F.lit(" <- ["), "col.cause_category", F.lit("/"), F.coalesce("col.cause_source", F.lit("-")), F.lit("]")).alias("line"))
+q("misc24_render_pairs", "SELECT comment_id, annotator, i, '**' || annotator || '**: **' || pairs[i].emotion || '** ' || pairs[i].emotion_span || ' <- [' || pairs[i].cause_category || '/' || coalesce(pairs[i].cause_source, '-') || ']' AS line FROM (SELECT *, unnest(range(1, len(pairs) + 1)) AS i FROM lab)", "lab")(
+    lambda s, d: B.labels(s, d).select("comment_id", "annotator", F.posexplode("pairs")).select("comment_id", "annotator", (F.col("pos") + 1).alias("i"), F.concat(F.lit("**"), "annotator", F.lit("**: **"), "col.emotion", F.lit("** "), "col.emotion_span", F.lit(" <- ["), "col.cause_category", F.lit("/"), F.coalesce("col.cause_source", F.lit("-")), F.lit("]")).alias("line"))
 )

@@ -36,7 +36,7 @@ def run(spark, name, d):
 
 def test_every_pair_is_projected_to_the_scheme(spark, labelled):
     d = labelled([("x", "A", [pair(), pair("t", cause=None)]), ("x", "C07", [pair("u")]), ("y", "B", [])])
-    got = {(r["comment_id"], r["annotator"]): json.loads(r["js"]) for r in run(spark, "flt07_clean_pairs_all", d)}
+    got = {(r["comment_id"], r["annotator"]): json.loads(r["js"]) for r in run(spark, "flt07_clean_pairs", d)}
     assert {k: len(v) for k, v in got.items()} == {("x", "A"): 2, ("x", "C07"): 1, ("y", "B"): 0}
     assert all(tuple(p) == PAIR_FIELDS for ps in got.values() for p in ps)
     assert got["x", "A"][1]["cause_span"] is None and got["x", "A"][1]["emotion_span"] == "t"
@@ -48,7 +48,7 @@ def test_context_is_capped_at_its_own_lengths(spark, tmp_path):
     posts(spark, [("p1", "x" * 40_005, 1), ("p2", "y" * 41, 1), ("p3", "", 1)]).write.parquet(f"{tmp_path}/posts.parquet")
     rows = [("a", "t3_p1", "t3_p1", "u", 1, "z" * 10_007, 1), ("b", "t3_p1", "t1_a"), ("c", "t3_p2", "t1_b"), ("d", "t3_p3", "t1_gone")]
     comments(spark, rows).write.parquet(f"{tmp_path}/comments.parquet")
-    got = {r["id"]: (r["n_selftext"], r["n_parent"]) for r in run(spark, "flt05_context_caps_full", str(tmp_path))}
+    got = {r["id"]: (r["n_selftext"], r["n_parent"]) for r in run(spark, "flt05_context_caps", str(tmp_path))}
     assert got == {"a": (40_000, None), "b": (40_000, 10_000), "c": (41, 4), "d": (None, None)}
 
 
@@ -159,13 +159,13 @@ def test_all_annotators_are_compared(spark, labelled):
     for c, a, ps in rows:
         by.setdefault(c, []).append((a, ps))
     support = Counter(len(ps) for votes in by.values() for ps in plain_clusters(votes))
-    assert {r["support"]: r["n"] for r in run(spark, "agg15_support_histogram_all", d)} == support and max(support) > 2
-    assert {(r["model"], r["comment_id"]): r["n"] for r in run(spark, "src08_label_scan_all", d)} == {(a, c): len(ps) for c, a, ps in rows}
+    assert {r["support"]: r["n"] for r in run(spark, "agg15_support_histogram", d)} == support and max(support) > 2
+    assert {(r["model"], r["comment_id"]): r["n"] for r in run(spark, "src08_label_scan", d)} == {(a, c): len(ps) for c, a, ps in rows}
     n = {c: (sum(any(p[1] for p in ps) for _, ps in v), len(v)) for c, v in by.items() if len(v) > 1}
     share = sum(y for y, _ in n.values()) / sum(m for _, m in n.values())
     seen = sum((y * y + (m - y) ** 2 - m) / (m * (m - 1)) for y, m in n.values()) / len(n)
     chance = share**2 + (1 - share) ** 2
-    (r,) = run(spark, "agg17_fleiss_sarcasm_all", d)
+    (r,) = run(spark, "agg17_fleiss_sarcasm", d)
     assert r["items"] == len(n) and r["kappa"] == pytest.approx((seen - chance) / (1 - chance), abs=1e-6)
     want = {}
     for votes in by.values():
@@ -179,7 +179,7 @@ def test_all_annotators_are_compared(spark, labelled):
                     w[0].append(2 * len(m) / (len(pa) + len(pb)))
                     w[1] += [x[2] == y[2] for x, y in m]
                     w[2] += [x[6] == y[6] for x, y in m]
-    got = {(r["ma"], r["mb"]): (r["n"], r["n_matched"], r["match_rate"], r["emotion_agreement"], r["cause_agreement"]) for r in run(spark, "agg28_cross_model_all", d)}
+    got = {(r["ma"], r["mb"]): (r["n"], r["n_matched"], r["match_rate"], r["emotion_agreement"], r["cause_agreement"]) for r in run(spark, "agg28_cross_model", d)}
     assert set(got) == set(want) and len(want) == 10
     for k, (rate, emo, cause) in want.items():
         mean = lambda xs: sum(xs) / len(xs)
