@@ -41,12 +41,18 @@ def year_quotas(volumes: DataFrame, n: int, floor: int) -> DataFrame:
 def priority_strata(strata: Sequence[tuple[str, DataFrame, int]], order: Column) -> DataFrame:
     """``id, stratum``: the first ``2 * quota`` rows of each stratum in order, without ids that an
     earlier stratum took, cut to its quota."""
+    fetched = None
+    for k, (_, rows, quota) in enumerate(strata):
+        part = rows.select("id", order.alias("h"), F.lit(k).alias("k")).orderBy("h", "id").limit(2 * quota)
+        fetched = part if fetched is None else fetched.unionByName(part)
+    # the strata's rows are read once; what is left to do is on twice the quotas
+    fetched = Scratch(fetched.sparkSession, "strata").table(fetched, "fetched")
     picked = None
-    for name, rows, quota in strata:
-        fetched = rows.select("id", order.alias("h")).orderBy("h", "id").limit(2 * quota)
+    for k, (name, _, quota) in enumerate(strata):
+        own = fetched.where(F.col("k") == k)
         if picked is not None:
-            fetched = fetched.join(picked.select(F.col("id").alias("seen")), F.col("id") == F.col("seen"), "left_anti")
-        part = fetched.orderBy("h", "id").limit(quota).select("id", F.lit(name).alias("stratum"))
+            own = own.join(picked.select(F.col("id").alias("seen")), F.col("id") == F.col("seen"), "left_anti")
+        part = own.orderBy("h", "id").limit(quota).select("id", F.lit(name).alias("stratum"))
         picked = part if picked is None else picked.unionByName(part)
     return picked
 
