@@ -33,22 +33,18 @@ SEPARATOR = ""
 
 # Given names in use in several countries; words that are also common nouns are left out.
 GIVEN = (
-    "aaliyah aaron abdul abigail adam adele adriana agnes ahmed aisha alan albert alejandro alessandro alice alina amara "
-    "amelia amir amina ana anders andrea andreas andrew angela anika anna anne anton antonio arjun astrid barbara bea "
-    "beatrice benjamin bernd bianca boris bridget callum camila carla carlos carmen caroline catherine cecilia chen chloe "
-    "christina christopher clara claudia daniel daniela david deborah devin diana diego dieter dimitri dmitri dolores donald "
-    "edith eduardo elena eleanor elias elizabeth elsa emily emma enrique erik esther eva fatima felix fernando fiona "
-    "francesca francois frida gabriel george gerald giovanni giulia greta guillermo gustav hannah hans harold harriet hassan "
-    "heidi helena helen henrik hiroshi hugo ibrahim igor ilse ines ingrid irene isabel isabella ivan jamal james jana jane "
-    "javier jean jennifer jessica johan johanna john jonah jonas jorge jose joseph juan julia juliette jurgen kaito karen karl "
-    "katarina katherine keiko kenji kevin khalid klaus kwame lars laura leila lena leon leonardo liam linda linnea louise lucas "
-    "lucia luis lukas magda magnus mahmoud manuel marco margaret maria mariam marie marta martha martin mary mateo mateusz "
-    "matthew maya mehmet mei michael michelle miguel mikhail milan mohamed monika nadia naomi natalia nathan nia nicolas nikolai "
-    "nina noah noor olga oliver olivia omar oscar pablo patricia patrick paul paula pedro percy peter petra philip pierre priya "
-    "rachel rafael raj rania raul ravi rebecca ricardo richard robert roberto rosa ruth samir samuel sandra sara sarah sean "
-    "sergei simone sofia soren stefan stella stephen susan svetlana sven takeshi tamara tariq teresa thomas tobias tomas "
-    "tomasz ursula valentina vera veronica victor vikram vincent viktor vladimir wanda wei werner william wolfgang xavier "
-    "yara yasmin yuki yusuf zara zeynep zoe"
+    "aaron adam ahmed aisha alan albert alice amara amelia amir ana anders andrew angela anna anne anton antonio arjun "
+    "barbara bea benjamin callum camila carlos carmen caroline catherine chen chloe christopher clara daniel david devin "
+    "diana diego dimitri donald elena eleanor elias elizabeth emily emma erik eva fatima felix gabriel george greta hannah "
+    "hans hassan helena helen henrik hiroshi hugo ibrahim ingrid isabel ivan jamal james jane javier jean jennifer jessica "
+    "john jonah jonas jorge jose joseph juan julia karen karl katherine keiko kevin khalid klaus lars laura leon leonardo "
+    "linda louise lucas lucia luis lukas mahmoud manuel marco margaret maria marie marta martha martin mary mateo matthew "
+    "maya mehmet mei michael michelle miguel mikhail milan mohamed nadia naomi nathan nia nicolas nina noah noor olga "
+    "oliver olivia omar oscar pablo patricia patrick paul paula pedro percy peter petra philip pierre priya rachel rafael "
+    "raj rania raul ravi rebecca ricardo richard robert roberto rosa ruth samir samuel sandra sara sarah sean sergei simone "
+    "sofia soren stefan stella stephen susan svetlana sven takeshi tamara tariq teresa thomas tobias tomas tomasz ursula "
+    "valentina vera veronica victor vikram vincent viktor vladimir wanda wei werner william wolfgang yara yasmin "
+    "yuki yusuf zara zeynep zoe"
 ).split()
 
 # Words that follow a given name without being a family name, and words of places, firms and terms.
@@ -451,8 +447,8 @@ def _shaped_names(low: str, text: str, common: frozenset, cues: list[tuple[int,
     A candidate is a run of capitalised words that, less common words at its head, has two or three
     words which are no common words (``common`` holds those that a large corpus writes in small
     letters) and no known capitalised words of other kinds. Its neighbours decide: a relation, a title or
-    a verb before it, a verb of persons after it, or other personal data beside it (``others``). Words
-    that stand beside firms and places as well count only together with another sign. Words in capitals
+    a verb before it, a verb of persons after it, other personal data beside it (``others``), or nothing
+    else in the text. Words that stand beside firms and places as well count only together with another sign. Words in capitals
     or in small letters need the same and a narrower shape.
     """
     begins, ends = sorted(a for a, _ in others), sorted(b for _, b in others)
@@ -473,6 +469,9 @@ def _shaped_names(low: str, text: str, common: frozenset, cues: list[tuple[int,
         n = sum(2 - (x in WEAK) for x, known in ((before, BEFORE_PERSON), (after, AFTER_PERSON)) if x in known)
         if comma and after in ("who", "whose", "my", "our"):
             n += 2
+        # a text that is nothing else, such as an author's name
+        if low[a - 1 : a] in ("", SEPARATOR) and low[end : end + 1] in ("", SEPARATOR):
+            n += 2
         if _DONE_BY.search(low, max(0, a - 24), a) or _NAMED.search(low, max(0, a - 24), a):
             n += 2
         i, j = bisect.bisect_left(begins, end), bisect.bisect_right(ends, a) - 1
