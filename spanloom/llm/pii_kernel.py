@@ -184,6 +184,7 @@ def _triggers():
     put("calle", *STREET_WORDS)
     put("box", "box ")
     put("cue", "signed", "name is", "contact", "gruss", "gruß", "regards", "sincerely", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "ms ", "dr ", "prof ")
+    put("small", "ask ", "asked ", "mention ", "mentioned ", "tell ", "told ", "met ", "emailed ", "texted ")
     put("cue", *(f"{who}{how}" for who in RELATION.split() for how in ("", " is", " was", " named")))
     auto = ahocorasick.Automaton()
     for w, whats in words.items():
@@ -432,7 +433,7 @@ _CAPS = r"[^\W\d_a-z\xdf-\xff]{4,}(?:-[^\W\d_a-z]+)*"
 IN_CAPITALS = re.compile(rf"(?={_BEGIN}({_CAPS}),? (?:[^\W\d_a-z]\. )?({_CAPS}){_END})")
 _VOWEL = re.compile("[aeiouy]")
 # small letters only between a cue and the end of a clause or a verb of persons
-SMALL = re.compile(r"[,:.]? ?([a-z][a-z'-]{2,})(,?) (?:[a-z]\. )?([a-z][a-z'-]{3,})(?=[.,;:!?()/\n" + SEPARATOR + r"]|$| (?:said|says|told|wrote|asked)\b)")
+SMALL = re.compile(r"[,:.]? ?([a-z][a-z'-]{2,})(,?) (?:[a-z]\. )?([a-z][a-z'-]{3,})(?=[.,;:!?()/\n" + SEPARATOR + r"]|$| (?:said|says|told|wrote|asked|in|at|from|about|on)\b)")
 _LAST_WORD = re.compile(r"([a-z][a-z'-]*)\.?([,:;!?]?)[ \n]+$")
 _FIRST_WORD = re.compile(r"(,?) ([a-z]+)")
 _DONE_BY = re.compile(r"(?:signed|written|sent|posted|hired|told|taught|owned|run|managed|called)(?: for| up| off)? by $")
@@ -570,7 +571,7 @@ def find(cps: np.ndarray, off: np.ndarray, common: frozenset | None = None) -> t
     detectors = [[(a, b) for a, b in found if b > a] for found in plain]
     names = [(a, b) for a, b in _names_in(low, tape.text, at, common or frozenset()) if low[a:b] not in PUBLIC]
     if common is not None:
-        names += _shaped_names(low, tape.text, common, at.get("cue", []), [x for found in detectors for x in found])
+        names += _shaped_names(low, tape.text, common, at.get("cue", []) + at.get("small", []), [x for found in detectors for x in found])
     for kind, spans in enumerate([*detectors, names]):
         taken += [(a, kind, b) for a, b in spans]
     # better kinds first; of one kind the longer span

@@ -103,12 +103,12 @@ UNLISTED = [
     ("I met Darnell Whitcombe yesterday", "I met [NAME] yesterday"), ("Priyanka Deshmukh told me", "[NAME] told me"), ("reach Oluwaseun Adeyemi tomorrow", "reach [NAME] tomorrow"),
     ("Brayden Kowalczyk lost", "[NAME] lost"), ("I paid Siobhan Gallagher the rent", "I paid [NAME] the rent"), ("signed for by Quillon Oakwell.", "signed for by [NAME]."),
     ("Yesterday Tyrone Jean-Baptiste emailed me", "Yesterday [NAME] emailed me"), ("my neighbour is quillon oakwell, who", "my neighbour is [NAME], who"), ("Ask QUILLON OAKWELL IN PAYROLL", "Ask [NAME] IN PAYROLL"),
-    ("Quillon Oakwell (ann@example.com)", "[NAME] ([EMAIL])"), ("contact Oakwell, Quillon / 415-555-0123", "contact [NAME] / [PHONE]"), ("Quillon Oakwell", "[NAME]"), ("my cousin Ludovica van der Oakwell moved", "my cousin [NAME] moved"),
+    ("Quillon Oakwell (ann@example.com)", "[NAME] ([EMAIL])"), ("contact Oakwell, Quillon / 415-555-0123", "contact [NAME] / [PHONE]"), ("Quillon Oakwell", "[NAME]"), ("ask quillon oakwell in payroll", "ask [NAME] in payroll"), ("my cousin Ludovica van der Oakwell moved", "my cousin [NAME] moved"),
 ]
 NO_PERSON = [
     "Peter Thiel and Karl Marx wrote about it", "I met Elon Musk", "Jackson Hole and Bretton Woods said little", "Dunmore Foods sold bonds", "Tessel Motors told investors", "at Goldman Sachs they said so",
     "Silicon Valley got rich", "the Wenlock Accord was signed", "in Buenos Aires and Kuala Lumpur", "Federal Reserve officials said", "with Analysts Everywhere", "Wage Growth lost again", "GDP CPI FOMC said", "Last Monday I asked",
-    "called Baltic Dry", "by Marlowick Holdings", "signed in Bretton Woods",
+    "called Baltic Dry", "by Marlowick Holdings", "signed in Bretton Woods", "ask yall folks about rates", "told everyone else at work",
 ]
 
 
