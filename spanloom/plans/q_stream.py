@@ -189,7 +189,7 @@ def _events_glob(d):
     return f"{d}/events.parq*t"
 
 
-q("set06_boundary_dedup", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1")(lambda s, d: I.replay(s, _events_glob(d), table(s, d, "events").schema, "event_id", "ts", "60 days").select("event_id", "event_type"))
+q("set06_boundary_dedup", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1")(lambda s, d: I.replay(s, _events_glob(d), table(s, d, "events").schema, "event_id").select("event_id", "event_type"))
 
 
 def _archive(s, df, label, id_col, ts_col, shows=(0.4, 0.8)):

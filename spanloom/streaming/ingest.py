@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import Scratch
 
@@ -23,14 +24,26 @@ def run_to_end(writer, checkpoint: str) -> None:
         raise q.exception()
 
 
-def replay(spark: SparkSession, path: str, schema, id_col: str, ts_col: str, delay: str = "2 hours") -> DataFrame:
-    """Each id of an archive once, in event time: pages that overlap at a boundary second repeat ids."""
+def replay(spark: SparkSession, path: str, schema, id_col: str) -> DataFrame:
+    """Each id of an archive once, however late or often it comes: pages that overlap at a boundary second repeat ids.
+
+    No watermark, so no late row is lost and no state of ids is held: every micro-batch leaves out the
+    ids that earlier batches wrote, read from their one column. Rows with a null id are left out.
+    """
     scratch = Scratch(spark, "replay")
-    stream = spark.readStream.schema(schema).parquet(path).withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    once = stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark([id_col])
+    stream = spark.readStream.schema(schema).parquet(path)
     out = f"{scratch.base}/out"
-    run_to_end(once.writeStream.format("parquet").option("path", out), f"{scratch.base}/checkpoint")
-    return spark.read.schema(once.schema).parquet(out)
+    written = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        new = batch.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        if batch_id:
+            seen = spark.read.schema(written).parquet(out).where(F.col("batch") < batch_id).select(F.col(id_col).alias("_seen"))
+            new = new.join(seen, F.col(id_col) == F.col("_seen"), "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_to_end(stream.writeStream.foreachBatch(sink), f"{scratch.base}/checkpoint")
+    return spark.read.schema(written).parquet(out).drop("batch")
 
 
 def upsert(spark: SparkSession, stream: DataFrame, keys: list[str], order: list[str], scratch: Scratch) -> DataFrame:

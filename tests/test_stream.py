@@ -29,6 +29,13 @@ def test_upsert_is_idempotent_over_batches(spark, tmp_path):
     assert got == [("j", 1, "x"), ("k", 3, "new"), ("l", 1, None)]
 
 
+def test_replay_keeps_late_rows_and_each_id_once(spark, tmp_path):
+    for i, rows in enumerate([[(1, 100), (2, 200)], [(2, 200), (3, 1), (3, 1)], [(None, 5), (4, 150), (1, 100)]]):
+        spark.createDataFrame(rows, "id int, ts int").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    got = sorted(tuple(r) for r in I.replay(spark, str(tmp_path / "in/*"), "id int, ts int", "id").collect())
+    assert got == [(1, 100), (2, 200), (3, 1), (4, 150)]
+
+
 def test_bisection_isolates_bad_rows():
     def call(xs):
         if "bad" in xs:
