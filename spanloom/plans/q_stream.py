@@ -10,8 +10,9 @@ from ..operators import match as M
 from ..operators import relational as R
 from ..operators import resample as RS
 from ..operators import store as ST
-from ..schema import CORPUS_LABEL, PAIRS
+from ..schema import ASSETS, CAUSES, CORPUS_LABEL, EMOTIONS, PAIRS, SOURCES
 from ..sources import jsonl as J
+from ..sources import retry as RT
 from ..sources import state as SS
 from ..sources import tail as TL
 from ..sources import worklist as W
@@ -485,6 +486,46 @@ def misc01(s, d):
     return s.createDataFrame(rows, "stream string, after bigint, total bigint, complete boolean")
 
 
+@q(
+    "misc02_ingest_status",
+    """SELECT stream, n AS saved, strftime(make_timestamp(after * 1000000), '%Y-%m-%d') AS day, TRUE AS complete FROM (
+    SELECT 'comments' AS stream, max(created_utc) AS after, count(*) AS n FROM comments WHERE id IS NOT NULL AND created_utc IS NOT NULL
+    UNION ALL SELECT 'posts', max(created_utc), count(*) FROM posts WHERE id IS NOT NULL AND created_utc IS NOT NULL)""",
+)
+def misc02(s, d):
+    """How far each ingest has come: records saved, the day of its cursor, whether it is complete."""
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("after") / 86400).cast("int")), "yyyy-MM-dd")
+    return misc01(s, d).select("stream", F.col("total").alias("saved"), day.alias("day"), "complete")
+
+
+_SCHEME = {"emotion": EMOTIONS, "cause_source": SOURCES, "cause_category": CAUSES, "target_asset": ASSETS}
+q("api01_schema", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i}, '{v}')" for f, vs in _SCHEME.items() for i, v in enumerate(vs)) + ") t(field, position, value)")(
+    lambda s, d: s.createDataFrame([(f, i, v) for f, vs in _SCHEME.items() for i, v in enumerate(vs)], "field string, position int, value string")
+)
+
+
+def _flaky(calls: dict):
+    """An archive that fails now and then: by the key's last digit with a passing status, a broken line, or for good."""
+
+    def fetch(key: str) -> tuple[int, str]:
+        n = calls[key] = calls.get(key, 0) + 1
+        kind = int(key[-1], 16) % 4
+        if kind == 3:
+            return 404, ""
+        if n <= kind:
+            return (503, "") if n == 1 else (200, "{cut")
+        return 200, f'{{"key": "{key}"}}'
+
+    return fetch
+
+
+@q("src02_retrying_get", """SELECT key, CASE WHEN kind < 3 THEN '{"key": "' || key || '"}' END AS answer, CASE kind WHEN 1 THEN 2.0 WHEN 2 THEN 5.0 ELSE 0.0 END AS waited
+    FROM (SELECT key, ('0x' || substr(key, 32, 1))::INT % 4 AS kind FROM (SELECT md5(id) AS key FROM c))""", "c")
+def src02(s, d):
+    """Every comment's record asked of an archive that fails now and then; the waits are added up instead of slept."""
+    return RT.fetch_all(B.comments(s, d).select(F.md5("id").alias("key")), "key", _flaky({}), sleep=lambda _: None)
+
+
 @q("snk03_atomic_state", "SELECT 3 AS version, 1 AS n_files")
 def snk03_state(s, d):
     """A state that is replaced three times: readers see the last version, and no other file is left."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.plans.scratch import Scratch
 from spanloom.sources import jsonl as J
+from spanloom.sources import retry as R
 from spanloom.sources import tail as T
 from spanloom.sources.state import read_state, write_state
 from spanloom.streaming import archive as A
@@ -74,3 +75,25 @@ def test_archive_cursor(spark, tmp_path, most):
     assert taken() == [f"i{n:02}" for n in range(10)]
     # a complete ingest is left alone
     assert A.ingest(df, state, out, "id", "ts", start=5) == c
+
+
+def test_retries():
+    def script(*answers):
+        left = list(answers)
+
+        def fetch():
+            a = left.pop(0)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        return fetch
+
+    waits = []
+    ok = (200, '{"a": 1}')
+    assert R.get_json(script((503, ""), OSError(), (200, "{"), (429, ""), ok), sleep=waits.append) == {"a": 1} and waits == [2, 4, 3, 16]
+    assert R.get_json(script((404, ""), ok), sleep=waits.append) is None
+    waits.clear()
+    assert R.get_json(script(*[(500, "")] * 9), R.Policy(attempts=8), waits.append) is None and waits == [2, 4, 8, 16, 32, 64, 120, 120]
+    waits.clear()
+    assert R.get_json(script(*[OSError()] * 9), R.CHAT, waits.append) is None and waits == [1, 2, 4, 8, 16]
