@@ -9,17 +9,19 @@ their weights do, and no other mix of that size has this property.
 Rounding. A source gets the same fractional number of copies for each of its documents. The whole
 part is taken as it is; the fractions are rounded by the pivotal method: two fractions are paired,
 mass moves randomly from one to the other until one of them is 0 or 1, and the other goes on. Rows
-lie sorted by source and size, in ranges that split a large source over many tasks; a task pairs
-neighbours, all pairs of a round at once, and halves its undecided rows with every round until one
-per source is left. These residuals are combined in a reduction tree: the residuals of a source form
+form groups of one source and one band of sizes, large bands several; a task sorts a group by size and
+pairs neighbours, all pairs of a round at once, and halves its undecided rows with every round until
+one per group is left. These residuals are combined in a reduction tree: the residuals of a source form
 groups of ``FAN_IN`` neighbours, each of which leaves one, so a level divides every source's residuals
-by the fan-in and the tree ends for any number of sources and tasks. A source's last residual is
+by the fan-in and the tree ends for any number of sources and groups. A source's last residual is
 rounded alone. Every document's expected copies are kept, and the copies of a source differ from
 their target by less than one.
 
-Error. In one round the pairs are disjoint ranges of the sizes of a source, so their transfers move
-its tokens by at most (largest - smallest document); ``error_bound`` of the shares adds that up over
-all rounds, and the last rounding adds one document.
+Groups and draws depend on keys, sizes and the seed alone, so a mix can be made again.
+
+Error. In one round the pairs are disjoint ranges of the sizes of a group, so their transfers move its
+tokens by at most (largest - smallest size): the width of its band, in the tree the range of its source.
+``error_bound`` of the shares adds that up over all groups and rounds, and the last rounding adds one document.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ from .arrow_text import slices
 
 #: A rank file of a public byte-level vocabulary; read where the query is built and sent to the tasks.
 TOKENIZER = VOCABULARY
-#: Residuals of a source that one group of the reduction tree pairs.
-FAN_IN = 50_000
+#: Documents of a group, on average; and residuals of a source that one group of the reduction tree pairs.
+GROUP_ROWS, FAN_IN = 200_000, 50_000
+#: Bands of sizes per doubling.
+BANDS = 8
 #: Characters of a text that are tokenized at once.
 PIECE = 200_000
 EPS = 1e-9
@@ -179,17 +183,16 @@ def pair_off(group: np.ndarray, p: np.ndarray, h: np.ndarray, turn: int) -> tupl
 def _reduce(rows: DataFrame, level: int, last: bool) -> DataFrame:
     """One level: ``rows`` sorted by group within tasks come back with new ``p``, 0 or 1 where decided.
 
-    ``rounds`` counts the rounds of the task on this ``level``.
-
-    A group that goes on into the next batch carries its undecided row there, so a task holds one
-    batch at a time.
+    ``rounds`` counts the rounds that the row's group has had on this ``level`` when it was decided. A
+    group that goes on into the next batch carries its undecided row there, so a task holds one batch
+    at a time.
     """
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     at = {n: i for i, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, turn = None, level * 1000
+        held, turn, name, had = None, level * 1_000_000, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -200,8 +203,11 @@ def _reduce(rows: DataFrame, level: int, last: bool) -> DataFrame:
                 u = _uniform(t.column("h").to_numpy(), 999_983)
                 p = np.where((p > 0) & (p < 1), (u < p).astype(float), p)
             turn += rounds
-            fixed = lambda v: pa.array(np.full(t.num_rows, v), pa.int32())  # noqa: B023, E731
-            t = t.set_column(at["p"], "p", pa.array(p)).set_column(at["rounds"], "rounds", fixed(turn - level * 1000)).set_column(at["level"], "level", fixed(level))
+            # a group that began in an earlier batch has had that one's rounds too
+            used = np.where((group == group[0]) & (t.column("grp")[0].as_py() == name), had, 0) + rounds
+            name, had = t.column("grp")[-1].as_py(), int(used[-1])
+            fixed = lambda v: pa.array(v.astype(np.int32))
+            t = t.set_column(at["p"], "p", pa.array(p)).set_column(at["rounds"], "rounds", fixed(used)).set_column(at["level"], "level", fixed(np.full(t.num_rows, level)))
             # the last group may go on
             tail = np.flatnonzero((group == group[-1]) & (p > 0) & (p < 1))
             held = None
@@ -216,19 +222,21 @@ def _reduce(rows: DataFrame, level: int, last: bool) -> DataFrame:
 
 
 def round_fractions(rows: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
-    """The rows with ``up`` (1 where the fraction was rounded up), and the ``level`` and ``rounds`` that decided it.
+    """The rows with ``up`` (1 where the fraction was rounded up), and the ``level``, ``grp`` and ``rounds`` that decided it.
 
     rows: ``k, source, p`` in [0, 1], ``n_tokens`` and any other columns. Rows are told apart by
     nothing, so repeated keys do no harm.
     """
     cols = [c for c in rows.columns if c != "p"]
-    level = rows.select(*cols, "p", F.xxhash64("k", F.lit(seed)).alias("h"), F.col("source").alias("grp"), F.lit(0).alias("rounds"), F.lit(0).alias("level"))
+    level = rows.select(*cols, "p", F.xxhash64("k", F.lit(seed)).alias("h"), F.lit("").alias("grp"), F.lit(0).alias("rounds"), F.lit(0).alias("level"))
     settled = level.where((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)).withColumn("p", F.round("p"))
-    level = level.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS))
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = ["source", "n_tokens", "h"]
-    level = level.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    band = F.floor(F.log2(F.col("n_tokens") + 1.0) * BANDS).cast("int")
+    level = level.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("band", band)
+    # one row per source and band
+    parts = level.groupBy(F.col("source").alias("b_source"), F.col("band").alias("b_band")).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
+    level = level.join(parts, (F.col("source") == F.col("b_source")) & (F.col("band") == F.col("b_band")))
+    level = level.withColumn("grp", F.concat_ws("\x01", "source", F.col("band").cast("string"), F.pmod(F.shiftright("h", 7), F.col("parts")).cast("string"))).select(*settled.columns)
+    level = level.repartition(F.xxhash64("grp")).sortWithinPartitions("grp", "n_tokens", "h")
     done, depth, last = [settled], 0, False
     while True:
         out = scratch.table(_reduce(level, depth, last), "pivot")
@@ -241,16 +249,16 @@ def round_fractions(rows: DataFrame, scratch: Scratch, seed: int = 0) -> DataFra
         # with one residual per source all are rounded where they lie
         last = most <= 1
         if last:
-            level = rest
+            level = rest.withColumn("grp", F.col("source"))
             continue
-        # a source has at most one residual per task of the level before
+        # a source has one residual per group of the level before
         nth = F.row_number().over(Window.partitionBy("source").orderBy("n_tokens", "h"))
         grouped = rest.withColumn("grp", F.concat_ws("\x01", "source", F.floor((nth - 1) / FAN_IN).cast("string")))
         level = grouped.repartition(F.xxhash64("grp")).sortWithinPartitions("grp", "n_tokens", "h")
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    return found.select(*cols, F.col("p").cast("int").alias("up"), "rounds", "level")
+    return found.select(*cols, F.col("p").cast("int").alias("up"), "rounds", "level", "grp")
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,11 +284,13 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     rows = tokens.join(frac, F.col("source") == F.col("p_source")).select("k", "source", "n_tokens", "whole", "p")
     rounded = scratch.table(round_fractions(rows, scratch, seed), "copies")
     copies = rounded.select(F.col("k").alias(key), "source", "n_tokens", (F.col("whole") + F.col("up")).cast("int").alias("copies"))
-    per_level = rounded.groupBy("source", "level").agg(F.sum(F.col("n_tokens") * (F.col("whole") + F.col("up"))).cast("bigint").alias("got"), F.max("rounds").alias("rounds"))
-    got = per_level.groupBy(F.col("source").alias("g_source")).agg(F.sum("got").alias("got"), F.sum("rounds").alias("rounds"))
+    # what each group of each level can have moved: by the width of its band first, by the source's range then
+    per_group = rounded.groupBy("source", "level", "grp").agg(F.sum(F.col("n_tokens") * (F.col("whole") + F.col("up"))).cast("bigint").alias("got"), F.max("rounds").alias("rounds"), F.min("n_tokens").alias("least"))
+    width = F.when(F.col("level") == 0, F.col("rounds") * (F.col("least") + 1) * (2.0 ** (1 / BANDS) - 1))
+    got = per_group.groupBy(F.col("source").alias("g_source")).agg(F.sum("got").alias("got"), F.sum(width).alias("near"), F.sum(F.when(F.col("level") > 0, F.col("rounds"))).alias("far"))
     shares = plan.join(got, F.col("source") == F.col("g_source"), "left").withColumn("got", F.coalesce("got", F.lit(0)))
     whole_mix = shares.agg(F.sum("got").alias("all_got"), F.sum("goal").alias("all_goal"))
-    bound = F.when(F.abs(F.col("copies") - F.round("copies")) < EPS, F.abs(F.col("copies") - F.round("copies")) * F.col("have")).otherwise(F.coalesce("rounds", F.lit(0)) * (F.col("largest") - F.col("smallest")) + F.col("largest"))
+    bound = F.when(F.abs(F.col("copies") - F.round("copies")) < EPS, F.abs(F.col("copies") - F.round("copies")) * F.col("have")).otherwise(F.coalesce("near", F.lit(0.0)) + F.coalesce("far", F.lit(0)) * (F.col("largest") - F.col("smallest")) + F.col("largest"))
     shares = shares.crossJoin(F.broadcast(whole_mix)).select(
         "source", "weight", "max_repeats", "n_docs", "have", "target", F.round("goal", 3).alias("goal"), "got", F.try_divide("goal", "all_goal").alias("goal_share"), F.try_divide("got", "all_got").alias("actual_share"), F.round(bound + 0.001, 3).alias("error_bound"), "is_short"
     )

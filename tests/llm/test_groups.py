@@ -112,6 +112,7 @@ def test_caps_edge_cases(spark):
 @pytest.fixture
 def narrow_tree(monkeypatch):
     monkeypatch.setattr(X, "FAN_IN", 4)
+    monkeypatch.setattr(X, "GROUP_ROWS", 40)
 
 
 def _round(rows, spark, seed=1):
@@ -150,7 +151,7 @@ def test_one_source_over_many_tasks(spark, narrow_tree):
     try:
         got = _round(rows, spark)
         want = rows.agg(F.sum("p")).first()[0]
-        assert abs(got.agg(F.sum("up")).first()[0] - want) < 1 and got.count() == 4000 and 2 <= got.agg(F.max("level")).first()[0] <= 4
+        assert abs(got.agg(F.sum("up")).first()[0] - want) < 1 and got.count() == 4000 and 3 <= got.agg(F.max("level")).first()[0] <= 5
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -183,6 +184,10 @@ def test_mixture(spark):
     assert abs(s["a"]["goal"] / s["d"]["goal"] - 1.5) < 0.01 and abs(s["c"]["goal"] / s["d"]["goal"] - 0.25) < 0.01
     assert all(abs(r["got"] - r["goal"]) <= r["error_bound"] for r in s.values())
     assert abs(sum(r["actual_share"] for r in s.values()) - 1) < 1e-9 and all(abs(s[x]["actual_share"] - s[x]["goal_share"]) < 0.03 for x in s)
+    # the same seed makes the same mix, however the rows lie; another seed another one
+    again = {r["doc_id"]: r["copies"] for r in X.mix(d.repartition(5), t)[0].collect()}
+    other = {r["doc_id"]: r["copies"] for r in X.mix(d, t, seed=1)[0].collect()}
+    assert again == {r["doc_id"]: r["copies"] for r in c} != other
     copies, plan, shares = X.mix(d.limit(0), t)
     assert copies.count() == 0 and shares.count() == 5
 
