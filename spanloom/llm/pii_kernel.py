@@ -134,7 +134,8 @@ ID_CUES = (
 ID_VALUE = re.compile(r"(?:[ :#]{1,2}(?:number|nummer|no\.?|nr\.?|id|is|was))*[ :#.]{1,3}(?P<v>[a-z]{0,2}[ -]?\d+(?:[ -]?\d+)*(?: ?[a-d](?![a-z]))?)(?![a-z0-9])")
 
 PASSPORT_VALUE = re.compile(r"(?:[ :#]{1,2}(?:number|nummer|no\.?|nr\.?|id|is|was))*[ :#.]{1,3}(?P<v>(?=[a-z0-9]*\d[a-z0-9]*\d[a-z0-9]*\d)[a-z0-9]{7,10})(?![a-z0-9-])")
-IBAN = re.compile(r"(?<![a-z0-9])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?(?![a-z0-9])")
+IBAN = re.compile(r"\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?(?![a-z0-9])")
+IBAN_HEAD = re.compile(r"(?:^|[^a-z0-9])[a-z]{2}$")
 
 # Further kinds of streets, whose names are common nouns: they need title case.
 SOFT_SUFFIX = ("gardens", "grove", "mews", "row", "walk", "hill", "rise", "park", "green", "view", "heights", "circle", "trail", "quay", "wharf", "promenade", "crossing", "meadows")
@@ -314,10 +315,13 @@ def _ids(low: str, text: str, at: list[tuple[int, int]]) -> Iterator[tuple[int,
         elif low[a:b] in ("passport", "passnummer", "pasaporte") and (m := PASSPORT_VALUE.match(low, b)):
             yield m.span("v")
     for m in IBAN.finditer(low):
+        a = m.start() - 2
+        if a < 0 or not low[a].isalpha() or not IBAN_HEAD.search(low, max(0, a - 1), m.start()):
+            continue
         # the longest piece whose check digits are right, as a word may follow
-        for end in range(m.end(), m.start() + 15, -1):
-            if (end == len(low) or not low[end].isalnum()) and _iban_holds(low[m.start() : end].replace(" ", "")):
-                yield m.start(), end
+        for end in range(m.end(), a + 15, -1):
+            if (end == len(low) or not low[end].isalnum()) and _iban_holds(low[a:end].replace(" ", "")):
+                yield a, end
                 break
 
 
@@ -361,7 +365,7 @@ def _addresses(low: str, text: str, at: dict[str, list[tuple[int, int]]]) -> Ite
         if not (a and low[a - 1].isalpha()) and (m := CALLE.match(low, b)):
             yield _trim_city(a, b, m.end(), text)
     for a, b in at.get("box", ()):
-        if m := BOX.search(low, max(0, a - 8)) if low[b : b + 1].isdigit() else None:
+        if m := BOX.search(low, max(0, a - 8), b + 80) if low[b : b + 1].isdigit() else None:
             if m.start() <= a < m.end():
                 yield _trim_city(m.start(), b, m.end(), text)
 
@@ -423,14 +427,16 @@ def _names_in(low: str, text: str, at: dict[str, list[tuple[int, int]]], common:
                 yield m.start(1), m.end(2)
 
 
-_TITLE = r"[^\W\d_a-z\xdf-\xff](?:'[^\W\d_])?[^\W\d_A-Z\xc0-\xde]+(?:[-'][^\W\d_]+)*(?:(?<=Mc)[^\W\d_]+|(?<=Mac)[^\W\d_]+)?"
+# Letters by case as far as one class can say it; patterns begin with a class, so that the search skips what is in none.
+_UP, _LOW = "A-Z\xc0-\xd6\xd8-\xde\u0100-\u024f", "a-z\xdf-\xf6\xf8-\xff\u0100-\u024f"
+_TITLE = rf"[{_UP}](?:'[{_UP}])?[{_LOW}]+(?:[-'][{_UP}{_LOW}]+)*(?:(?<=Mc)[{_UP}{_LOW}]+|(?<=Mac)[{_UP}{_LOW}]+)?"
 _PARTICLE = r"(?:(?:de|da|del|della|di|dos|du|la|le|van|von|der|den|bin|al|el|ter) ){1,3}"
-_BEGIN, _END = r"(?<![\w@#$/&.+-])", r"(?![\w@-]|\.\w)"
-# capitalised words in a row, family name first, and words in capitals only
-RUN = re.compile(rf"{_BEGIN}{_TITLE}(?: (?:{_PARTICLE})?(?:[^\W\d_a-z]\. )?{_TITLE}){{1,4}}{_END}")
-FAMILY_FIRST = re.compile(rf"(?={_BEGIN}({_TITLE}), ({_TITLE}){_END})")
-_CAPS = r"[^\W\d_a-z\xdf-\xff]{4,}(?:-[^\W\d_a-z]+)*"
-IN_CAPITALS = re.compile(rf"(?={_BEGIN}({_CAPS}),? (?:[^\W\d_a-z]\. )?({_CAPS}){_END})")
+_END = r"(?![\w@-]|\.\w)"
+# capitalised words in a row, family name first (found from its comma), and words in capitals only
+RUN = re.compile(rf"{_TITLE}(?: (?:{_PARTICLE})?(?:[{_UP}]\. )?{_TITLE}){{1,4}}{_END}")
+COMMA_GIVEN = re.compile(rf", ({_TITLE}){_END}")
+FAMILY_BEFORE = re.compile(rf"{_TITLE}$")
+IN_CAPITALS = re.compile(rf"[{_UP}]{{4,}}(?:-[{_UP}]+)*(?=,? (?:[{_UP}]\. )?([{_UP}]{{4,}}(?:-[{_UP}]+)*){_END})")
 _VOWEL = re.compile("[aeiouy]")
 # small letters only between a cue and the end of a clause or a verb of persons
 SMALL = re.compile(r"[,:.]? ?([a-z][a-z'-]{2,})(,?) (?:[a-z]\. )?([a-z][a-z'-]{3,})(?=[.,;:!?()/\n" + SEPARATOR + r"]|$| (?:said|says|told|wrote|asked|in|at|from|about|on)\b)")
@@ -457,6 +463,10 @@ def _shaped_names(low: str, text: str, common: frozenset, cues: list[tuple[int,
     def rare(*words: str) -> bool:
         return not any(w in common or w in CAPITAL or w in NOT_FAMILY for w in words)
 
+    def inside(a: int) -> bool:
+        """Whether what begins at ``a`` is the rest of a longer word, handle or number."""
+        return a > 0 and (low[a - 1].isalnum() or low[a - 1] in "_@#$/&.+-")
+
     def public(first: str, last: str) -> bool:
         return f"{first} {last}" in PUBLIC
 
@@ -482,6 +492,8 @@ def _shaped_names(low: str, text: str, common: frozenset, cues: list[tuple[int,
 
     for m in RUN.finditer(text):
         a, end = m.span()
+        if inside(a):
+            continue
         words = low[a:end].split(" ")
         # a sentence's first word, a greeting or a title is no part of the name
         lead = None
@@ -495,14 +507,19 @@ def _shaped_names(low: str, text: str, common: frozenset, cues: list[tuple[int,
         own = [w for w, t in zip(low[a:end].split(" "), text[a:end].split(" ")) if t[:1].isupper() and len(w) > 1 and not w.endswith(".")]
         if rare(*own) and low[a:end] not in PUBLIC and not public(full[0], full[-1]) and signs(a, end, lead and lead.rstrip("."), full[0]):
             yield a, end
-    for m in FAMILY_FIRST.finditer(text):
-        family, given = low[m.start(1) : m.end(1)], low[m.start(2) : m.end(2)]
-        if rare(family, given) and family not in BEFORE_PERSON and not public(given, family) and signs(m.start(1), m.end(2), None, given):
-            yield m.start(1), m.end(2)
+    for m in COMMA_GIVEN.finditer(text):
+        f = FAMILY_BEFORE.search(text, max(0, m.start() - 40), m.start())
+        if not f or inside(f.start()):
+            continue
+        family, given = low[f.start() : f.end()], low[m.start(1) : m.end(1)]
+        if rare(family, given) and family not in BEFORE_PERSON and not public(given, family) and signs(f.start(), m.end(), None, given):
+            yield f.start(), m.end()
     for m in IN_CAPITALS.finditer(text):
-        one, two = low[m.start(1) : m.end(1)], low[m.start(2) : m.end(2)]
-        if rare(one, two) and one not in BEFORE_PERSON and not public(one, two) and _VOWEL.search(one) and _VOWEL.search(two) and signs(m.start(1), m.end(2), None, one):
-            yield m.start(1), m.end(2)
+        one, two = low[m.start() : m.end()], low[m.start(1) : m.end(1)]
+        if inside(m.start()) or not text[m.start() : m.end(1)].isupper():
+            continue
+        if rare(one, two) and one not in BEFORE_PERSON and not public(one, two) and _VOWEL.search(one) and _VOWEL.search(two) and signs(m.start(), m.end(1), None, one):
+            yield m.start(), m.end(1)
     for a, b in cues:
         if a and low[a - 1].isalnum() or not (m := SMALL.match(low, b)):
             continue
@@ -535,17 +552,40 @@ def transduce(cps: np.ndarray, off: np.ndarray) -> tuple[Tape, str, dict[str, li
     lower = _lower(tape.text)
     edits = [(m.start(), m.end(), unescape(m[0])[:1] or " ") for m in ENTITY.finditer(lower)] if "&" in lower else []
     if edits:
-        tape = tape.edit(edits)
-        lower = _lower(tape.text)
+        tape, lower = tape.edit(edits), _spliced(lower, [(a, b, _lower(new)) for a, b, new in edits])
     at = triggers(lower)
     for what, step in (("spelled", _spelled), ("disguise", _disguises)):
         if what in at and (edits := step(lower, at[what])):
-            tape = tape.edit(edits)
-            lower = _lower(tape.text)
-            at = triggers(lower)
+            tape, lower, at = tape.edit(edits), _spliced(lower, edits), _moved(at, edits)
     return tape, lower, at
 
 
+def _spliced(text: str, edits: list[tuple[int, int, str]]) -> str:
+    out, done = [], 0
+    for a, b, new in edits:
+        out += [text[done:a], new]
+        done = b
+    return "".join([*out, text[done:]])
+
+
+def _moved(at: dict[str, list[tuple[int, int]]], edits: list[tuple[int, int, str]]) -> dict[str, list[tuple[int, int]]]:
+    """Triggers after edits whose new texts are digits, ``@`` and ``.``: those outside move along, each ``@`` is a new one."""
+    begin, end = np.array([e[0] for e in edits]), np.array([e[1] for e in edits])
+    shift = np.concatenate([[0], np.cumsum([len(new) - (b - a) for a, b, new in edits])])
+    out = {}
+    for what, spans in at.items():
+        if not spans:
+            continue
+        a, b = np.array(spans).T
+        i = np.searchsorted(begin, a, "right")
+        kept = ((i == 0) | (end[np.maximum(i - 1, 0)] <= a)) & ((i == len(begin)) | (begin[np.minimum(i, len(begin) - 1)] >= b))
+        out[what] = list(zip((a + shift[i])[kept].tolist(), (b + shift[i])[kept].tolist()))
+    signs = [int(x + shift[k]) for k, (x, _, new) in enumerate(edits) if new == "@"]
+    if signs:
+        out["mail"] = sorted(out.get("mail", []) + [(x, x + 1) for x in signs])
+    return out
+
+
 def _lower(text: str) -> str:
     """Lower case without accents, of the same length."""
     if text.isascii():
