@@ -196,6 +196,8 @@ def _reduce(rows: DataFrame, level: int, last: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            # batches differ in what their columns say of nulls
+            batch = pa.RecordBatch.from_arrays(batch.columns, schema=pa.schema([pa.field(f.name, f.type) for f in batch.schema]))
             t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             group = t.column("grp").combine_chunks().dictionary_encode().indices.to_numpy()
             p, rounds = pair_off(group, t.column("p").to_numpy(), t.column("h").to_numpy(), turn)

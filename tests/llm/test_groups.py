@@ -109,6 +109,13 @@ def test_caps_edge_cases(spark):
     assert cap_contributors(r, c.limit(0), 2).where("kept").count() == 3
 
 
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.fixture
 def narrow_tree(monkeypatch):
     monkeypatch.setattr(X, "FAN_IN", 4)
@@ -156,6 +163,14 @@ def test_one_source_over_many_tasks(spark, narrow_tree):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_groups_over_many_batches(spark, small_batches):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("source"), F.lit(0.31).alias("p"), (F.col("id") % 3 + 100).alias("n_tokens"), F.lit(1).alias("whole"))
+    got = _round(rows, spark)
+    per = {r["source"]: r for r in got.groupBy("source").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("k"), F.max("rounds").alias("rounds")).collect()}
+    assert per["a"]["n"] == per["a"]["k"] == 1000 and per["b"]["n"] == per["b"]["k"] == 4000
+    assert all(abs(r["up"] - 0.31 * r["n"]) < 1 for r in per.values()) and per["b"]["rounds"] > per["a"]["rounds"] > 6
+
+
 def test_pairing_keeps_mass_and_is_unbiased():
     rng = np.random.default_rng(5)
     group = np.sort(rng.integers(0, 6, 500))
