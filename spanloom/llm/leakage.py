@@ -114,10 +114,14 @@ class Shingled:
 
     def __init__(self, texts: pa.Array, hasher: Hasher):
         self.words = list(words_of(texts))
-        parts = [shingles(hasher(w)) if len(w) >= WINDOW else np.zeros(0, np.uint64) for w in self.words]
-        size = np.array([p.size for p in parts], np.int64)
-        self.s = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        n = np.array([len(w) if len(w) >= WINDOW else 0 for w in self.words], np.int64)
+        parts = [hasher(w) for w, k in zip(self.words, n) if k]
+        # shingles of all texts at once, less those that run from one text into the next
+        run_on = shingles(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        size = np.where(n > 0, n - SHINGLE + 1, 0)
+        first = np.cumsum(n) - n
+        self.begin = np.cumsum(size) - size
+        self.s = run_on[np.repeat(first - self.begin, size) + np.arange(size.sum())]
         self.size = size
         self.n_windows = np.maximum(size - QUERY + 1, 0)
 
@@ -137,10 +141,14 @@ class Shingled:
 
     def signatures(self, at: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
         """One MinHash after the other of the shingle sets that begin at ``at``."""
-        # a set is filled up with its own last shingle, which changes no minimum
-        place = at[:, None] + np.minimum(np.arange(int(size.max())), size[:, None] - 1)
+        # a set of QUERY to 2 QUERY shingles is two runs of QUERY that may overlap, and those minima come by doubling
         for f in range(most):
-            yield _mix(_mix(self.s, f)[place].min(axis=1), f)
+            x, width = _mix(self.s, f), 1
+            while width < QUERY:
+                step = min(width, QUERY - width)
+                x = np.minimum(x[:-step], x[step:])
+                width += step
+            yield _mix(np.minimum(x[at], x[at + size - QUERY]), f)
 
     def code(self, at: np.ndarray) -> np.ndarray:
         """A hash of each window: of three shingles that hold all its words."""
