@@ -140,7 +140,7 @@ def norm_sql(x: str) -> str:
         out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     frm, to = T.FOLD_FROM.replace("'", "''"), T.FOLD_TO.replace("'", "''")
     out = f"replace(translate(replace({out}, '\\', ''), '{frm}', '{to}'), '…', '...')"
-    return f"lower(trim(regexp_replace({out}, '\\s+', ' ', 'g')))"
+    return f"replace(lower(trim(regexp_replace({out}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 
 
 def span_in_sql(s: str, t: str) -> str:

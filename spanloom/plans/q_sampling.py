@@ -198,10 +198,11 @@ q("misc20_rehydration_missing", "SELECT id AS comment_id FROM item WHERE pos % 7
 _SPAN_SQL = f"""(SELECT comment_id, annotator, p.emotion_span AS span FROM (SELECT comment_id, annotator, unnest(pairs) AS p FROM lab)) l JOIN c ON c.id = l.comment_id WHERE {span_in_sql('l.span', 'c.body')}"""
 
 
-@q("joi18_decode_join", f"""SELECT l.comment_id, l.annotator, c.id IS NOT NULL AS present, coalesce(n, 0)::BIGINT AS n_decoded, 0::BIGINT AS n_mismatch
-    FROM lab l LEFT JOIN c ON c.id = l.comment_id LEFT JOIN (SELECT l.comment_id, l.annotator, count(*) AS n FROM {_SPAN_SQL} GROUP BY 1, 2) x ON x.comment_id = l.comment_id AND x.annotator = l.annotator""", "lab", "c")
-def joi18(s, d):
-    """Labels with offsets decoded from the corpus: comments it lacks are flagged, and spans that come back otherwise counted."""
+def _decoded_labels(s, d):
+    """Labels with offsets decoded from the corpus: comments it lacks are flagged, and spans that come back otherwise counted.
+
+    A span that ends within what a character reference stands for comes back with the reference cut off.
+    """
     spans = B.labels(s, d).select("comment_id", "annotator", "pairs").join(B.comments(s, d).select("id", "body"), F.col("comment_id") == F.col("id"), "left")
     none = F.lit(None).cast("string")
     per = spans.where("id is not null").select("comment_id", "annotator", "body", F.explode("pairs.emotion_span").alias("span")).withColumn("offset", C.encode_udf("span", "body", none, none))
@@ -211,6 +212,13 @@ def joi18(s, d):
     return j.select("comment_id", "annotator", F.col("id").isNotNull().alias("present"), F.coalesce("n", F.lit(0)).alias("n_decoded"), F.coalesce("bad", F.lit(0)).alias("n_mismatch"))
 
 
+q("joi18_decode_join", f"""SELECT l.comment_id, l.annotator, c.id IS NOT NULL AS present, coalesce(n, 0)::BIGINT AS n_decoded
+    FROM lab l LEFT JOIN c ON c.id = l.comment_id LEFT JOIN (SELECT l.comment_id, l.annotator, count(*) AS n FROM {_SPAN_SQL} GROUP BY 1, 2) x ON x.comment_id = l.comment_id AND x.annotator = l.annotator""", "lab", "c")(
+    lambda s, d: _decoded_labels(s, d).drop("n_mismatch")
+)
+SAMPLING.add("joi18_decode_report")(lambda s, d: _decoded_labels(s, d).agg(F.count(F.lit(1)).alias("n_labels"), F.count_if(~F.col("present")).alias("n_missing"), F.sum("n_decoded").alias("n_decoded"), F.sum("n_mismatch").alias("n_mismatch")))
+
+
 # validation
 _in = lambda x, vs: f"{x} IS NULL OR {x} NOT IN ({', '.join(chr(39) + v + chr(39) for v in vs)})"
 _RULES = [
@@ -260,7 +268,7 @@ SAMPLING.add("cod1_indexed")(lambda s, d: B.comments(s, d).select("id", C.indexe
 SAMPLING.add("cod2_encode")(lambda s, d: _encoded(s, d).select("comment_id", "annotator", "i", "span", "offset.*"))
 SAMPLING.add("cod3_decode")(lambda s, d: _encoded(s, d).where("offset.src is not null").select("comment_id", "annotator", "i", "span", C.decode_udf("offset", "body", "parent_body", "post").alias("raw")))
 SAMPLING.add("cod4_records")(lambda s, d: _encoded(s, d).groupBy("comment_id", "annotator").agg(F.sort_array(F.collect_list(F.struct("i", "offset"))).alias("offsets")))
-q("fn01_full_normalize", f"SELECT id, replace({norm_sql('body')}, 'ß', 'ss') AS norm FROM c", "c")(lambda s, d: B.comments(s, d).select("id", C.normalize_udf("body").alias("norm")))
+q("fn01_full_normalize", f"SELECT id, {norm_sql('body')} AS norm FROM c", "c")(lambda s, d: B.comments(s, d).select("id", C.normalize_udf("body").alias("norm")))
 q("fn12_first_object", "SELECT event_id, props AS js FROM events")(lambda s, d: B.table(s, d, "events").select("event_id", C.first_object_udf(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n``` done"))).alias("js")))
 
 # tags and examples
