@@ -71,8 +71,8 @@ def sized(df: DataFrame, n: int) -> DataFrame:
 class _Edges:
     """The edges that are left: a table bucketed by target, and the edges of dominant targets."""
 
-    def __init__(self, edges: DataFrame, n: int, scratch: Scratch):
-        self.scratch, self.spark = scratch, edges.sparkSession
+    def __init__(self, edges: DataFrame, n: int, many: bool, scratch: Scratch):
+        self.scratch, self.spark, self.many = scratch, edges.sparkSession, many
         # as many as a shuffle has partitions, so that a join needs no other partitioning
         self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         # too few edges for that many files are a plain table, with the same rows
@@ -100,6 +100,8 @@ class _Edges:
             # at most one frontier row per dominant target
             few = F.broadcast(frontier.where(F.col("o_node").isin(self.hot)))
             out = out.unionByName(self.hot_edges.join(few, F.col("target") == F.col("o_node")).select(F.col("node").alias("next"), "cause"))
+        if not self.many:
+            return out.withColumnRenamed("next", "o_node")
         return out.groupBy(F.col("next").alias("o_node")).agg(F.max("cause").alias("cause"))
 
     def drop(self, reached: DataFrame) -> None:
@@ -154,14 +156,16 @@ def orphan_cascade(entities: DataFrame, refs: DataFrame, scratch: Scratch) -> Or
     walked = judged.where("inner and (state is null or state = 'late')").join(sized(broken, n), F.col("node") == F.col("o_node"), "left_anti")
     walked = scratch.table(walked.select(*COLS), "walked")
     n_edges, n_nodes = walked.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
-    edges = _Edges(walked.select("node", "target"), n_edges, scratch)
+    # whether a record has several references that can be walked, so that rounds may meet it again
+    many = n_edges > n_nodes
+    edges = _Edges(walked.select("node", "target"), n_edges, many, scratch)
     levels = f"{scratch.base}/levels"
     read = lambda path: spark.read.schema("o_node string, cause string, level int").option("basePath", levels).parquet(path)
     level, frontier, reached, dropped = 0, broken, 0, 0
     while True:
         level += 1
         nxt = edges.below(frontier, n)
-        if n_edges > n_nodes and level > 1:
+        if many and level > 1:
             # records with several references may be met again
             seen_before = read(levels).select(F.col("o_node").alias("v_node"))
             nxt = nxt.join(seen_before, F.col("o_node") == F.col("v_node"), "left_anti")
@@ -178,7 +182,7 @@ def orphan_cascade(entities: DataFrame, refs: DataFrame, scratch: Scratch) -> Or
     edges.close()
     found = read(levels)
     inherited = walked.join(found, F.col("node") == F.col("o_node"))
-    if n_edges > n_nodes:
+    if many:
         # of several references of a reached record those to orphans
         orphans = broken.select("o_node").union(found.select("o_node")).select(F.col("o_node").alias("t_node"))
         inherited = inherited.join(orphans, F.col("target") == F.col("t_node"), "left_semi")

@@ -45,10 +45,13 @@ def validate(df: DataFrame, pairs: str = "pairs", comment: str = "body", parent:
     and counted, which is no error. Spans in no text are errors; such pairs stay unless
     ``drop_invalid``. Null texts hold no span.
     """
-    c, par, pst = F.col(comment), F.col(parent), F.col(post)
     p0 = F.col(pairs)
-    source = lambda p: T.span_source(p["cause_span"], c, par, pst)
-    df = df.withColumn("_src", F.transform(p0, source)).withColumn("_ok", F.transform(p0, lambda p: T.span_in(p["emotion_span"], c) | p["emotion_span"].isNull()))
+    # a row's texts are normalised once, not once per pair
+    texts = {"_comment": comment, "_parent": parent, "_post": post}
+    df = df.withColumns({k: T.normalize(v) for k, v in texts.items()})
+    holds = lambda norm, span: (F.coalesce(F.col(texts[norm]), F.lit("")) != "") & (F.coalesce(span, F.lit("")) != "") & F.contains(F.col(norm), T.normalize(span))
+    source = lambda p: F.when(holds("_comment", p["cause_span"]), "comment").when(holds("_parent", p["cause_span"]), "parent").when(holds("_post", p["cause_span"]), "post")
+    df = df.withColumn("_src", F.transform(p0, source)).withColumn("_ok", F.transform(p0, lambda p: holds("_comment", p["emotion_span"]) | p["emotion_span"].isNull()))
     span = lambda p, i: F.array_compact(
         F.array(
             F.when(~F.get("_ok", i), _at(i, "emotion_span: not in the comment")),
@@ -62,7 +65,7 @@ def validate(df: DataFrame, pairs: str = "pairs", comment: str = "body", parent:
     out = df.withColumns({"errors": errors, "fixes": fixes}).withColumn("valid", F.size("errors") == 0)
     if drop_invalid:
         fixed = F.filter(fixed, lambda p, i: F.get("_ok", i) & (p["cause_span"].isNull() | F.get("_src", i).isNotNull()))
-    return out.withColumn(pairs, fixed).drop("_src", "_ok")
+    return out.withColumn(pairs, fixed).drop("_src", "_ok", *texts)
 
 
 def repaired(first: DataFrame, second: DataFrame) -> DataFrame:
