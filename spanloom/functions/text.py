@@ -21,20 +21,32 @@ def _table(pairs: dict[str, str]) -> str:
     return "\x01" + "\x01".join(f"{k}\x02{v}" for k, v in pairs.items()) + "\x01"
 
 
-def _lookup(table: str, key: Column) -> Column:
+def _lookup(table: str | Column, key: Column) -> Column:
     """The table's value of ``key``; '' if it has none or the key is empty."""
     # behind the key, up to the next one; a key that isn't there leaves the table, which begins with a mark
     rest = F.call_function("substring_index", F.lit(table), F.concat(F.lit("\x01"), key, F.lit("\x02")), F.lit(-1))
     return F.substring_index(rest, "\x01", 1)
 
 
-#: Names of character references, as the standard library lists them; some also count without a semicolon.
-_NAMES = _table(html5)
+#: Names of character references, as the standard library lists them; some also count without a semicolon. One table per initial.
+_INITIALS = "".join(sorted({n[0] for n in html5}))
+_NAMES = "\x03".join(_table({n: v for n, v in html5.items() if n[0] == i}) for i in _INITIALS)
 _SHORT = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 # numbers 128 to 159 stand for the characters of an old code page where that defines them
 _OLD_PAGE = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
 _FOLDS = {chr(i): chr(i).casefold() for i in range(128, 0x1E944) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i).lower()}
-_FOLD_TABLE, _FOLD_CLASS = _table(_FOLDS), "[" + "".join(_FOLDS) + "]"
+
+
+def _class(chars) -> str:
+    """A character class of ranges: a class of single characters is tried one by one at every place of a text."""
+    cps = set(map(ord, chars))
+    begins, ends = sorted(c for c in cps if c - 1 not in cps), sorted(c for c in cps if c + 1 not in cps)
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends)) + "]"
+
+
+_FOLD_TABLE, _FOLD_CLASS = _table(_FOLDS), _class(_FOLDS)
+#: All letters of that class lie in here.
+_FOLD_RANGE = f"[{min(_FOLDS)}-{max(_FOLDS)}]"
 
 
 def _references(pieces: Column) -> Column:
@@ -51,6 +63,8 @@ def _references(pieces: Column) -> Column:
             F.array(F.regexp_extract(p, "^([a-zA-Z][a-zA-Z0-9]{1,31};?)", 1), F.regexp_extract(p, f"^({_SHORT})", 1)).alias("names"),
         ),
     )
+    # null where no name has that initial
+    named = lambda k: _lookup(F.get(F.split(F.lit(_NAMES), "\x03"), F.instr(F.lit(_INITIALS), F.substring(k, 1, 1)) - 1), k)
     digits = lambda x: F.regexp_extract(x["number"], "^#[xX]?0*([0-9a-fA-F]+)", 1)
     big = lambda x: F.length(digits(x)) > 8
     is_hex = lambda x: F.lower(F.substring(x["number"], 2, 1)) == "x"
@@ -61,7 +75,7 @@ def _references(pieces: Column) -> Column:
             x["p"].alias("p"),
             x["number"].alias("number"),
             F.when(x["number"] != "", code(x)).alias("code"),
-            F.get(F.filter(F.transform(x["names"], lambda k: F.struct(k.alias("k"), _lookup(_NAMES, k).alias("v"))), lambda h: (h["k"] != "") & (h["v"] != "")), F.lit(0)).alias("head"),
+            F.get(F.filter(F.transform(x["names"], lambda k: F.struct(k.alias("k"), named(k).alias("v"))), lambda h: (h["k"] != "") & (h["v"] != "")), F.lit(0)).alias("head"),
         ),
     )
 
@@ -88,7 +102,7 @@ def casefold(text: str | Column) -> Column:
     """Lower case that also unites what lower case keeps apart, such as sharp s and double s."""
     fold = lambda ch: F.coalesce(F.nullif(_lookup(_FOLD_TABLE, ch), F.lit("")), F.lower(ch))
     # the text is bound to a name, so that it is worked out once
-    return F.get(F.transform(F.array(_c(text)), lambda x: F.when(x.rlike(_FOLD_CLASS), F.array_join(F.transform(F.split(x, ""), fold), "")).otherwise(F.lower(x))), F.lit(0))
+    return F.get(F.transform(F.array(_c(text)), lambda x: F.when(x.rlike(_FOLD_RANGE) & x.rlike(_FOLD_CLASS), F.array_join(F.transform(F.split(x, ""), fold), "")).otherwise(F.lower(x))), F.lit(0))
 
 
 def normalize(text: str | Column) -> Column:

@@ -45,11 +45,12 @@ def coded(spark: SparkSession, d: str, a: str = "A", b: str = "B") -> DataFrame:
     return side(a, "na", "pa").join(side(b, "nb", "pb"), "comment_id")
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    """Comments with the texts of their post and their parent comment."""
+def items(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """Comments with the texts of their post and their parent comment; ``only`` those with an ``id`` of the given ones."""
     c, p = comments(spark, d), posts(spark, d)
     parent = c.select(F.col("id").alias("par_id"), F.nullif(F.left("body", F.lit(10000)), F.lit("")).alias("parent_body"))
     post = p.select(F.col("id").alias("post_id"), F.nullif("title", F.lit("")).alias("post_title"), F.nullif(F.left("selftext", F.lit(40000)), F.lit("")).alias("post_selftext"), (F.col("is_self") == 1).alias("post_is_self"))
+    c = c if only is None else c.join(only.select("id"), "id", "left_semi")
     c = c.withColumn("post_key", T.strip_kind("link_id")).withColumn("par_key", F.when(F.col("parent_id").startswith("t1_"), T.strip_kind("parent_id")))
     return c.join(post, F.col("post_key") == F.col("post_id"), "left").join(parent, F.col("par_key") == F.col("par_id"), "left").drop("post_key", "par_key", "par_id", "post_id")
 

@@ -398,9 +398,9 @@ def api09(s, d):
 _MOCK = "('0x' || substr(md5(id), 1, 7))::BIGINT"
 
 
-def mocked(s, d):
-    """Raw output of the mock model per comment, with the texts that it saw."""
-    it = B.items(s, d).select("id", "body", "post_title", "parent_body", T.post_text("post_title", "post_selftext").alias("post_text"))
+def mocked(s, d, only=None):
+    """Raw output of the mock model per comment, or per comment with an ``id`` of ``only``, with the texts that it saw."""
+    it = B.items(s, d, only).select("id", "body", "post_title", "parent_body", T.post_text("post_title", "post_selftext").alias("post_text"))
     return it.withColumn("raw", MK.mock_output("id", "post_title", "body"))
 
 
@@ -422,15 +422,17 @@ def udf03_valid(s, d):
 
 @STREAM.add("udf16_infer_and_score")
 def udf16(s, d):
-    """The mock's raw output parsed, validated (invalid pairs dropped) and scored against gold."""
+    """The mock's raw output for the items of gold parsed, validated (invalid pairs dropped) and scored against gold."""
     from ..operators.validate import validate
 
-    fixed = validate(mocked(s, d).withColumn("pairs", MK.parse_output("raw")), drop_invalid=True)
-    parsed = fixed.select(F.col("id").alias("p_id"), F.col("pairs").alias("pb"), "valid", F.size("errors").alias("n_errors"))
-    j = gold(s, d).withColumnRenamed("pairs", "pa").join(parsed, F.col("comment_id") == F.col("p_id"), "left").withColumn("pb", F.coalesce("pb", F.array().cast(PAIRS)))
-    t = M.tallies(M.with_matches(j))
-    f1 = M.micro_f1(t)
-    return f1.crossJoin(t.agg(F.count_if(~F.coalesce("valid", F.lit(True))).alias("n_invalid"), F.round(F.avg(((F.size("pa") == 0) == (F.size("pb") == 0)).cast("int")), 6).alias("neutral_accuracy")))
+    # the model is asked about gold's items alone; gold and the scored items are needed twice, so both are written once
+    scratch = Scratch(s, "infer")
+    wanted = scratch.table(gold(s, d).select("comment_id", "pairs"))
+    fixed = validate(mocked(s, d, wanted.select(F.col("comment_id").alias("id"))).withColumn("pairs", MK.parse_output("raw")), drop_invalid=True)
+    parsed = fixed.select(F.col("id").alias("p_id"), F.col("pairs").alias("pb"), "valid")
+    j = wanted.withColumnRenamed("pairs", "pa").join(parsed, F.col("comment_id") == F.col("p_id"), "left").withColumn("pb", F.coalesce("pb", F.array().cast(PAIRS)))
+    t = scratch.table(M.tallies(M.with_matches(j)).select("valid", "n_a", "n_b", "n_span", "n_typed", "n_full"))
+    return M.micro_f1(t).crossJoin(t.agg(F.count_if(~F.coalesce("valid", F.lit(True))).alias("n_invalid"), F.round(F.avg(((F.col("n_a") == 0) == (F.col("n_b") == 0)).cast("int")), 6).alias("neutral_accuracy")))
 
 
 @STREAM.add("str03_labelling_loop")

@@ -13,7 +13,7 @@ BAD_SPAN = "words that stand nowhere"
 
 
 def _words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(text, r"\\s+"), lambda w: w != ""), 1, n), " ")
+    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")
 
 
 def mock_output(key: str, title: str, body: str) -> Column:
