@@ -46,26 +46,29 @@ def validate(df: DataFrame, pairs: str = "pairs", comment: str = "body", parent:
     ``drop_invalid``. Null texts hold no span.
     """
     p0 = F.col(pairs)
-    # a row's texts are normalised once, not once per pair
+    # a row's texts are normalised once, not once per pair, and only where a pair has a span to look for in them
     texts = {"_comment": comment, "_parent": parent, "_post": post}
-    df = df.withColumns({k: T.normalize(v) for k, v in texts.items()})
-    holds = lambda norm, span: (F.coalesce(F.col(texts[norm]), F.lit("")) != "") & (F.coalesce(span, F.lit("")) != "") & F.contains(F.col(norm), T.normalize(span))
-    source = lambda p: F.when(holds("_comment", p["cause_span"]), "comment").when(holds("_parent", p["cause_span"]), "parent").when(holds("_post", p["cause_span"]), "post")
-    df = df.withColumn("_src", F.transform(p0, source)).withColumn("_ok", F.transform(p0, lambda p: holds("_comment", p["emotion_span"]) | p["emotion_span"].isNull()))
+    caused = F.exists(p0, lambda p: F.coalesce(p["cause_span"], F.lit("")) != "")
+    df = df.withColumns({k: F.when(F.size(p0) > 0 if k == "_comment" else caused, T.normalize(v)) for k, v in texts.items()})
+    holds = lambda norm, span, folded: (F.coalesce(F.col(texts[norm]), F.lit("")) != "") & (F.coalesce(span, F.lit("")) != "") & F.contains(F.col(norm), folded)
+    source = lambda x: F.when(holds("_comment", x["c"], x["nc"]), "comment").when(holds("_parent", x["c"], x["nc"]), "parent").when(holds("_post", x["c"], x["nc"]), "post")
+    spans = F.transform(p0, lambda p: F.struct(p["emotion_span"].alias("e"), T.normalize(p["emotion_span"]).alias("ne"), p["cause_span"].alias("c"), T.normalize(p["cause_span"]).alias("nc")))
+    df = df.withColumn("_found", F.transform(spans, lambda x: F.struct(source(x).alias("src"), (holds("_comment", x["e"], x["ne"]) | x["e"].isNull()).alias("ok"))))
+    src, ok = lambda i: F.get("_found", i)["src"], lambda i: F.get("_found", i)["ok"]
     span = lambda p, i: F.array_compact(
         F.array(
-            F.when(~F.get("_ok", i), _at(i, "emotion_span: not in the comment")),
-            F.when(p["cause_span"].isNotNull() & F.get("_src", i).isNull(), _at(i, "cause_span: in no source")),
+            F.when(~ok(i), _at(i, "emotion_span: not in the comment")),
+            F.when(p["cause_span"].isNotNull() & src(i).isNull(), _at(i, "cause_span: in no source")),
         )
     )
     errors = F.concat(scheme_errors(p0), F.coalesce(F.flatten(F.transform(p0, span)), F.array().cast("array<string>")))
-    wrong = lambda p, i: p["cause_span"].isNotNull() & F.get("_src", i).isNotNull() & ~p["cause_source"].eqNullSafe(F.get("_src", i))
+    wrong = lambda p, i: p["cause_span"].isNotNull() & src(i).isNotNull() & ~p["cause_source"].eqNullSafe(src(i))
     fixes = F.aggregate(F.coalesce(F.transform(p0, lambda p, i: wrong(p, i).cast("int")), F.array().cast("array<int>")), F.lit(0), lambda a, x: a + x)
-    fixed = F.transform(p0, lambda p, i: p.withField("cause_source", F.when(wrong(p, i), F.get("_src", i)).otherwise(p["cause_source"])))
+    fixed = F.transform(p0, lambda p, i: p.withField("cause_source", F.when(wrong(p, i), src(i)).otherwise(p["cause_source"])))
     out = df.withColumns({"errors": errors, "fixes": fixes}).withColumn("valid", F.size("errors") == 0)
     if drop_invalid:
-        fixed = F.filter(fixed, lambda p, i: F.get("_ok", i) & (p["cause_span"].isNull() | F.get("_src", i).isNotNull()))
-    return out.withColumn(pairs, fixed).drop("_src", "_ok", *texts)
+        fixed = F.filter(fixed, lambda p, i: ok(i) & (p["cause_span"].isNull() | src(i).isNotNull()))
+    return out.withColumn(pairs, fixed).drop("_found", *texts)
 
 
 def repaired(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import codec as C
 from spanloom.functions import text as T
+from spanloom.operators import validate as V
 from spanloom.plans import bindings as B
+from spanloom.schema import PAIRS
 from spanloom.streaming import mock as K
 
 
@@ -40,3 +43,21 @@ def test_items_of_given_comments(spark):
     some = sorted(every)[::7]
     got = {r["id"]: r for r in B.items(spark, d, spark.createDataFrame([(i,) for i in some] + [("no such id",)], "id string")).collect()}
     assert got == {i: every[i] for i in some}
+
+
+def test_texts_without_spans_are_left_alone(spark):
+    """Texts that no pair has a span to look for in aren't normalised; those of other rows are."""
+    pair = ("surprise", "wow", None, None, "unclear", "none", 0.5, False)
+    rows = spark.range(100, numPartitions=1).select(F.lit("wow").alias("body"), *[F.repeat(F.lit("A&B &gt; é ß "), 20_000).alias(c) for c in ("parent_body", "post_text")])
+    rows = rows.withColumn("pairs", F.array(F.struct(*[F.lit(v).alias(n) for n, v in zip(("emotion", "emotion_span", "cause_span", "cause_source", "cause_category", "target_asset", "intensity", "sarcasm"), pair)])).cast(PAIRS))
+    assert took(V.validate(rows).select("valid", "errors", "fixes", "pairs")) < 10
+    named = V.validate(rows.limit(1).withColumn("pairs", F.transform("pairs", lambda p: p.withField("cause_span", F.lit("a&b > É")).withField("cause_source", F.lit("comment")).withField("cause_category", F.lit("other"))))).first()
+    assert named["valid"] and named["fixes"] == 1 and named["pairs"][0]["cause_source"] == "parent"
+
+
+def test_first_object_counts_no_braces_of_a_whole_object():
+    text = '{"pairs": [], "x": "' + "{" * 3_000_000 + '"}'
+    began = time.process_time()
+    assert C.first_object(text) == text and C.first_object(f"so: {{}} {text}") == "{}"
+    assert C.first_object('x {"a": "}"} y') == '{"a": "}"}' and C.first_object("{cut") is None and C.first_object(None) is None
+    assert time.process_time() - began < 0.5
