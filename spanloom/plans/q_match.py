@@ -271,12 +271,9 @@ q("agg13_mean_intensity", f"WITH {_VOTE} SELECT comment_id, span, round(avg(p.in
 def agg12(s, d):
     """The summed overlap of the medoid of all emotion spans of each comment."""
     pairs = B.labels(s, d).select("comment_id", "annotator", F.posexplode("pairs").alias("i", "pair"))
-    per = pairs.groupBy("comment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("annotator", "i", F.col("pair.emotion_span").alias("span")))), lambda x: x["span"]).alias("spans"))
-    real = per.select("comment_id", F.filter("spans", lambda x: F.coalesce(x, F.lit("")) != "").alias("spans")).where(F.size("spans") > 0)
-    best = real.withColumn("medoid", V.medoid(F.col("spans")))
-    at = best.withColumn("pos", F.array_position("spans", F.col("medoid")))
-    total = F.aggregate(F.transform("spans", lambda x, i: F.when(i + 1 == F.col("pos"), 0.0).otherwise(T.span_iou(F.col("medoid"), x))), F.lit(0.0), lambda a, x: a + x)
-    return at.select("comment_id", F.round(total, 6).alias("best"))
+    real = pairs.where(F.coalesce("pair.emotion_span", F.lit("")) != "").select("comment_id", "annotator", "i", T.tokens("pair.emotion_span").alias("toks"))
+    per = real.groupBy("comment_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "i", "toks"))).alias("spans"))
+    return per.select("comment_id", F.round(F.array_max(V.overlaps(F.transform("spans", lambda x: x["toks"]))), 6).alias("best"))
 
 
 q("agg14_neutrality", "SELECT comment_id, count(*) FILTER (len(pairs) = 0) * 2 > count(*) AS neutral FROM lab GROUP BY 1", "lab")(lambda s, d: B.labels(s, d).groupBy("comment_id").agg((F.count_if(F.size("pairs") == 0) * 2 > F.count(F.lit(1))).alias("neutral")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import codec as C
 from spanloom.functions import text as T
 from spanloom.operators import validate as V
+from spanloom.operators import voting as O
 from spanloom.plans import bindings as B
 from spanloom.schema import PAIRS
 from spanloom.streaming import mock as K
@@ -61,3 +62,13 @@ def test_first_object_counts_no_braces_of_a_whole_object():
     assert C.first_object(text) == text and C.first_object(f"so: {{}} {text}") == "{}"
     assert C.first_object('x {"a": "}"} y') == '{"a": "}"}' and C.first_object("{cut") is None and C.first_object(None) is None
     assert time.process_time() - began < 0.5
+
+
+def test_medoid_of_many_spans(spark):
+    spans = [f"span {i % 7} of {i} long &amp; longer words" for i in range(60)]
+    df = spark.range(1).select(F.array(*[F.lit(x) for x in spans]).alias("s"), "id").withColumn("s", F.transform("s", lambda x: F.concat(x, F.lit(" "), F.col("id").cast("string"))))
+    assert took(df.select(O.medoid(F.col("s")).alias("m"))) < 10
+    toks = [set(f"{x} 0".replace("&amp;", "&").split()) for x in spans]
+    sums = [sum(len(a & b) / len(a | b) for j, b in enumerate(toks) if i != j) for i, a in enumerate(toks)]
+    row = df.select(O.medoid(F.col("s")).alias("m"), O.overlaps(F.transform("s", lambda x: T.tokens(x))).alias("o")).first()
+    assert max(abs(x - y) for x, y in zip(row["o"], sums)) < 1e-9 and sums[spans.index(row["m"][:-2])] >= max(sums) - 1e-9
